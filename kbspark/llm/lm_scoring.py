@@ -28,7 +28,8 @@ _END = b"\n"  # no word holds a line break
 
 
 class _Shard:
-    """Tokens of a shard's documents as n-gram numbers: `uni` and `bi` index the sorted hashes `keys`."""
+    """Tokens of a shard's documents as numbers: `uni` and `bi` index the sorted hashes of words (even) and of pairs
+    (odd) in `keys`, and their training counts in `own`."""
 
     def __init__(self, texts: pa.Array, train: np.ndarray):
         flat, starts = common.split_words(texts, lower=True)
@@ -38,20 +39,26 @@ class _Shard:
         ids = np.asarray(coded.indices, dtype=np.int64)
         n = np.diff(starts)
         self.ends = np.cumsum(n + 1)  # each document's words, then its end
-        tokens = np.full(int(self.ends[-1]) if len(n) else 0, len(vocabulary) - 1)
+        end = len(vocabulary) - 1
+        tokens = np.full(int(self.ends[-1]) if len(n) else 0, end)
         is_word = np.ones(len(tokens), bool)
         is_word[self.ends - 1] = False
         tokens[is_word] = ids
         self.doc = np.repeat(np.arange(len(n)), n + 1)
         self.train = train[self.doc]
-        context = np.concatenate([[len(vocabulary) - 1], tokens[:-1]]) if len(tokens) else tokens  # a text starts after an end
         bits = np.uint64(1)
-        one = hashes[tokens] << bits
-        two = (((hashes[context] ^ (hashes[context] >> np.uint64(31))) * _MIX + hashes[tokens]) * _MIX) | bits
-        self.keys, place = np.unique(np.concatenate([one, two]), return_inverse=True)
-        self.uni, self.bi = place[: len(tokens)], place[len(tokens) :]
-        self.context = self.uni[:0] if not len(tokens) else np.searchsorted(self.keys, hashes[context] << bits)
-        self.own = np.bincount(np.concatenate([self.uni[self.train], self.bi[self.train]]), minlength=len(self.keys)).astype(np.int64)
+        order = np.argsort(hashes << bits, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.uni = place[tokens]
+        self.context = np.concatenate([self.uni[-1:], self.uni[:-1]])  # a text starts after an end, as the last text has
+        before = hashes[np.concatenate([tokens[-1:], tokens[:-1]])]
+        two = (((before ^ (before >> np.uint64(31))) * _MIX + hashes[tokens]) * _MIX) | bits
+        del flat, coded, is_word, before
+        kinds, self.bi = np.unique(two, return_inverse=True)
+        self.keys = (hashes[order] << bits, kinds)
+        count = lambda at, n: np.bincount(at[self.train], minlength=n).astype(np.int64)
+        self.own = (count(self.uni, len(order)), count(self.bi, len(kinds)))
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -63,17 +70,27 @@ def _owner(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64), keys, "right")
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers with all first bytes, then all second bytes, and so on: the zeros of small numbers compress away."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _request(parts: int):
     def run(table: pa.Table) -> pa.Table:
         shard = _Shard(table.column("text").combine_chunks(), ~np.asarray(table.column("held")).astype(bool))
-        cuts = np.searchsorted(_owner(shard.keys, parts), np.arange(parts + 1))
-        s = table.column("shard")[0].as_py()
-        rows = [
-            {"part": p, "shard": s, "keys": shard.keys[a:b].tobytes(), "counts": shard.own[a:b].astype(np.uint32).tobytes()}
-            for p, (a, b) in enumerate(zip(cuts, cuts[1:]))
-            if b > a
-        ]
-        return pa.Table.from_pylist(rows, pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+        s, rows = table.column("shard")[0].as_py(), []
+        for kind, (keys, own) in enumerate(zip(shard.keys, shard.own)):
+            cuts = np.searchsorted(_owner(keys, parts), np.arange(parts + 1))
+            for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if b > a:
+                    steps = np.diff(keys[a:b], prepend=np.uint64(0))
+                    rows.append({"part": p, "shard": s, "kind": kind, "keys": _planes(steps), "counts": _planes(own[a:b].astype(np.uint32))})
+        return pa.Table.from_pylist(rows, pa.schema([(c, pa.int32()) for c in ("part", "shard", "kind")] + [("keys", pa.binary()), ("counts", pa.binary())]))
 
     return run
 
@@ -81,27 +98,31 @@ def _request(parts: int):
 def _total(table: pa.Table) -> pa.Table:
     """For the keys of one partition: to each shard the sums over the corpus where they exceed its own counts; and the
     number of training tokens and of distinct ones (shard -1)."""
-    keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(k, np.uint32).astype(np.int64) for k in table.column("counts").to_pylist()]
+    keys = [np.cumsum(_numbers(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+    counts = [_numbers(k, np.uint32).astype(np.int64) for k in table.column("counts").to_pylist()]
+    sizes = np.array([len(k) for k in keys])
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
     sums = np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
-    ends = np.cumsum([len(k) for k in keys])
-    rows = []
-    for shard, own, a, b in zip(table.column("shard").to_pylist(), counts, ends - [len(k) for k in keys], ends):
+    part, ends, rows = table.column("part")[0].as_py(), np.cumsum(sizes), []
+    for shard, kind, own, a, b in zip(table.column("shard").to_pylist(), table.column("kind").to_pylist(), counts, ends - sizes, ends):
         total = sums[place[a:b]]
         more = np.flatnonzero(total > own)
-        rows.append({"shard": shard, "part": table.column("part")[0].as_py(), "at": more.astype(np.uint32).tobytes(), "sums": total[more].astype(np.uint64).tobytes(), "tokens": 0, "kinds": 0})
+        steps = np.diff(more, prepend=0).astype(np.uint32)
+        rows.append({"shard": shard, "part": part, "kind": kind, "at": _planes(steps), "sums": _planes(total[more].astype(np.uint64)), "tokens": 0, "kinds": 0})
     one = (every & np.uint64(1)) == 0
-    rows.append({"shard": -1, "part": 0, "at": b"", "sums": b"", "tokens": int(sums[one].sum()), "kinds": int((sums[one] > 0).sum())})
-    return pa.Table.from_pylist(rows, pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("at", pa.binary()), ("sums", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())]))
+    rows.append({"shard": -1, "part": 0, "kind": 0, "at": b"", "sums": b"", "tokens": int(sums[one].sum()), "kinds": int((sums[one] > 0).sum())})
+    schema = [(c, pa.int32()) for c in ("shard", "part", "kind")] + [("at", pa.binary()), ("sums", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())]
+    return pa.Table.from_pylist(rows, pa.schema(schema))
 
 
-def _with_totals(docs: pa.Table, replies: pa.Table, parts: int) -> tuple[_Shard, np.ndarray]:
+def _with_totals(docs: pa.Table, replies: pa.Table, parts: int) -> tuple[_Shard, tuple[np.ndarray, ...]]:
     shard = _Shard(docs.column("text").combine_chunks(), ~np.asarray(docs.column("held")).astype(bool))
-    total = shard.own.copy()
-    cuts = np.searchsorted(_owner(shard.keys, parts), np.arange(parts + 1))
-    for part, at, sums in zip(*(replies.column(c).to_pylist() for c in ("part", "at", "sums"))):
-        total[cuts[part] + np.frombuffer(at, np.uint32)] = np.frombuffer(sums, np.uint64).astype(np.int64)
+    total = tuple(own.copy() for own in shard.own)
+    cuts = [np.searchsorted(_owner(keys, parts), np.arange(parts + 1)) for keys in shard.keys]
+    for part, kind, at, sums in zip(*(replies.column(c).to_pylist() for c in ("part", "kind", "at", "sums"))):
+        if at:
+            total[kind][cuts[kind][part] + np.cumsum(_numbers(at, np.uint32), dtype=np.int64)] = _numbers(sums, np.uint64).astype(np.int64)
     return shard, total
 
 
@@ -109,11 +130,11 @@ def _bucket(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(counts + 1)).astype(np.int64), BUCKETS - 1)
 
 
-def _estimates(shard: _Shard, counts: np.ndarray, tokens: int, kinds: int) -> tuple[np.ndarray, ...]:
+def _estimates(shard: _Shard, counts: tuple[np.ndarray, ...], tokens: int, kinds: int) -> tuple[np.ndarray, ...]:
     """Bucket of the context, and bigram, unigram and uniform estimates, of each token under the counts."""
-    context = counts[shard.context]
-    two = np.where(context > 0, counts[shard.bi] / np.maximum(context, 1), 0.0)
-    one = counts[shard.uni] / max(tokens, 1)
+    context = counts[0][shard.context]
+    two = np.where(context > 0, counts[1][shard.bi] / np.maximum(context, 1), 0.0)
+    one = counts[0][shard.uni] / max(tokens, 1)
     return _bucket(context), two, one, np.full(len(two), 1.0 / (kinds + 1))
 
 
@@ -127,7 +148,7 @@ def _tally(parts: int):
             return schema.empty_table()
         shard, total = _with_totals(docs, replies, parts)
         tokens, kinds = replies.column("all_tokens")[0].as_py(), replies.column("all_kinds")[0].as_py()
-        bucket, two, one, zero = _estimates(shard, total - shard.own, tokens - int(shard.train.sum()), kinds)
+        bucket, two, one, zero = _estimates(shard, tuple(t - o for t, o in zip(total, shard.own)), tokens - int(shard.train.sum()), kinds)
         use = shard.train
         with np.errstate(divide="ignore"):
             r2, r1 = (np.clip(np.round(np.log2(x[use] / zero[use]) * STEP), -RANGE * STEP, RANGE * STEP).astype(np.int64) for x in (two, one))
@@ -168,10 +189,10 @@ def _score(parts: int, schema: pa.Schema):
         weights = np.array(replies.column("weights")[0].as_py()).reshape(BUCKETS, 3)
         bucket, two, one, zero = _estimates(shard, total, tokens, kinds)
         w = weights[bucket]
-        w[total[shard.context] == 0, 0] = 0.0
+        w[total[0][shard.context] == 0, 0] = 0.0
         w /= w.sum(1, keepdims=True)
         logs = np.log10(w[:, 0] * two + w[:, 1] * one + w[:, 2] * zero)
-        known = total[shard.uni]
+        known = total[0][shard.uni]
         base = np.log10((known + 1) / (tokens + kinds + 1))
         n = docs.num_rows
         by_doc = lambda x: np.bincount(shard.doc, x, n)
@@ -181,7 +202,7 @@ def _score(parts: int, schema: pa.Schema):
     return run
 
 
-def score(docs: DataFrame, held: F.Column | None = None, shard_mb: float = 16.0, rounds: int = 60) -> DataFrame:
+def score(docs: DataFrame, held: F.Column | None = None, shard_mb: float = 12.0, rounds: int = 60) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     Tokens are the lower-cased words (A-Z) and an end; null and empty texts have only the end. A token's probability
@@ -195,14 +216,16 @@ def score(docs: DataFrame, held: F.Column | None = None, shard_mb: float = 16.0,
     parts = common.parts_for(spark, common.text_bytes(docs), shard_mb * 1e6, 8)
     named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     named = named.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartition(parts, "shard")
-    asked = named.groupBy("shard").applyInArrow(_request(parts), "part int, shard int, keys binary, counts binary")
-    replies = asked.repartition(parts, "part").groupBy("part").applyInArrow(_total, "shard int, part int, at binary, sums binary, tokens long, kinds long")
+    asked = named.groupBy("shard").applyInArrow(_request(parts), "part int, shard int, kind int, keys binary, counts binary")
+    replies = asked.repartition(parts, "part").groupBy("part").applyInArrow(_total, "shard int, part int, kind int, at binary, sums binary, tokens long, kinds long")
     replies = common.materialize(replies, "replies")
+    common.release(spark)
     sums = replies.where("shard = -1").agg(F.sum("tokens").alias("all_tokens"), F.sum("kinds").alias("all_kinds"))
-    replies = replies.where("shard >= 0").select("shard", "part", "at", "sums").crossJoin(F.broadcast(sums))
+    replies = replies.where("shard >= 0").select("shard", "part", "kind", "at", "sums").crossJoin(F.broadcast(sums))
     tallied = named.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(_tally(parts), "bucket int, r2 int, r1 int, n long")
     tallied = tallied.groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
     weights = spark.createDataFrame(_fit(rounds)(tallied.toPandas()))  # bounded by buckets and steps
+    common.release(spark)
     schema = docs.select(
         "doc_id", F.lit(True).alias("held_out"), *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")], *[F.lit(0.0).alias(c) for c in ("base_score", "score")]
     ).schema
