@@ -202,7 +202,7 @@ def _score(parts: int, schema: pa.Schema):
     return run
 
 
-def score(docs: DataFrame, held: F.Column | None = None, shard_mb: float = 12.0, rounds: int = 60) -> DataFrame:
+def score(docs: DataFrame, held: F.Column | None = None, shard_mb: float = 10.0, rounds: int = 60) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     Tokens are the lower-cased words (A-Z) and an end; null and empty texts have only the end. A token's probability
@@ -225,6 +225,7 @@ def score(docs: DataFrame, held: F.Column | None = None, shard_mb: float = 12.0,
     tallied = named.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(_tally(parts), "bucket int, r2 int, r1 int, n long")
     tallied = tallied.groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
     weights = spark.createDataFrame(_fit(rounds)(tallied.toPandas()))  # bounded by buckets and steps
+    del tallied, asked
     common.release(spark)
     schema = docs.select(
         "doc_id", F.lit(True).alias("held_out"), *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")], *[F.lit(0.0).alias(c) for c in ("base_score", "score")]
