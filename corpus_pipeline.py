@@ -17,7 +17,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near duplicates the document of least doc_id; of repeated rows one."""
     found = simhash.near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = common.materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept").withColumnRenamed("doc_id", "_id")
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return kept.dropDuplicates(["doc_id"]) if ids.where("n > 1").limit(1).count() else kept
 
 
