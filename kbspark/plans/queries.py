@@ -1,4 +1,261 @@
-"""Registered queries of the core library."""
+"""Registered queries of the core library over the given tables, each with the SQL that defines its result."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import conversation, corpus, evaluation, retrieval
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x)), chr(10)),
+ '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS clean_md5 FROM documents""")
+def clean_whitespace(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_whitespace(F.col("text")).cast("binary")).alias("clean_md5"))
+
+
+_LINES = r"""l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM
+ (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(x), '[.!?:;]+$', '')) AS ls FROM documents))"""
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT *, trim(line) AS t, trim(line) <> '' AND length(trim(line)) <= 80 AND NOT regexp_matches(trim(line), '[.!?:;]$')
+ AND NOT starts_with(trim(line), '#') AND NOT contains(line, '|') AS cand FROM l),
+ r AS (SELECT doc_id, t FROM c WHERE cand GROUP BY 1, 2 HAVING count(*) > 1)
+ SELECT c.doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM c LEFT JOIN r ON c.cand AND c.doc_id = r.doc_id AND c.t = r.t WHERE r.t IS NULL GROUP BY 1""")
+def drop_margin_lines(spark, sf_dir):
+    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(F.trim(x), "[.!?:;]+$", ""))).alias("pos", "line"))
+    return corpus.drop_recurring_margin_lines(lines).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Contents' || chr(10) || 'Part one .... 3' WHEN 1 THEN '## ' || substr(replace(text, chr(10), ' '), 1, 20)
+   WHEN 2 THEN replace(text, 'e', chr(65533)) ELSE text END AS t FROM documents)
+ SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'table_of_contents' WHEN doc_id % 7 = 1 THEN 'title_only'
+  WHEN length(regexp_replace(t, '\s', '', 'g')) > 0 AND (length(t) - length(replace(t, chr(65533), ''))) / length(regexp_replace(t, '\s', '', 'g')) > 0.20 THEN 'garbled' END AS reason FROM d""")
+def chunk_rejection(spark, sf_dir):
+    flat, kind = F.replace("text", F.lit("\n"), F.lit(" ")), F.col("doc_id") % 7
+    made = (
+        F.when(kind == 0, "Contents\nPart one .... 3").when(kind == 1, F.concat(F.lit("## "), F.substring(flat, 1, 20)))
+        .when(kind == 2, F.replace("text", F.lit("e"), F.lit("�"))).otherwise(F.col("text"))
+    )
+    return _t(spark, sf_dir, "documents").select("doc_id", T.rejection_reason(made, F.lit("text")).alias("reason"))
+
+
+@query(r"""SELECT min(doc_id) AS doc_id, lang, count(*) AS copies FROM documents
+ GROUP BY lang, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))""")
+def dedup_exact(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    kept = corpus.dedup_exact(docs, "lang", "doc_id")
+    sizes = docs.groupBy("lang", F.sha2(T.normalize_for_dedup(F.col("text")), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return kept.select("doc_id", "lang").join(sizes, ["doc_id", "lang"]).select("doc_id", "lang", "copies")
+
+
+@query(r"""SELECT doc_id, sha256(text) AS chunk_hash, substr(sha1('default:' || sha256(text)), 1, 24) AS document_key,
+ substr(sha1('doc/' || doc_id || '|None|' || doc_id || '|0|' || substr(text, 1, 160)), 1, 20) AS chunk_id,
+ len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INT AS tokens FROM documents""")
+def chunk_identity(spark, sf_dir):
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    return _t(spark, sf_dir, "documents").select(
+        "doc_id", F.sha2("text", 256).alias("chunk_hash"), T.document_key(F.lit("default"), F.sha2("text", 256)).alias("document_key"),
+        T.chunk_id(path, F.lit(None), F.col("doc_id").cast("string"), F.lit("0"), F.col("text")).alias("chunk_id"), T.token_count(F.col("text")).alias("tokens"),
+    )
+
+
+_OLD = "CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'doc/' || doc_id END"
+_SNAP = f"""o AS (SELECT {_OLD} AS k, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 11 <> 0),
+n AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'new/' || doc_id ELSE 'doc/' || doc_id END AS k, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0),
+b AS (SELECT coalesce(o.k, n.k) AS source_key, o.h AS old_hash, n.h AS new_hash, CASE WHEN o.h = n.h THEN 'skipped' WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'deleted' ELSE 'updated' END AS s FROM o FULL JOIN n ON o.k = n.k),
+a AS (SELECT source_key, new_hash AS h, row_number() OVER (PARTITION BY new_hash ORDER BY source_key) AS rn FROM b WHERE s = 'added'),
+g AS (SELECT source_key, old_hash AS h, row_number() OVER (PARTITION BY old_hash ORDER BY source_key) AS rn FROM b WHERE s = 'deleted'),
+m AS (SELECT a.source_key AS ak, g.source_key AS gk FROM a JOIN g USING (h, rn)),
+f AS (SELECT source_key, old_hash, new_hash, CASE WHEN source_key IN (SELECT ak FROM m) THEN 'moved' WHEN source_key IN (SELECT gk FROM m) THEN 'moved_away' ELSE s END AS status FROM b)"""
+
+
+def _snapshots(spark, sf_dir):
+    docs, key = _t(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    old = docs.where("doc_id % 5 <> 0").select(F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.concat(F.lit("doc/"), key)).alias("source_key"), F.sha2("text", 256).alias("file_hash"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    name = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("new/"), key)).otherwise(F.concat(F.lit("doc/"), key))
+    new = docs.select(F.when(F.col("doc_id") % 11 == 0, "").otherwise(name).alias("source_key"), F.sha2(text, 256).alias("file_hash"))
+    return old, new
+
+
+@query(f"WITH {_SNAP} SELECT * FROM f")
+def diff_snapshot(spark, sf_dir):
+    return corpus.diff_snapshot(*_snapshots(spark, sf_dir))
+
+
+@query(f"""WITH {_SNAP}, c AS (SELECT count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'skipped') AS skipped,
+ count(*) FILTER (status = 'deleted') AS deleted, count(*) FILTER (status = 'moved') AS moved FROM f) SELECT *, added + updated + deleted + moved AS changed FROM c""")
+def change_counts(spark, sf_dir):
+    return corpus.change_counts(corpus.diff_snapshot(*_snapshots(spark, sf_dir)))
+
+
+@query("""WITH e AS (SELECT sha256(text) AS h FROM documents WHERE doc_id % 4 = 0), i AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 4 <> 0)
+ SELECT min(doc_id) AS doc_id, h AS file_hash FROM i WHERE h NOT IN (SELECT h FROM e) GROUP BY h""")
+def append_uploads(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"))
+    return corpus.append_uploads(docs.where("doc_id % 4 = 0"), docs.where("doc_id % 4 <> 0"), "doc_id").select("doc_id", "file_hash")
+
+
+@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NOT NULL THEN b.quality ELSE a.quality END AS quality, coalesce(b.toxic, a.toxic) AS toxic
+ FROM (SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 3 <> 0) a FULL JOIN
+ (SELECT doc_id, 1 - quality AS quality, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE toxic END AS toxic FROM labels WHERE doc_id % 2 = 0 OR doc_id % 3 = 0) b ON a.doc_id = b.doc_id""")
+def upsert_labels(spark, sf_dir):
+    labels = _t(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    new = labels.where("doc_id % 2 = 0 OR doc_id % 3 = 0").select("doc_id", (1 - F.col("quality")).alias("quality"), F.when(F.col("doc_id") % 2 != 0, F.col("toxic")).alias("toxic"))
+    return corpus.upsert(labels.where("doc_id % 3 <> 0"), new, ["doc_id"], ("toxic",))
+
+
+@query("""WITH m AS (SELECT max(ts) AS t FROM events), j AS (SELECT event_id, event_type, ts, event_type IN ('click', 'view') AND ts < m.t - INTERVAL 1800 SECOND AS stale FROM events, m)
+ SELECT event_id, CASE WHEN stale THEN 'failed' ELSE event_type END AS status, stale::INT AS retry_count FROM j""")
+def expire_stale_jobs(spark, sf_dir):
+    jobs = _t(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("updated_at"), F.col("event_type").isin("click", "view").alias("active"), F.lit(0).alias("retry_count"), F.lit(None).cast("timestamp").alias("finished_at")
+    )
+    return corpus.expire_stale_jobs(jobs, jobs.agg(F.max("updated_at")).first()[0]).select("event_id", "status", "retry_count")
+
+
+@query("SELECT source, min(doc_id) AS first_id, count(*) AS n_chunks FROM documents GROUP BY source")
+def document_listing(spark, sf_dir):
+    return corpus.document_listing(_t(spark, sf_dir, "documents"))
+
+
+_TERMS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark),
+c AS (SELECT doc_id AS chunk_id, {_TERMS} AS ts FROM documents), s AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM c),
+p AS (SELECT chunk_id, len(ts) AS dl, unnest(ts) AS term FROM c), tf AS (SELECT chunk_id, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+sc AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS bm25_score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, chunk_id) AS bm25_rank FROM sc QUALIFY bm25_rank <= 20)"""
+
+
+def _asked(spark, sf_dir):
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+@query(f"WITH {_BM25} SELECT query_id, chunk_id, bm25_rank FROM b")
+def bm25_topk(spark, sf_dir):
+    return retrieval.bm25_topk(*_asked(spark, sf_dir)).select("query_id", "chunk_id", "bm25_rank")
+
+
+def _embed(src: str, key: str, name: str) -> str:
+    return rf"""{name}t AS (SELECT {key} AS k, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS t FROM {src}),
+{name}d AS (SELECT k, count(*) AS n, sha256(t) AS d FROM {name}t GROUP BY k, t),
+{name}s AS (SELECT k, (('0x' || substr(d, 1, 8))::BIGINT % 128)::INT AS ix, sum(CASE WHEN ('0x' || substr(d, 9, 2))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END * n)::DOUBLE AS v FROM {name}d GROUP BY 1, 2 HAVING v <> 0),
+{name} AS (SELECT k, ix, v / sqrt(sum(v * v) OVER (PARTITION BY k)) AS value FROM {name}s)"""
+
+
+@query(f"WITH {_embed('benchmark', 'item_id', 'e')} SELECT k AS query_id, ix, round(value, 9) AS value FROM e")
+def hash_embed(spark, sf_dir):
+    return retrieval.hash_embed(_asked(spark, sf_dir)[0], "query_id").select("query_id", "ix", F.round("value", 9).alias("value"))
+
+
+_HYBRID = f"""{_BM25}, {_embed('benchmark', 'item_id', 'qe')}, {_embed('documents', 'doc_id', 'ce')},
+dd AS (SELECT qe.k AS query_id, ce.k AS chunk_id, round(sum(qe.value * ce.value), 6) AS dense_score FROM qe JOIN ce USING (ix) GROUP BY 1, 2),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS dense_rank FROM dd QUALIFY dense_rank <= 20),
+u AS (SELECT query_id, chunk_id, dense_rank AS rank FROM dr UNION ALL SELECT query_id, chunk_id, bm25_rank FROM b),
+h AS (SELECT query_id, chunk_id, round(sum(1 / (60.0 + rank)), 9) AS rrf_score FROM u GROUP BY 1, 2),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rrf_rank FROM h QUALIFY rrf_rank <= 8)"""
+
+
+@query(f"""WITH {_HYBRID} SELECT query_id, chunk_id, rrf_rank, dense_rank, bm25_rank FROM hr LEFT JOIN dr USING (query_id, chunk_id) LEFT JOIN b USING (query_id, chunk_id)""")
+def hybrid_search(spark, sf_dir):
+    return retrieval.hybrid_search(*_asked(spark, sf_dir)).select("query_id", "chunk_id", "rrf_rank", "dense_rank", "bm25_rank")
+
+
+@query("""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e FROM n WHERE vec_id % 100 = 0),
+ s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(q.e, n.e), 9) AS s FROM q, n)
+ SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS dense_rank FROM s QUALIFY dense_rank <= 20""")
+def dense_topk(spark, sf_dir):
+    vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    queries = vectors.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
+    return retrieval.dense_topk(queries, vectors).select("query_id", "chunk_id", "dense_rank")
+
+
+_METRICS = f"""{_HYBRID}, x AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)),
+xs AS (SELECT query_id, count(*) AS ne FROM x GROUP BY 1), xf AS (SELECT query_id, min(rrf_rank) AS first_rank, count(*) FILTER (rrf_rank <= 5) AS n FROM hr JOIN x USING (query_id, chunk_id) GROUP BY 1),
+mm AS (SELECT query_id, first_rank, coalesce(n, 0) > 0 AS hit, coalesce(n, 0) / 5 AS precision, coalesce(n, 0) / ne AS recall, coalesce(1 / first_rank, 0) AS reciprocal_rank FROM xs LEFT JOIN xf USING (query_id))"""
+
+
+def _metrics(spark, sf_dir):
+    queries, chunks = _asked(spark, sf_dir)
+    hits = retrieval.hybrid_search(queries, chunks).select("query_id", "chunk_id", F.col("rrf_rank").alias("rank"))
+    # The labels: benchmark items, a table of bounded size, against all documents.
+    labels = chunks.join(queries.withColumnRenamed("text", "asked"), F.contains("text", "asked")).select("query_id", "chunk_id")
+    return evaluation.per_question_metrics(hits, labels)
+
+
+@query(f"WITH {_METRICS} SELECT * FROM mm")
+def question_metrics(spark, sf_dir):
+    return _metrics(spark, sf_dir)
+
+
+@query(f"""WITH {_METRICS} SELECT count(*) AS questions, round(avg(hit::INT), 4) AS hit_rate, round(avg(precision), 4) AS mean_precision, round(avg(recall), 4) AS mean_recall,
+ round(avg(reciprocal_rank), 4) AS mrr, count(*) FILTER (NOT hit) AS miss_count FROM mm""")
+def retrieval_summary(spark, sf_dir):
+    return evaluation.summary(_metrics(spark, sf_dir))
+
+
+@query("""SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1""")
+def latency_percentiles(spark, sf_dir):
+    return evaluation.percentile_nearest_rank(_t(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+@query("""WITH s AS (SELECT doc_id AS query_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, source FROM documents),
+ c AS (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY rank) AS upto FROM s WHERE rank <= 8),
+ f AS (SELECT *, min(CASE WHEN rank > 2 AND upto > 7200 THEN rank END) OVER (PARTITION BY source) AS first FROM c) SELECT source, rank, n_chars FROM f WHERE first IS NULL OR rank < first""")
+def select_context(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    rows = _t(spark, sf_dir, "documents").select(
+        F.col("source").alias("query_id"), "n_chars", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("rank"), F.lit(None).cast("double").alias("rerank_score")
+    )
+    return retrieval.select_context(rows).select(F.col("query_id").alias("source"), "rank", "n_chars")
+
+
+@query(r"""WITH u AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS norm FROM conversations WHERE role = 'user')
+ SELECT a.conv_id, a.turn, max(b.turn) AS prior_turn FROM u a LEFT JOIN u b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.norm <> a.norm GROUP BY 1, 2""")
+def prior_turn(spark, sf_dir):
+    return conversation.latest_prior_user(_t(spark, sf_dir, "conversations"))
+
+
+@query("SELECT conv_id, count(*) AS revision, max(turn) AS last_turn FROM conversations GROUP BY 1")
+def conversation_revisions(spark, sf_dir):
+    return conversation.revisions(_t(spark, sf_dir, "conversations"))
+
+
+@query("""WITH o AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'system' GROUP BY 1), n AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role = 'assistant')
+ SELECT n.conv_id AS session_id, coalesce(o.last, 0) + rn AS version, text AS summary FROM n LEFT JOIN o ON n.conv_id = o.conv_id""")
+def summary_versions(spark, sf_dir):
+    turns = _t(spark, sf_dir, "conversations")
+    old = turns.where("role = 'system'").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("version"))
+    new = turns.where("role = 'assistant'").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.col("text").alias("summary"))
+    return conversation.next_versions(old, new)
+
+
+_GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1)), lambda i: substr({0}, i, 3)))"
+
+
+@query(f"""SELECT item_id, doc_id, round(CASE WHEN contains(d.text, b.text) THEN 1.0 ELSE len(list_intersect({_GRAMS.format('b.text')}, {_GRAMS.format('d.text')})) / len({_GRAMS.format('b.text')}) END, 9) AS recall
+ FROM benchmark b JOIN documents d ON d.doc_id % 100 = b.item_id % 100""")
+def trigram_recall(spark, sf_dir):
+    items = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("expected"))
+    pairs = _t(spark, sf_dir, "documents").join(items, F.col("doc_id") % 100 == F.col("item_id") % 100)
+    return pairs.select("item_id", "doc_id", F.round(T.ngram_recall(F.col("expected"), F.col("text")), 9).alias("recall"))
