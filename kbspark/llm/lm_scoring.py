@@ -72,7 +72,7 @@ def _owner(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def _planes(values: np.ndarray) -> bytes:
     """Numbers with all first bytes, then all second bytes, and so on: the zeros of small numbers compress away."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
 
 
 def _numbers(data: bytes, kind: type) -> np.ndarray:
