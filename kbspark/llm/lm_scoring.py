@@ -218,21 +218,19 @@ def score(docs: DataFrame, held: F.Column | None = None, shard_mb: float = 10.0,
     named = named.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartition(parts, "shard")
     asked = named.groupBy("shard").applyInArrow(_request(parts), "part int, shard int, kind int, keys binary, counts binary")
     replies = asked.repartition(parts, "part").groupBy("part").applyInArrow(_total, "shard int, part int, kind int, at binary, sums binary, tokens long, kinds long")
-    replies = common.materialize(replies, "replies")
-    common.release(spark)
+    # One plan for all that follows: the shuffled texts, requests and replies are each made once and used again.
     sums = replies.where("shard = -1").agg(F.sum("tokens").alias("all_tokens"), F.sum("kinds").alias("all_kinds"))
-    replies = replies.where("shard >= 0").select("shard", "part", "kind", "at", "sums").crossJoin(F.broadcast(sums))
+    replies = replies.where("shard >= 0").select("shard", "part", "kind", "at", "sums").crossJoin(F.broadcast(sums)).repartition(parts, "shard")
     tallied = named.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(_tally(parts), "bucket int, r2 int, r1 int, n long")
     tallied = tallied.groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
-    weights = spark.createDataFrame(_fit(rounds)(tallied.toPandas()))  # bounded by buckets and steps
-    del tallied, asked
-    common.release(spark)
+    tallied = tallied.union(spark.range(1).selectExpr("0", "0", "0", "0L"))  # an event of no weight: there is always a group
+    weights = tallied.groupBy().applyInPandas(_fit(rounds), "weights array<double>")  # rows bounded by buckets and steps
     schema = docs.select(
         "doc_id", F.lit(True).alias("held_out"), *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")], *[F.lit(0.0).alias(c) for c in ("base_score", "score")]
     ).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    replies = replies.crossJoin(F.broadcast(weights))
+    replies = replies.crossJoin(F.broadcast(weights))  # one row
     return named.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(_score(parts, to_arrow_schema(schema)), schema)
 
 
