@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.pages import COMPLEX_SHARE
 
 
 def drop_recurring_margin_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -109,3 +110,10 @@ def snapshot_revision(chunks: DataFrame, columns: list[str]) -> DataFrame:
     piece = lambda i: F.sum(F.conv(F.substring("d", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string")
     folds = row.groupBy(F.substring("d", 1, 2).alias("b")).agg(F.concat_ws(".", *[piece(i) for i in range(8)]).alias("f"))
     return folds.agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "b", "f")))), 256).alias("revision"))
+
+
+def document_routes(pages: DataFrame, key: str) -> DataFrame:
+    """(key, pages, complex_pages, parser) of page routes: over 35% of pages that aren't simple need the complex parser."""
+    hard = F.col("route") != "simple_text"
+    share = F.avg(hard.cast("int"))
+    return pages.groupBy(key).agg(F.count("*").alias("pages"), F.count_if(hard).alias("complex_pages"), F.when(share > COMPLEX_SHARE, "complex").otherwise("fast").alias("parser"))

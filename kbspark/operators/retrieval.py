@@ -107,12 +107,59 @@ def select_context(sources: DataFrame, most: int = 8, least: int = 2, chars: int
     return marked.withColumn("_first", first).where("_first IS NULL OR rank < _first").drop("_stop", "_first")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 20, final: int = 8, dim: int = 128) -> DataFrame:
-    """BM25 and hash-embedding legs, fused by reciprocal ranks, for every query (query_id, text) over all chunks."""
+def hash_dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 20, dim: int = 128) -> DataFrame:
+    """(query_id, chunk_id, dense_score, dense_rank): top-k by cosine of hash embeddings, ties by id."""
     q = hash_embed(queries, "query_id", dim=dim)
     c = hash_embed(chunks, "chunk_id", dim=dim)
     dots = q.join(c.withColumnRenamed("value", "cv"), "ix").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("value") * F.col("cv")), 6).alias("dense_score"))
     order = W.partitionBy("query_id").orderBy(F.desc("dense_score"), "chunk_id")
-    dense = dots.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= k)
+    return dots.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= k)
+
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 20, final: int = 8, dim: int = 128) -> DataFrame:
+    """BM25 and hash-embedding legs, fused by reciprocal ranks, for every query (query_id, text) over all chunks."""
+    dense = hash_dense_topk(queries, chunks, k, dim)
     sparse = bm25_topk(queries, chunks, k)
     return decorate_hits(rrf_fuse([(dense, "dense_rank"), (sparse, "bm25_rank")], keep=final), dense, sparse)
+
+
+def lexical_scores(queries: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, rerank_score) of hits: the share of the query's distinct terms that the chunk has."""
+    asked = queries.select("query_id", F.array_distinct(T.terms(F.col("text"))).alias("_asked"))
+    texts = hits.select("query_id", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
+    share = F.size(F.array_intersect("_asked", T.terms(F.col("text")))) / F.size("_asked")
+    return texts.where(F.size("_asked") > 0).select("query_id", "chunk_id", F.round(share, 9).alias("rerank_score"))
+
+
+def apply_rerank(candidates: DataFrame, scores: DataFrame, n: int = 8) -> DataFrame:
+    """candidates (query_id, chunk_id, rank) with rerank_score and rerank_rank, at most n a query.
+
+    Where a query has scores, only scored candidates stay, best first; without any the first n stay in their order,
+    with nulls.
+    """
+    w = W.partitionBy("query_id")
+    both = candidates.join(scores, ["query_id", "chunk_id"], "left").withColumn("_scored", F.count("rerank_score").over(w) > 0)
+    both = both.where("NOT _scored OR rerank_score IS NOT NULL")
+    both = both.withColumn("_place", F.row_number().over(w.orderBy(F.desc_nulls_last("rerank_score"), "rank"))).where(F.col("_place") <= n)
+    return both.withColumn("rerank_rank", F.when(F.col("_scored"), F.col("_place"))).drop("_scored", "_place")
+
+
+def multi_query_union(hits: DataFrame) -> DataFrame:
+    """hits (query_id, leg, chunk_id, rank) of several queries for one question: each chunk once, from its earliest leg,
+    with its place in the order of legs and ranks."""
+    first = F.row_number().over(W.partitionBy("query_id", "chunk_id").orderBy("leg", "rank"))
+    once = hits.withColumn("_n", first).where("_n = 1").drop("_n")
+    return once.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("leg", "rank", "chunk_id")))
+
+
+def format_context(sources: DataFrame) -> DataFrame:
+    """(query_id, context) of selected sources (query_id, rank, name, page, section, scenario, text): numbered blocks.
+    A question's sources are those that select_context kept, so their number is bounded."""
+    # Labels of the parts of a block.
+    extra = lambda label, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f", {label}: "), c)).otherwise("")
+    block = F.concat(
+        F.lit("来源: "), "name", extra("页码", F.col("page").cast("string")), extra("章节", F.col("section")), F.lit(", 场景: "), "scenario", F.lit("\n"), "text"
+    )
+    listed = sources.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("blocks"))
+    numbered = F.transform("blocks", lambda b, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), b["block"]))
+    return listed.select("query_id", F.array_join(numbered, "\n\n").alias("context"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import pages as P
+from ..functions import questions as Q
 from ..functions import text as T
 from ..operators import conversation, corpus, evaluation, retrieval
 
@@ -259,3 +261,194 @@ def trigram_recall(spark, sf_dir):
     items = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("expected"))
     pairs = _t(spark, sf_dir, "documents").join(items, F.col("doc_id") % 100 == F.col("item_id") % 100)
     return pairs.select("item_id", "doc_id", F.round(T.ngram_recall(F.col("expected"), F.col("text")), 9).alias("recall"))
+
+
+_ASKED = r"""m AS (SELECT conv_id, turn, role, trim(regexp_replace(CASE WHEN role <> 'user' THEN '' WHEN (conv_id + turn) % 4 = 0 THEN 'Then ' WHEN (conv_id + turn) % 4 = 1 THEN 'What about '
+  WHEN (conv_id + turn) % 4 = 2 THEN 'the second option ' WHEN conv_id % 3 = 0 THEN 'compare ' ELSE '' END || text, '\s+', ' ', 'g')) AS norm FROM conversations),
+u AS (SELECT conv_id, turn, norm FROM m WHERE role = 'user'), w AS (SELECT a.conv_id, a.turn, a.norm, max(b.turn) AS pt FROM u a LEFT JOIN u b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.norm <> '' AND b.norm <> a.norm GROUP BY 1, 2, 3),
+r AS (SELECT w.conv_id, w.turn, arg_min(m.norm, m.turn) AS answer FROM w JOIN m ON w.conv_id = m.conv_id AND m.role = 'assistant' AND m.norm <> '' AND m.turn > w.pt
+  WHERE NOT EXISTS (SELECT 1 FROM u x WHERE x.conv_id = w.conv_id AND x.turn > w.pt AND x.turn < m.turn) GROUP BY 1, 2),
+p AS (SELECT w.conv_id, w.turn, w.norm AS question, b.norm AS prior_user, substr(answer, 1, 800) AS prior_answer FROM w LEFT JOIN u b ON b.conv_id = w.conv_id AND b.turn = w.pt LEFT JOIN r ON r.conv_id = w.conv_id AND r.turn = w.turn)"""
+_REF = rf"regexp_matches(question, '{Q.ANSWER_REFERENCE}')"
+_FLAGS = rf"""{_ASKED}, f AS (SELECT *, {_REF} AS refers, {_REF} OR regexp_matches(question, '{Q.FOLLOW_UP}') AS follow_up,
+ regexp_matches(question, '{Q.COMPARISON}') OR regexp_matches(question, '{Q.MULTI_CONSTRAINT}') OR regexp_matches(question, '{Q.DIAGNOSTIC_ORDER}') AS hard FROM p)"""
+_REWRITTEN = rf"""{_FLAGS}, g AS (SELECT *, CASE WHEN prior_user IS NOT NULL AND follow_up THEN 'Previous user question: ' || prior_user || chr(10) || CASE WHEN refers AND prior_answer IS NOT NULL THEN 'Previous assistant answer: ' || prior_answer || chr(10) ELSE '' END
+  || 'Current follow-up: ' || question ELSE question END AS made,
+ CASE WHEN hard THEN CASE turn % 4 WHEN 0 THEN substr(question, 9, 200) WHEN 1 THEN '["x"]' WHEN 2 THEN '- ' || substr(question, 1, 50) ELSE NULL END END AS offered FROM f),
+v AS (SELECT *, CASE WHEN turn % 4 = 0 AND length(trim(offered)) >= 2 THEN trim(offered) END AS given FROM g),
+t AS (SELECT conv_id, turn, CASE WHEN hard THEN 'llm' WHEN made <> question THEN 'follow_up' ELSE 'passthrough' END AS mode, coalesce(given, made) AS query, hard AND given IS NULL AS fallback_used FROM v)"""
+
+
+def _turns(spark, sf_dir):
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    prefix = (
+        F.when(F.col("role") != "user", "").when(kind == 0, "Then ").when(kind == 1, "What about ").when(kind == 2, "the second option ")
+        .when(F.col("conv_id") % 3 == 0, "compare ").otherwise("")
+    )
+    return conversation.prior_turns(_t(spark, sf_dir, "conversations").withColumn("text", F.concat(prefix, "text")))
+
+
+def _rewritten(spark, sf_dir):
+    # What a model would have given: valid, JSON, a list item or nothing.
+    kind = F.col("turn") % 4
+    offered = F.when(kind == 0, F.substring("question", 9, 200)).when(kind == 1, '["x"]').when(kind == 2, F.concat(F.lit("- "), F.substring("question", 1, 50)))
+    return conversation.rewrite(_turns(spark, sf_dir).withColumn("offered", offered), "offered")
+
+
+@query(f"WITH {_FLAGS} SELECT conv_id, turn, prior_user, prior_answer, refers AS references_answer, follow_up AS is_follow_up, hard AS is_complex FROM f")
+def question_kinds(spark, sf_dir):
+    q = F.col("question")
+    return _turns(spark, sf_dir).select(
+        "conv_id", "turn", "prior_user", "prior_answer", Q.references_answer(q).alias("references_answer"), Q.is_follow_up(q).alias("is_follow_up"), Q.is_complex(q).alias("is_complex")
+    )
+
+
+@query(f"WITH {_REWRITTEN} SELECT conv_id, turn, mode, query, length(query)::INT AS query_chars, fallback_used FROM t")
+def question_rewrite(spark, sf_dir):
+    return _rewritten(spark, sf_dir).select("conv_id", "turn", "mode", "query", F.length("query").alias("query_chars"), "fallback_used")
+
+
+@query(f"""WITH {_REWRITTEN} SELECT count(*) AS questions, round(avg((mode = 'llm')::INT), 4) AS llm_call_rate, round(avg(fallback_used::INT), 4) AS fallback_rate,
+ count(*) FILTER (mode = 'passthrough') AS passthrough, count(*) FILTER (mode = 'follow_up') AS follow_up, count(*) FILTER (mode = 'llm') AS llm FROM t""")
+def rewrite_summary(spark, sf_dir):
+    return conversation.rewrite_summary(_rewritten(spark, sf_dir))
+
+
+def _unique(items: str) -> str:
+    return f"list_filter({items}, lambda x, i: trim(x) <> '' AND list_position(list_transform({items}, lambda y: lower(trim(y))), lower(trim(x))) = i)"
+
+
+_STOP = ", ".join(f"'{w}'" for w in Q.STOP_WORDS)
+_EDGE = r"^[.:;；：()（）\[\]【】]+|[.:;；：()（）\[\]【】]+$"
+_KEYWORDS = rf"""k0 AS (SELECT conv_id, turn, norm AS question, list_filter(list_transform(regexp_split_to_array(regexp_replace(norm, '[?？,，]', ' ', 'g'), '\s+'), lambda t: regexp_replace(t, '{_EDGE}', '', 'g')),
+  lambda t: length(t) >= 2 AND lower(t) NOT IN ({_STOP})) AS ts FROM u), k AS (SELECT conv_id, turn, question, {_unique('ts')} AS ks FROM k0)"""
+
+
+@query(f"WITH {_ASKED}, {_KEYWORDS} SELECT conv_id, turn, array_to_string(ks, ',') AS keywords, len(ks)::INT AS n FROM k")
+def question_keywords(spark, sf_dir):
+    return _turns(spark, sf_dir).withColumn("ks", Q.keywords(F.col("question"))).select("conv_id", "turn", F.array_join("ks", ",").alias("keywords"), F.size("ks").alias("n"))
+
+
+def _weak(text: str) -> str:
+    made = text
+    for term in Q.WEAK_TERMS:
+        made = f"replace({made}, '{term}', ' ')"
+    return rf"coalesce(nullif(trim(regexp_replace({made}, '\s+', ' ', 'g')), ''), {text})"
+
+
+def _head(text: str, n: int) -> str:
+    return rf"CASE WHEN len(string_split({text}, ' ')) > {n} THEN array_to_string(list_slice(string_split({text}, ' '), 1, {n}), ' ') END"
+
+
+_TRIED = "CASE WHEN turn % 2 = 0 THEN [upper(question)] ELSE []::VARCHAR[] END"
+
+
+@query(rf"""WITH {_ASKED}, {_KEYWORDS}, a AS (SELECT *, 'specific ' || question AS rw FROM k), b AS (SELECT *, {_weak('rw')} AS s1, {_weak('question')} AS s2 FROM a),
+ c AS (SELECT *, conv_id % 3 AS s, CASE conv_id % 3 WHEN 0 THEN list_filter([s1, {_head('s1', 3)}, {_head('s1', 2)}, s2, {_head('s2', 3)}, {_head('s2', 2)}], lambda x: x IS NOT NULL)
+  WHEN 1 THEN [rw, question || ' process conditions steps requirements', rw || ' process conditions steps requirements']
+  ELSE list_filter([array_to_string(list_slice(['specific'] || list_filter(ks, lambda x: lower(x) <> 'specific'), 1, 4), ' '),
+    CASE WHEN len(ks) >= 2 THEN array_to_string(['specific', ks[1], ks[-1]], ' ') END, CASE WHEN len(ks) >= 1 THEN array_to_string(['specific', ks[1], 'process', 'requirements'], ' ') END], lambda x: x IS NOT NULL) END AS q0 FROM b),
+ d AS (SELECT conv_id, turn, question, s, {_unique('q0')} AS q1 FROM c)
+ SELECT conv_id, turn, CASE s WHEN 0 THEN 'broaden' WHEN 1 THEN 'query_rewrite' ELSE 'keyword' END AS strategy,
+ array_to_string(list_slice(list_filter(q1, lambda x: NOT list_contains(list_transform({_TRIED}, lambda y: lower(y)), lower(trim(x)))), 1, 3), chr(10)) AS queries FROM d""")
+def retry_queries(spark, sf_dir):
+    strategy = F.element_at(F.array(F.lit("broaden"), F.lit("query_rewrite"), F.lit("keyword")), (F.col("conv_id") % 3 + 1).cast("int"))
+    tried = F.when(F.col("turn") % 2 == 0, F.array(F.upper("question"))).otherwise(F.array().cast("array<string>"))
+    turns = _turns(spark, sf_dir).withColumns({"strategy": strategy, "rw": F.concat(F.lit("specific "), "question"), "tried": tried})
+    made = Q.retry_queries(F.col("strategy"), F.col("rw"), F.col("question"), F.col("tried"))
+    return turns.select("conv_id", "turn", "strategy", F.array_join(made, "\n").alias("queries"))
+
+
+_CLEAN = r"""c AS (SELECT doc_id, source, regexp_replace(regexp_replace(CASE WHEN doc_id % 5 = 0 THEN replace(text, 'e', chr(65533)) ELSE text END, '[ \t]+\n', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
+h AS (SELECT doc_id, unnest(string_split(t, '')) AS ch, unnest(range(length(t))) AS pos FROM c), i AS (SELECT doc_id, ch, pos - row_number() OVER (PARTITION BY doc_id, ch ORDER BY pos) AS g FROM h WHERE NOT regexp_matches(ch, '\s')),
+j AS (SELECT doc_id, max(n) AS run FROM (SELECT doc_id, count(*) AS n FROM i GROUP BY doc_id, ch, g) GROUP BY 1),
+e AS (SELECT doc_id, source, t, length(t) AS n, coalesce(run, 1) / length(t) AS rep, least(1, (length(regexp_replace(regexp_replace(t, '[^\p{Cc}\p{Co}\x{FFFD}]', '', 'g'), '\s', '', 'g')) + length(regexp_replace(t, '[^\x{FFFD}]', '', 'g'))
+  + length(t) - length(replace(t, 'ï¿½', '')) + length(t) - length(replace(t, '□□', ''))) / length(t)) AS garbled,
+ round(least(1, (length(regexp_replace(t, '[^∑∫√∞≈≠≤≥±×÷∂πθλμσΔΣΩαβγ^=<>]', '', 'g')) + 8 * len(regexp_extract_all(t, '(?:^|[^\p{L}\p{N}_])[a-zA-Z]\s*[=<>]\s*[-+*/()a-zA-Z0-9]+'))
+  + 8 * len(regexp_extract_all(t, '\\(?:frac|sum|int|sqrt|alpha|beta|gamma|theta|lambda)\b'))) / length(t)), 4) AS math FROM c LEFT JOIN j USING (doc_id)),
+y AS (SELECT *, (doc_id % 10) / 10 AS img, doc_id % 50 AS dr FROM e),
+z AS (SELECT *, CASE WHEN n < 200 AND img >= 0.45 THEN 'mineru_ocr' WHEN n > 0 AND garbled > 0.05 THEN 'mineru_ocr' WHEN dr >= 40 OR math >= 0.02 OR img >= 0.45 THEN 'mineru_complex' WHEN n >= 200 AND img <= 0.20 THEN 'simple_text' ELSE 'mineru_complex' END AS route FROM y)"""
+
+
+def _profiles(spark, sf_dir):
+    text = F.when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("e"), F.lit("�"))).otherwise(F.col("text"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", P.page_text(text).alias("t"))
+    c = F.col("t")
+    pages = docs.select("doc_id", "source", F.length("t").alias("text_len"), P.garbled_score(c).alias("garbled"), P.repeat_score(c).alias("repeated"), P.quality_score(c).alias("quality"), P.math_score(c).alias("math"))
+    image = (F.col("doc_id") % 10) / 10
+    return pages.withColumn("route", P.route_page(F.col("text_len"), F.col("garbled"), image, F.col("doc_id") % 50, F.col("math")))
+
+
+@query(f"""WITH {_CLEAN} SELECT doc_id, n::INT AS text_len, round(garbled, 6) AS garbled, round(rep, 6) AS repeated, round(least(n / 200, 1) * (1 - garbled) * (1 - rep), 6) AS quality, math, route FROM z""")
+def page_routes(spark, sf_dir):
+    pages = _profiles(spark, sf_dir)
+    return pages.select("doc_id", "text_len", *[F.round(c, 6).alias(c) for c in ("garbled", "repeated", "quality")], "math", "route")
+
+
+@query(f"""WITH {_CLEAN} SELECT source, count(*) AS pages, count(*) FILTER (route <> 'simple_text') AS complex_pages, CASE WHEN avg((route <> 'simple_text')::INT) > 0.35 THEN 'complex' ELSE 'fast' END AS parser FROM z GROUP BY 1""")
+def document_routes(spark, sf_dir):
+    return corpus.document_routes(_profiles(spark, sf_dir), "source")
+
+
+_TABLE = r"""l0 AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM l0),
+b AS (SELECT doc_id, pos, '| ' || pos || ' | ' || replace(line, '|', '\|') || ' |' AS row, '### Lines of ' || doc_id || chr(10) || chr(10) || '| n | line |' || chr(10) || '| --- | --- |' AS head FROM l)"""
+
+
+def _tables(spark, sf_dir):
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    rows = F.transform(lines, lambda x, i: F.array((i + 1).cast("string"), x))
+    title = F.concat(F.lit("Lines of "), F.col("doc_id").cast("string"))
+    return _t(spark, sf_dir, "documents").select("doc_id", P.markdown_table(title, F.array(F.lit("n"), F.lit("line")), rows).alias("md"))
+
+
+@query(f"WITH {_TABLE} SELECT doc_id, pos::INT AS part, md5(head || chr(10) || row) AS part_md5 FROM b")
+def table_rows(spark, sf_dir):
+    return _tables(spark, sf_dir).select("doc_id", F.posexplode(P.table_rows(F.col("md"))).alias("p", "t")).select("doc_id", (F.col("p") + 1).alias("part"), F.md5(F.col("t").cast("binary")).alias("part_md5"))
+
+
+@query(rf"""WITH RECURSIVE {_TABLE}, g AS (SELECT doc_id, pos, 1 AS part, length(head) + 1 + length(row) AS used FROM b WHERE pos = 1 UNION ALL
+ SELECT b.doc_id, b.pos, CASE WHEN g.used + 1 + length(row) > 900 THEN g.part + 1 ELSE g.part END, CASE WHEN g.used + 1 + length(row) > 900 THEN length(head) + 1 + length(row) ELSE g.used + 1 + length(row) END
+ FROM g JOIN b ON b.doc_id = g.doc_id AND b.pos = g.pos + 1)
+ SELECT doc_id, part::INT AS part, count(*)::INT AS n_rows, md5(any_value(head) || chr(10) || string_agg(row, chr(10) ORDER BY pos)) AS part_md5 FROM g JOIN b USING (doc_id, pos) GROUP BY 1, 2""")
+def table_parts(spark, sf_dir):
+    parts = _tables(spark, sf_dir).select("doc_id", F.posexplode(P.table_parts(F.col("md"), 900)).alias("p", "t")).where(F.size(F.split("t", "\n")) > 4)
+    return parts.select("doc_id", (F.col("p") + 1).alias("part"), (F.size(F.split("t", "\n")) - 4).alias("n_rows"), F.md5(F.col("t").cast("binary")).alias("part_md5"))
+
+
+_RERANKED = f"""{_HYBRID}, ask AS (SELECT item_id AS query_id, list_distinct({_TERMS}) AS qs FROM benchmark),
+rr AS (SELECT query_id, chunk_id, rrf_rank, round(len(list_intersect(qs, ts)) / len(qs), 9) AS rerank_score FROM hr JOIN ask USING (query_id) JOIN c USING (chunk_id) WHERE query_id % 3 <> 0 AND chunk_id % 7 <> 0),
+ra AS (SELECT hr.query_id, hr.chunk_id, hr.rrf_rank, rerank_score, count(rerank_score) OVER (PARTITION BY hr.query_id) > 0 AS scored FROM hr LEFT JOIN rr USING (query_id, chunk_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, rrf_rank) AS place FROM ra WHERE NOT scored OR rerank_score IS NOT NULL)"""
+
+
+@query(f"WITH {_RERANKED} SELECT query_id, chunk_id, rrf_rank, rerank_score, CASE WHEN scored THEN place END AS rerank_rank FROM rk WHERE place <= 5")
+def rerank(spark, sf_dir):
+    queries, chunks = _asked(spark, sf_dir)
+    hits = retrieval.hybrid_search(queries, chunks).select("query_id", "chunk_id", F.col("rrf_rank").alias("rank"))
+    # Some queries and some chunks go without a score.
+    scores = retrieval.lexical_scores(queries, hits, chunks).where("query_id % 3 <> 0 AND chunk_id % 7 <> 0")
+    return retrieval.apply_rerank(hits, scores, 5).withColumnRenamed("rank", "rrf_rank").select("query_id", "chunk_id", "rrf_rank", "rerank_score", "rerank_rank")
+
+
+@query(f"""WITH {_HYBRID}, x0 AS (SELECT query_id, chunk_id, 0 AS leg, bm25_rank AS rank FROM b WHERE bm25_rank <= 5 UNION ALL SELECT query_id, chunk_id, 1, dense_rank FROM dr WHERE dense_rank <= 5),
+ x1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY leg, rank) AS n FROM x0)
+ SELECT query_id, chunk_id, leg, rank, row_number() OVER (PARTITION BY query_id ORDER BY leg, rank, chunk_id) AS place FROM x1 WHERE n = 1""")
+def multi_query_union(spark, sf_dir):
+    queries, chunks = _asked(spark, sf_dir)
+    sparse = retrieval.bm25_topk(queries, chunks, 5).select("query_id", "chunk_id", F.lit(0).alias("leg"), F.col("bm25_rank").alias("rank"))
+    dense = retrieval.hash_dense_topk(queries, chunks, 5).select("query_id", "chunk_id", F.lit(1).alias("leg"), F.col("dense_rank").alias("rank"))
+    return retrieval.multi_query_union(sparse.union(dense))
+
+
+@query("""WITH s AS (SELECT doc_id, source, lang, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents QUALIFY rank <= 4)
+ SELECT source, md5(string_agg('[' || rank || '] 来源: ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ', 页码: ' || (doc_id % 9) ELSE '' END || ', 场景: ' || lang || chr(10) || substr(text, 1, 400), chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM s GROUP BY 1""")
+def format_context(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    # The feature: four snippets of 400 characters for each group.
+    rows = _t(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).where("rank <= 4").select(
+        F.col("source").alias("query_id"), "rank", F.col("doc_id").cast("string").alias("name"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 9).alias("page"),
+        F.lit(None).cast("string").alias("section"), F.col("lang").alias("scenario"), F.substring("text", 1, 400).alias("text"),
+    )
+    return retrieval.format_context(rows).select(F.col("query_id").alias("source"), F.md5(F.col("context").cast("binary")).alias("context_md5"))
