@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Marks of wrong decoding, signs and patterns of formulas, thresholds of the routes.
 MOJIBAKE = ("\ufffd", "锟斤拷", "ï¿½", "□□", "\x00")
 SUSPECT = r"[\p{Cc}\p{Co}\x{FFFD}&&[^\s\x1C-\x1F\x{85}]]"
@@ -66,36 +68,40 @@ def markdown_table(title: Column, headers: Column, rows: Column) -> Column:
     return F.when(F.size(headers) > 0, F.array_join(F.concat(head, body), "\n")).otherwise(F.concat(F.lit("### "), title))
 
 
-def _table(markdown: Column) -> tuple[Column, Column]:
-    """Lines up to the rule under the header (null without a table), and filled lines below it."""
+def _table(markdown: Column, use) -> Column:
+    """use(t) of a table's lines up to the rule under the header (t.head, null without a table) and filled ones below (t.body)."""
     text = F.regexp_replace(markdown, r"^\s+|\s+$", "")
     lines = F.transform(F.split(text, "\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"\s+$", ""))
-    at = F.array_position(F.transform(lines, lambda x: F.startswith(F.ltrim(x), F.lit("|"))), True)
-    whole = (at > 0) & (at < F.size(lines))
-    head = F.when(whole, F.slice(lines, F.lit(1), (at + 1).cast("int")))
-    body = F.filter(F.slice(lines, (at + 2).cast("int"), F.size(lines)), lambda x: F.trim(x) != "")
-    return head, body
+
+    def cut(at: Column, rows: Column) -> Column:
+        head = F.when((at > 0) & (at < F.size(rows)), F.slice(rows, F.lit(1), at + 1))
+        body = F.filter(F.slice(rows, at + 2, F.size(rows)), lambda x: F.trim(x) != "")
+        return F.struct(F.array_join(head, "\n").alias("head"), body.alias("body"))
+
+    start = lambda rows: F.array_position(F.transform(rows, lambda x: F.startswith(F.ltrim(x), F.lit("|"))), True).cast("int")
+    return let(lines, lambda rows: let(start(rows), lambda at: let(cut(at, rows), use)))
 
 
 def table_rows(markdown: Column) -> Column:
     """One part for each row, under the lines of the header; no part without a table."""
-    head, body = _table(markdown)
-    return F.when(head.isNull(), F.array().cast("array<string>")).otherwise(F.transform(body, lambda r: F.array_join(F.concat(head, F.array(r)), "\n")))
+    rows = lambda t: F.transform(t["body"], lambda r: F.concat(t["head"], F.lit("\n"), r))
+    return _table(markdown, lambda t: F.when(t["head"].isNull(), F.array().cast("array<string>")).otherwise(rows(t)))
 
 
 def table_parts(markdown: Column, size: int) -> Column:
     """Rows packed in order under a repeated header, each part of at most `size` characters or a single row."""
-    head, body = _table(markdown)
-    base = F.array_join(head, "\n")
     blank = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
-    def step(state: Column, row: Column) -> Column:
-        longer = F.concat(state["open"], F.lit("\n"), row)
-        full = (state["open"] != "") & (F.length(base) + F.length(longer) > size)
-        return F.struct(
-            F.when(full, F.array_append(state["done"], state["open"])).otherwise(state["done"]).alias("done"),
-            F.when(full, F.concat(F.lit("\n"), row)).otherwise(longer).alias("open"),
-        )
+    def pack(t: Column) -> Column:
+        def step(state: Column, row: Column) -> Column:
+            longer = F.concat(state["open"], F.lit("\n"), row)
+            full = (state["open"] != "") & (F.length(t["head"]) + F.length(longer) > size)
+            return F.struct(
+                F.when(full, F.array_append(state["done"], state["open"])).otherwise(state["done"]).alias("done"),
+                F.when(full, F.concat(F.lit("\n"), row)).otherwise(longer).alias("open"),
+            )
+
+        parts = F.aggregate(t["body"], blank, step, lambda s: F.array_append(s["done"], s["open"]))
+        return F.when(t["head"].isNotNull() & (F.size(t["body"]) > 0), F.transform(parts, lambda p: F.concat(t["head"], p)))
 
-    parts = F.aggregate(body, blank, step, lambda s: F.array_append(s["done"], s["open"]))
-    return F.when(head.isNull() | (F.size(body) == 0), F.array(markdown)).otherwise(F.transform(parts, lambda p: F.concat(base, p)))
+    return F.coalesce(_table(markdown, pack), F.array(markdown))

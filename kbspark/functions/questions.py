@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse
+from .text import collapse, let
 
 # Phrases and patterns that classify a question.
 FOLLOW_UP = r"(?i)^(?:and\s+then|then|what\s+about|how\s+about|continue|tell\s+me\s+more)\b"
@@ -72,13 +72,14 @@ def valid_rewrite(value: Column) -> Column:
 
 def distinct_ignoring_case(values: Column) -> Column:
     """Non-blank strings of an array, the first of those that differ in case or outer space only."""
-    keys = F.transform(values, lambda v: F.lower(F.trim(v)))
-    return F.filter(values, lambda v, i: (F.trim(v) != "") & (F.array_position(keys, F.lower(F.trim(v))) == i + 1))
+    folded = lambda v: F.lower(F.trim(v))
+    first = lambda both: F.filter(both["v"], lambda v, i: (F.trim(v) != "") & (F.array_position(both["k"], folded(v)) == i + 1))
+    return let(values, lambda vs: let(F.struct(vs.alias("v"), F.transform(vs, folded).alias("k")), first))
 
 
 def exclude(values: Column, attempted: Column) -> Column:
     tried = F.transform(attempted, lambda v: F.lower(F.trim(v)))
-    return F.filter(values, lambda v: ~F.array_contains(tried, F.lower(F.trim(v))))
+    return let(tried, lambda t: F.filter(values, lambda v: ~F.array_contains(t, F.lower(F.trim(v)))))
 
 
 def keywords(question: Column) -> Column:
@@ -105,15 +106,13 @@ def retry_queries(strategy: Column, rewritten: Column, question: Column, attempt
     """At most three queries to try next: broader ones, ones with process terms, or keywords; none tried before."""
     broad = [q for plain in (strip_weak_terms(rewritten), strip_weak_terms(question)) for q in (plain, _first_words(plain, 3), _first_words(plain, 2))]
     process = [rewritten, *[F.concat(q, F.lit(" process conditions steps requirements")) for q in (question, rewritten)]]
-    found = keywords(rewritten)
-    n = F.size(found)
-    head = lambda k, *more: F.array_join(F.concat(F.slice(found, 1, k), *more), " ")
-    words = [
-        F.when(n > 0, head(4)), F.when(n >= 3, head(2, F.slice(found, -1, 1))),
-        F.when(n >= 2, head(2, F.array(F.lit("process"), F.lit("requirements")))),
-    ]
+    head = lambda found, k, *more: F.array_join(F.concat(F.slice(found, 1, k), *more), " ")
+    words = lambda found: F.array(
+        F.when(F.size(found) > 0, head(found, 4)), F.when(F.size(found) >= 3, head(found, 2, F.slice(found, -1, 1))),
+        F.when(F.size(found) >= 2, head(found, 2, F.array(F.lit("process"), F.lit("requirements")))),
+    )
     made = (
         F.when(strategy == "broaden", F.array_compact(F.array(*broad))).when(strategy == "query_rewrite", F.array(*process))
-        .when(strategy.isin("keyword", "entity_expand"), F.array_compact(F.array(*words))).otherwise(F.array(rewritten))
+        .when(strategy.isin("keyword", "entity_expand"), F.array_compact(let(keywords(rewritten), words))).otherwise(F.array(rewritten))
     )
     return F.slice(exclude(distinct_ignoring_case(made), attempted), 1, RETRY_QUERIES)

@@ -12,6 +12,11 @@ TOC_HEADING = r"(?i)^(?:(?:table\s+of\s+)?contents|目\s*录)$"
 GARBLED_SHARE = 0.20
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: what a lambda reads from outside is else computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize_whitespace(text: Column) -> Column:
     """LF line ends, single spaces, trimmed lines, at most one blank line, trimmed ends."""
     lf = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+", " ")

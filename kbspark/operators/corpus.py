@@ -117,3 +117,42 @@ def document_routes(pages: DataFrame, key: str) -> DataFrame:
     hard = F.col("route") != "simple_text"
     share = F.avg(hard.cast("int"))
     return pages.groupBy(key).agg(F.count("*").alias("pages"), F.count_if(hard).alias("complex_pages"), F.when(share > COMPLEX_SHARE, "complex").otherwise("fast").alias("parser"))
+
+
+def active_job(jobs: DataFrame, job_id: str) -> DataFrame:
+    """(doc_id, job) of the earliest active job of each document, ties by id."""
+    return jobs.where("active").groupBy("doc_id").agg(F.min(F.struct("created_at", job_id)).alias("_job")).select("doc_id", f"_job.{job_id}")
+
+
+def consistency(chunks: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """(key, chunks, vectors, ok): ok where both sides hold as many rows and no document failed or is in work."""
+    bad = F.count_if(F.col("status").isin("failed", "parsing", "indexing"))
+    left = chunks.groupBy(key).agg(F.count("*").alias("chunks"), bad.alias("_bad"))
+    both = left.join(vectors.groupBy(key).agg(F.count("*").alias("vectors")), key, "full_outer").na.fill(0, ["chunks", "vectors", "_bad"])
+    return both.select(key, "chunks", "vectors", ((F.col("chunks") == F.col("vectors")) & (F.col("_bad") == 0)).alias("ok"))
+
+
+def _violations(rows: DataFrame, rule: str) -> DataFrame:
+    return rows.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+
+
+def duplicate_keys(rows: DataFrame, keys: list[str], rule: str) -> DataFrame:
+    """Number of keys that more than one row has."""
+    return _violations(rows.groupBy(*keys).count().where("count > 1"), rule)
+
+
+def orphans(rows: DataFrame, parents: DataFrame, key: str, rule: str) -> DataFrame:
+    return _violations(rows.join(parents.select(key), key, "left_anti"), rule)
+
+
+def failing(rows: DataFrame, check, rule: str) -> DataFrame:
+    """Number of rows for which a check is false or null."""
+    return _violations(rows.where(~F.coalesce(check, F.lit(False))), rule)
+
+
+def memo_join(requests: DataFrame, memo: DataFrame, as_of, seconds: int) -> tuple[DataFrame, DataFrame]:
+    """Requests (digest, revision) answered by a memo (digest, revision, created_at, result) of the same revision and of
+    less than `seconds` of age, and those that none answers."""
+    fresh = memo.where(F.unix_micros("created_at") > F.unix_micros(F.lit(as_of).cast("timestamp")) - seconds * 1_000_000)
+    latest = fresh.groupBy("digest", "revision").agg(F.max_by("result", "created_at").alias("result"))
+    return requests.join(latest, ["digest", "revision"]), requests.join(latest, ["digest", "revision"], "left_anti")

@@ -29,3 +29,19 @@ def summary(metrics: DataFrame) -> DataFrame:
         F.count("*").alias("questions"), mean("hit").alias("hit_rate"), mean("precision").alias("mean_precision"), mean("recall").alias("mean_recall"),
         mean("reciprocal_rank").alias("mrr"), F.count_if(~F.col("hit")).alias("miss_count"),
     )
+
+
+# How much worse a candidate may be.
+MOST_DROP, MOST_LLM_RATE, MOST_P95_MS = 0.01, 0.30, 1500
+
+
+def compare_reports(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(passed, failed_gates, delta_recall, delta_mrr, delta_p95) of two reports of one row (recall, mrr, llm_call_rate, p95_ms)."""
+    both = baseline.select(*[F.col(c).alias(f"_{c}") for c in ("recall", "mrr", "p95_ms")]).crossJoin(F.broadcast(candidate))  # one row each
+    failed = F.concat_ws(
+        ",", F.when(F.col("recall") < F.col("_recall") - MOST_DROP, "recall"), F.when(F.col("mrr") < F.col("_mrr") - MOST_DROP, "MRR"),
+        F.when(F.col("llm_call_rate") > MOST_LLM_RATE, "llm_call_rate"), F.when(F.col("p95_ms") > F.col("_p95_ms") + MOST_P95_MS, "P95_ms"),
+    )
+    delta = lambda c, digits: F.round(F.col(c) - F.col(f"_{c}"), digits)
+    made = both.select(failed.alias("failed_gates"), delta("recall", 4).alias("delta_recall"), delta("mrr", 4).alias("delta_mrr"), delta("p95_ms", 2).alias("delta_p95"))
+    return made.withColumn("passed", F.col("failed_gates") == "")

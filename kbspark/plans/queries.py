@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import pages as P
 from ..functions import questions as Q
 from ..functions import text as T
-from ..operators import conversation, corpus, evaluation, retrieval
+from ..operators import conversation, corpus, evaluation, memory, retrieval
+from ..streaming import history
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -340,7 +341,7 @@ def _head(text: str, n: int) -> str:
     return rf"CASE WHEN len(string_split({text}, ' ')) > {n} THEN array_to_string(list_slice(string_split({text}, ' '), 1, {n}), ' ') END"
 
 
-_TRIED = "CASE WHEN turn % 2 = 0 THEN [upper(question)] ELSE []::VARCHAR[] END"
+_TRIED = "CASE WHEN turn % 2 = 0 THEN ['  ' || question] ELSE []::VARCHAR[] END"
 
 
 @query(rf"""WITH {_ASKED}, {_KEYWORDS}, a AS (SELECT *, 'specific ' || question AS rw FROM k), b AS (SELECT *, {_weak('rw')} AS s1, {_weak('question')} AS s2 FROM a),
@@ -350,10 +351,10 @@ _TRIED = "CASE WHEN turn % 2 = 0 THEN [upper(question)] ELSE []::VARCHAR[] END"
     CASE WHEN len(ks) >= 2 THEN array_to_string(['specific', ks[1], ks[-1]], ' ') END, CASE WHEN len(ks) >= 1 THEN array_to_string(['specific', ks[1], 'process', 'requirements'], ' ') END], lambda x: x IS NOT NULL) END AS q0 FROM b),
  d AS (SELECT conv_id, turn, question, s, {_unique('q0')} AS q1 FROM c)
  SELECT conv_id, turn, CASE s WHEN 0 THEN 'broaden' WHEN 1 THEN 'query_rewrite' ELSE 'keyword' END AS strategy,
- array_to_string(list_slice(list_filter(q1, lambda x: NOT list_contains(list_transform({_TRIED}, lambda y: lower(y)), lower(trim(x)))), 1, 3), chr(10)) AS queries FROM d""")
+ array_to_string(list_slice(list_filter(q1, lambda x: NOT list_contains(list_transform({_TRIED}, lambda y: lower(trim(y))), lower(trim(x)))), 1, 3), chr(10)) AS queries FROM d""")
 def retry_queries(spark, sf_dir):
     strategy = F.element_at(F.array(F.lit("broaden"), F.lit("query_rewrite"), F.lit("keyword")), (F.col("conv_id") % 3 + 1).cast("int"))
-    tried = F.when(F.col("turn") % 2 == 0, F.array(F.upper("question"))).otherwise(F.array().cast("array<string>"))
+    tried = F.when(F.col("turn") % 2 == 0, F.array(F.concat(F.lit("  "), "question"))).otherwise(F.array().cast("array<string>"))
     turns = _turns(spark, sf_dir).withColumns({"strategy": strategy, "rw": F.concat(F.lit("specific "), "question"), "tried": tried})
     made = Q.retry_queries(F.col("strategy"), F.col("rw"), F.col("question"), F.col("tried"))
     return turns.select("conv_id", "turn", "strategy", F.array_join(made, "\n").alias("queries"))
@@ -452,3 +453,83 @@ def format_context(spark, sf_dir):
         F.lit(None).cast("string").alias("section"), F.col("lang").alias("scenario"), F.substring("text", 1, 400).alias("text"),
     )
     return retrieval.format_context(rows).select(F.col("query_id").alias("source"), F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
+_PAYLOAD = """n AS (SELECT conv_id, turn, text, substr(text, 1, 30) AS k FROM conversations WHERE role = 'user' AND trim(text) <> '' AND trim(substr(text, 1, 30)) <> '')"""
+
+
+@query(rf"""WITH {_PAYLOAD}, f AS (SELECT *, trim(regexp_replace(k, '\s+', ' ', 'g')) AS key, trim(regexp_replace(substr(text, 1, 100), '\s+', ' ', 'g')) AS value FROM n WHERE conv_id % 6 = 0)
+ SELECT conv_id, turn, 'task' AS memory_type, key, value, (conv_id % 10) / 10 AS confidence FROM f UNION ALL SELECT conv_id, turn, 'entity', key, value, 1.0 FROM f""")
+def memory_facts(spark, sf_dir):
+    """Payloads of one conversation in six are valid; each other kind breaks one rule."""
+    turns = _t(spark, sf_dir, "conversations").where("role = 'user' AND trim(text) <> '' AND trim(substr(text, 1, 30)) <> ''")
+    key, value, kind = F.substring("text", 1, 30), F.substring("text", 1, 100), F.col("conv_id") % 6
+    fact = lambda c: F.struct(F.when(kind != 2, key).alias("key"), value.alias("value"), c.alias("confidence"))
+    sure = F.when(kind == 3, 2.0).otherwise((F.col("conv_id") % 10) / 10)
+    none = F.array().cast("array<struct<key:string,value:string,confidence:double>>")
+    fields = [F.array(fact(sure), fact(F.lit(0.5))).alias("task"), F.when(kind != 1, none).alias("constraint"), F.array(fact(F.lit(1.0))).alias("entity"), none.alias("open_question")]
+    made = F.to_json(F.struct(*fields))
+    payload = F.when(kind == 4, F.concat(F.lit("note: "), made)).when(kind == 5, F.replace(made, F.lit('"confidence"'), F.lit('"more":true,"confidence"'))).otherwise(made)
+    return memory.parse_facts(turns.select("conv_id", "turn", payload.alias("payload")), "payload").select("conv_id", "turn", "memory_type", "key", "value", "confidence")
+
+
+@query("""WITH m AS (SELECT user_id, event_id, ts, ts + to_days((event_id % 20 + 1)::INT) AS ends FROM events WHERE event_id % 9 <> 0), a AS (SELECT max(ts) AS t FROM events)
+ SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place FROM m, a WHERE ends > t QUALIFY place <= 5""")
+def active_memories(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = events.select(
+        F.col("user_id").alias("owner"), F.col("event_id").alias("memory_id"), F.col("ts").alias("updated_at"), (F.col("ts") + F.make_dt_interval(F.col("event_id") % 20 + 1)).alias("expires_at"),
+        F.when(F.col("event_id") % 9 == 0, "deleted").otherwise("active").alias("status"),
+    )
+    live = memory.active_memories(memory.expire_due(rows, events.agg(F.max("ts")).first()[0]))
+    return live.select(F.col("owner").alias("user_id"), F.col("memory_id").alias("event_id"), "place")
+
+
+@query("""SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""")
+def active_job(spark, sf_dir):
+    jobs = _t(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id", F.col("ts").alias("created_at"), F.col("event_type").isin("click", "view").alias("active"))
+    return corpus.active_job(jobs, "event_id").select(F.col("doc_id").alias("user_id"), "event_id")
+
+
+@query("""SELECT 'duplicate_hash' AS rule, count(*) AS violations FROM (SELECT 1 FROM documents GROUP BY source, sha256(text) HAVING count(*) > 1)
+ UNION ALL SELECT 'orphan', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)
+ UNION ALL SELECT 'range', count(*) FROM documents WHERE n_chars < 100 OR n_chars IS NULL""")
+def constraint_violations(spark, sf_dir):
+    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    parts = [
+        corpus.duplicate_keys(docs.withColumn("h", F.sha2("text", 256)), ["source", "h"], "duplicate_hash"),
+        corpus.orphans(labels, docs.where("doc_id % 3 <> 0"), "doc_id", "orphan"), corpus.failing(docs, F.col("n_chars") >= 100, "range"),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("""WITH c AS (SELECT source, count(*) AS chunks, count(*) FILTER (doc_id % 50 <> 0) AS vectors, count(*) FILTER (n_chars < 20) AS failed FROM documents GROUP BY 1)
+ SELECT source, chunks, vectors, chunks = vectors AND failed = 0 AS ok FROM c""")
+def index_consistency(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").withColumn("status", F.when(F.col("n_chars") < 20, "failed").otherwise("ready"))
+    return corpus.consistency(docs, docs.where("doc_id % 50 <> 0"), "source")
+
+
+@query("SELECT conv_id, count(*) AS revision, max(turn) AS last_turn FROM conversations GROUP BY 1")
+def revision_stream(spark, sf_dir):
+    return history.revision_stream(spark, f"{sf_dir}/conversations.parquet")
+
+
+@query(f"""WITH {_METRICS}, f2 AS (SELECT query_id, min(bm25_rank) AS first_rank, count(*) FILTER (bm25_rank <= 5) AS n FROM b JOIN x USING (query_id, chunk_id) WHERE bm25_rank <= 8 GROUP BY 1),
+ m2 AS (SELECT coalesce(n, 0) / ne AS recall, coalesce(1 / first_rank, 0) AS reciprocal_rank FROM xs LEFT JOIN f2 USING (query_id)),
+ s1 AS (SELECT round(avg(recall), 4) AS r, round(avg(reciprocal_rank), 4) AS m FROM mm), s2 AS (SELECT round(avg(recall), 4) AS r, round(avg(reciprocal_rank), 4) AS m FROM m2),
+ l AS (SELECT quantile_disc(value, 0.95) FILTER (event_type = 'click') AS p1, quantile_disc(value, 0.95) FILTER (event_type = 'view') AS p2 FROM events),
+ o AS (SELECT round(s2.r - s1.r, 4) AS delta_recall, round(s2.m - s1.m, 4) AS delta_mrr, round(p2 - p1, 2) AS delta_p95, concat_ws(',', CASE WHEN s2.r < s1.r - 0.01 THEN 'recall' END, CASE WHEN s2.m < s1.m - 0.01 THEN 'MRR' END,
+  'llm_call_rate', CASE WHEN p2 > p1 + 1500 THEN 'P95_ms' END) AS failed_gates FROM s1, s2, l) SELECT *, failed_gates = '' AS passed FROM o""")
+def compare_reports(spark, sf_dir):
+    """Hybrid search against its term leg alone; latencies are those of two kinds of events, the call rate is given."""
+    queries, chunks = _asked(spark, sf_dir)
+    labels = chunks.join(queries.withColumnRenamed("text", "asked"), F.contains("text", "asked")).select("query_id", "chunk_id")
+    sparse = retrieval.bm25_topk(queries, chunks, 8).select("query_id", "chunk_id", F.col("bm25_rank").alias("rank"))
+
+    def report(metrics: DataFrame, kind: str, rate: float) -> DataFrame:
+        slow = _t(spark, sf_dir, "events").where(F.col("event_type") == kind).agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95_ms"))
+        means = evaluation.summary(metrics).select(F.col("mean_recall").alias("recall"), "mrr", F.lit(rate).alias("llm_call_rate"))
+        return means.crossJoin(F.broadcast(slow))  # one row each
+
+    return evaluation.compare_reports(report(_metrics(spark, sf_dir), "click", 0.0), report(evaluation.per_question_metrics(sparse, labels), "view", 0.31))
