@@ -257,13 +257,16 @@ _GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1)), l
 
 
 @query(f"""SELECT item_id, doc_id, round(CASE WHEN contains(d.text, b.text) THEN 1.0 ELSE len(list_intersect({_GRAMS.format('b.text')}, {_GRAMS.format('d.text')})) / len({_GRAMS.format('b.text')}) END, 9) AS recall
- FROM benchmark b JOIN documents d ON d.doc_id % 100 = b.item_id % 100""")
+ FROM (SELECT *, 'file-' || (item_id % 100) AS name FROM benchmark) b JOIN (SELECT *, 'file-' || (doc_id % 100) AS name FROM documents) d USING (name)""")
 def trigram_recall(spark, sf_dir):
-    items = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("expected"))
-    pairs = _t(spark, sf_dir, "documents").join(items, F.col("doc_id") % 100 == F.col("item_id") % 100)
+    """Labelling compares a question with the chunks of the file it names; the tables have no file names, so ids give them."""
+    name = lambda key: F.concat(F.lit("file-"), (F.col(key) % 100).cast("string")).alias("name")
+    items = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("expected"), name("item_id"))
+    pairs = _t(spark, sf_dir, "documents").select("doc_id", "text", name("doc_id")).join(items, "name")
     return pairs.select("item_id", "doc_id", F.round(T.ngram_recall(F.col("expected"), F.col("text")), 9).alias("recall"))
 
 
+
 _ASKED = r"""m AS (SELECT conv_id, turn, role, trim(regexp_replace(CASE WHEN role <> 'user' THEN '' WHEN (conv_id + turn) % 4 = 0 THEN 'Then ' WHEN (conv_id + turn) % 4 = 1 THEN 'What about '
   WHEN (conv_id + turn) % 4 = 2 THEN 'the second option ' WHEN conv_id % 3 = 0 THEN 'compare ' ELSE '' END || text, '\s+', ' ', 'g')) AS norm FROM conversations),
 u AS (SELECT conv_id, turn, norm FROM m WHERE role = 'user'), w AS (SELECT a.conv_id, a.turn, a.norm, max(b.turn) AS pt FROM u a LEFT JOIN u b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.norm <> '' AND b.norm <> a.norm GROUP BY 1, 2, 3),
