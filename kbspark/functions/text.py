@@ -93,9 +93,10 @@ def ngram_recall(expected: Column, actual: Column, n: int = 3) -> Column:
     """1 if contained, else the share of the expected text's distinct n-grams that occur in the actual one."""
 
     def grams(text: Column) -> Column:
-        last = F.length(text) - n + 1
-        return F.when(last < 1, F.array()).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))))
+        parts = lambda cs: F.transform(cs, lambda _, i: F.concat(*[F.get(cs, i + j) for j in range(n)]))
+        return let(F.split(text, ""), lambda cs: F.array_distinct(F.array_compact(parts(cs))))
 
-    wanted = grams(expected)
-    share = F.size(F.array_intersect(wanted, grams(actual))) / F.size(wanted)
-    return F.when(F.contains(actual, expected), 1.0).when(F.size(wanted) > 0, share).otherwise(0.0)
+    def share(wanted: Column) -> Column:
+        return F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, grams(actual))) / F.size(wanted)).otherwise(0.0)
+
+    return F.when(F.contains(actual, expected), 1.0).otherwise(let(grams(expected), share))
