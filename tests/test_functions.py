@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import pages as P
 from kbspark.functions import questions as Q
+from kbspark.functions import text as T
 from kbspark.operators import conversation, corpus, evaluation, memory, retrieval
 from kbspark.sources import files
 
@@ -89,3 +90,9 @@ def test_files(spark, tmp_path):
     assert {r.relative for r in files.discover_files(spark, str(tmp_path), images=False).collect()} == {"01_guide/a.MD", "c.txt"}
     (tmp_path / "r.jsonl").write_text('{"id": "1", "n": 1}\n\n{"id": "1", "n": 2}\n{"n": 3}\n')
     assert [(r.id, r.n) for r in files.load_answer_records(spark, str(tmp_path / "r.jsonl"), "id string, n int").collect()] == [("1", 2)]
+
+
+def test_trigrams(spark):
+    rows = [("abcd", "xabcdx"), ("abcd", "abc"), ("ab", "xx"), ("", "x"), ("aaaa", "aaa"), ("a书b", "a书c"), ("abc", None)]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, e string, a string")
+    assert [r.out for r in got.select("i", T.ngram_recall(F.col("e"), F.col("a")).alias("out")).orderBy("i").collect()][:6] == [1.0, 0.5, 0.0, 1.0, 1.0, 0.0]
