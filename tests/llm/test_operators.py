@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from kbspark.llm import chaining, common, embedding_dedup, lm_scoring, mixing, packing, quality, secrets, simhash, suffix_dedup, warc
 
@@ -197,6 +198,32 @@ def test_chaining(spark, none):
     assert chaining.passages(none)[1].count() == 0
 
 
+def test_chaining_pairs_without_a_common_hub(spark):
+    """U and W share 60 words; every seed of them has holders of lesser and of greater hash that share under 50."""
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    passage = words("p", 60)
+    half = lambda i, part: " ".join(words(f"h{i}x", 40) + part + words(f"g{i}x", 40))
+    made = [(i, half(i, passage[:32] if i % 2 else passage[28:])) for i in range(60)]
+    table = spark.createDataFrame([*made, (100, half(100, passage)), (101, half(101, passage))], "doc_id long, text string")
+    hashed = [r.doc_id for r in table.orderBy(F.xxhash64("text")).collect()]
+    at = sorted(hashed.index(i) for i in (100, 101))
+    assert all({i % 2 for i in side} == {0, 1} for side in (hashed[: at[0]], hashed[at[1] + 1 :]))
+    for block in (4, 1000):
+        classes, found = chaining.passages(table, block=block)
+        names = {r.u: r.class_id for r in classes.collect()}
+        assert {frozenset((names[r.u], names[r.v])) for r in found.collect()} == {frozenset((100, 101))}
+
+
+def test_chaining_groups_of_equal_runs(spark):
+    """Copies of a passage in texts that share nothing else are tied together, without a pair for each two of them."""
+    passage = " ".join(f"p{i}" for i in range(70))
+    table = [(i, f"{' '.join(f'h{i}x{j}' for j in range(30))} {passage} {' '.join(f'g{i}x{j}' for j in range(30))}") for i in range(80)]
+    classes, found = chaining.passages(spark.createDataFrame(table, "doc_id long, text string"))
+    found = found.collect()
+    assert {x for r in found for x in (r.u, r.v)} == {r.u for r in classes.collect()} and len(found) < 80 * 79 / 4
+    assert len({r.component for r in common.connected_components(spark.createDataFrame([(r.u, r.v) for r in found], "src long, dst long")).collect()}) == 1
+
+
 def test_warc(spark):
     rows = [(1, "http://a.b/x", "y" * 2000), (1, "http://a.b/x", "y" * 2000), (2, "http://a.b/x", "y" * 2000), (None, None, None), (3, "http://A.b:80/q z#f", "é\r\n\r\nWARC/1.0"), (4, "u", "y" * 999)]
     rows += [(0, "u2", "y" * 2000), (5, "u3", "y" * 999)]
