@@ -75,22 +75,25 @@ def _compare(least: float, block: int = 1024):
                 total += hit @ n[j : j + 8 * block]
             lonely[at[total > n[at]]] = False
             out.append((node[at], node[at], total - 1))
-        # Home vectors that have links: walk over them, each expanded once.
+        # Home vectors that have links: walk over them, each expanded once. The others stay in reach of each walk, as a
+        # walk doesn't go on from them: one edge for each of them and each walk.
         left = np.ones(len(x), bool)
         for start in homes[~lonely[homes]]:
             if not left[start]:
                 continue
-            left[start], front = False, np.array([start])
+            near = left | ~home
+            near[start], front = False, np.array([start])
             while len(front):
-                rest = np.flatnonzero(left)
+                rest = np.flatnonzero(near)
                 hit = np.zeros(len(rest), bool)
                 for i in range(0, len(front), block):
                     for j in range(0, len(rest), 8 * block):
                         hit[j : j + 8 * block] |= (x[front[i : i + block]] @ x[rest[j : j + 8 * block]].T >= least).any(0)
                 new = rest[hit]
-                left[new] = False
+                near[new] = False
                 out.append((node[new], np.full(len(new), node[start]), np.full(len(new), -1)))
                 front = new[home[new]]
+            left &= near | ~home
         src, dst, links = (np.concatenate(c) for c in zip(*out))
         return pd.DataFrame({"src": src, "dst": dst, "links": links})
 

@@ -270,6 +270,21 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_embeddings_chains_across_blocks_and_cells(spark):
+    """Chains of vectors 20 degrees apart, each linked with its neighbours only, in cells of several blocks."""
+    angles = np.radians(20 * np.arange(8))
+    rows = []
+    for c in range(20):
+        for k, a in enumerate(angles):
+            v = np.zeros(64)
+            v[2 * c], v[2 * c + 1] = np.cos(a), np.sin(a)
+            rows.append((8 * c + k, v.tolist()))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for cells, block in ((1, 20), (6, 1000), (6, 8)):
+        got = embedding_dedup.near_duplicates(table, margin=0.5, cells=cells, block=block).collect()
+        assert {(r.vec_id, r.component_id, r.n_links) for r in got} == {(i, i - i % 8, 1 if i % 8 in (0, 7) else 2) for i in range(160)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 300), (7, 7)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
