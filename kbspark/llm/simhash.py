@@ -136,18 +136,20 @@ def _compare(distance: int, block: int = 2048):
             is_home = homes[a:b]
             while (todo := np.flatnonzero(left & is_home)).size:
                 root, front = todo[0], todo[:1]
-                left[root] = False
+                near = left | ~is_home  # a walk doesn't go on from the others, so they stay in reach of each
+                near[root] = False
                 while front.size:
-                    rest = np.flatnonzero(left)
+                    rest = np.flatnonzero(near)
                     hit = np.zeros(len(rest), bool)
                     for i in range(0, len(front), block):
                         for j in range(0, len(rest), block):
                             hit[j : j + block] |= linked(own[front[i : i + block]], own[rest[j : j + block]]).any(0)
                     new = rest[hit]
-                    left[new] = False
+                    near[new] = False
                     src.append(own[new])
                     dst.append(np.full(len(new), own[root]))
                     front = new[is_home[new]]
+                left &= near | ~is_home
         join = lambda x: np.concatenate(x or [np.zeros(0, np.uint64)]).view(np.int64)
         return pd.DataFrame({"src": join(src), "dst": join(dst)})
 
@@ -160,8 +162,8 @@ def links(fps: DataFrame, distance: int = 4, bucket_rows: float = 4e5) -> DataFr
     A pair at 4 bits differs in at most one bit on one of three fields. There, the first fingerprint lies within the
     covering radius (1) of its anchor, so the second lies within 2 of it: each fingerprint is sent to all anchors in
     that reach, and each home member is compared with all that came. Anchors are dealt over partitions whose number
-    grows with the rows; inside an anchor the work is in blocks and the output a forest, so a large group of copies
-    (already one row for each distinct fingerprint) costs no more rows than it has members.
+    grows with the rows; inside an anchor the work is in blocks and the output a forest, with one edge for
+    each group of home members and each other fingerprint that it reaches.
     """
     if distance // len(FIELDS) > 1:
         raise ValueError("three fields serve up to 5 differing bits")

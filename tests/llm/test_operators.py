@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -171,6 +172,17 @@ def test_simhash_finds_all_pairs_at_four_bits(spark):
                 assert parts[a] == parts[b]
 
 
+@pytest.mark.parametrize("crowd", [0, 200])
+def test_simhash_chain_through_rows_of_other_homes(crowd):
+    """A-N, N-B and B-M at 4 bits, A and B at home: N ties A and B at a small and at a large anchor."""
+    a, n, b, m = 0, 0xF, 0xFF, 0xFFF
+    far = [random.getrandbits(64) | 0xFFFF << 40 for _ in range(crowd)]
+    fps = np.array([a, n, b, m, *far], np.uint64).view(np.int64)
+    at = pd.DataFrame({"anchor": 5, "fp": fps, "home": [True, False, True, False] + [True] * crowd})
+    edges = {frozenset(e) for e in simhash._compare(4)(at).itertuples(index=False)}
+    assert {frozenset(e) for e in ((a, n), (n, b), (b, m))} <= edges
+
+
 def test_lm_scoring(docs, none):
     tokens = lambda t: [*(t or "").encode().lower().split(), b"\n"]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
