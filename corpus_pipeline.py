@@ -14,11 +14,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least doc_id; of repeated rows one."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = common.materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept").withColumnRenamed("doc_id", "_id")
-    kept = docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if ids.where("n > 1").limit(1).count() else kept
+    """Of each group of near duplicates the document of least doc_id (null ones last); of repeated rows one.
+
+    Documents are told apart by doc_id and text, as ids can be null or repeat.
+    """
+    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), digest.alias("digest"))
+    found = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).where(F.col("doc_id") == F.col("component_id"))
+    ids = common.materialize(found.groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("n")), "kept")
+    kept = docs.withColumn("_key", key).join(ids.hint("merge"), "_key", "left_semi")
+    return (kept.dropDuplicates(["_key"]) if ids.where("n > 1").limit(1).count() else kept).select(docs.columns)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
