@@ -18,3 +18,41 @@ def test_near_copies_keeps_documents_of_null_and_repeated_ids(spark):
     assert got.columns == docs.columns
     want = [(None, text[i]) for i in range(5)] + [(1, text[6]), (2, text[7]), (2, text[8]), (3, text[9]), (4, text[5])]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(6)
+    line = _words(rng, 12)
+    rows = []
+    for g in range(25):
+        base = _words(rng, 150)
+        for edits in (0, 1, 2, 3, 4, 5, 6):
+            w = list(base)
+            for at in rng.sample(range(150), edits):
+                w[at] = f"x{rng.random()}"
+            rows.append(" ".join(w + line if g % 2 else w))
+    for _ in range(6):  # a chain of texts, each near the next
+        rows.append(" ".join(base := base[5:] + _words(rng, 5)))
+    rows += ["", None, "one two", "One  two"]
+    ids = list(range(len(rows)))
+    rng.shuffle(ids)
+    table = dict(zip(ids, rows))
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(t) for i, t in table.items()}
+    near = {i: {j for j in sets if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0} for i in sets}
+    want, seen = set(), set()
+    for i in sorted(table):
+        if i not in seen:
+            want.add(i)
+            todo = [i]
+            while todo:
+                new = near[todo.pop()] - seen
+                seen |= new
+                todo += new
+    docs = spark.createDataFrame(list(table.items()), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == want
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
