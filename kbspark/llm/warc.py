@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import bisect
+import gzip
 import hashlib
 import json
+import math
 import re
 import zlib
 
@@ -16,7 +18,8 @@ from . import common
 
 REVISIT_BYTES = 1000
 BLOCK_LINES = 1000
-MAX_PARTS = 4096
+#: Closes a record of 16 MB or more, whose own last byte (the top of its size) isn't zero.
+_EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 _ID = "urn:page:"
 
 
@@ -34,35 +37,55 @@ def capture_key(url: Column, page_id: Column) -> Column:
     return F.concat_ws(" ", F.regexp_replace(surt(url), r"\s", "%20"), F.coalesce(F.lpad(page_id.cast("string"), 20, "0"), F.lit("~")))
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """(page_id, record) of pages (page_id, url, html): a WARC record as text, without its last line feed."""
-    p = pages.select(
-        "page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"\s", "%20").alias("url"), F.coalesce("html", F.lit("")).alias("payload")
-    )
-    p = p.withColumns({"size": F.octet_length("payload"), "digest": F.sha1(F.col("payload").cast("binary"))})
-    same = p.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    p = p.join(same.drop("n"), "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
-    block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
-    refers = F.when(
-        revisit,
-        F.concat(
-            F.lit(f"WARC-Refers-To: <{_ID}"), F.col("first").cast("string"), F.lit(">\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\n")
-        ),
-    ).otherwise("")
-    head = F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit(f"\r\nWARC-Record-ID: <{_ID}"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "),
-        "url", F.lit("\r\nWARC-Payload-Digest: sha1:"), "digest", F.lit("\r\n"), refers,
-        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
-    )
-    return p.select("page_id", F.concat(head, block, F.lit("\r\n\r")).alias("record"))
+def _packed(batches):
+    """Size, digest and compressed payload of each page. Of pages of a batch with one payload, only that with the largest
+    page_id can be the response: the others go on without it."""
+    for batch in batches:
+        ids, urls, htmls = (batch.column(i).to_pylist() for i in range(3))
+        payloads = [(h or "").encode() for h in htmls]
+        digests = [hashlib.sha1(p).hexdigest() for p in payloads]
+        first: dict[str, int] = {}
+        for i, d in zip(ids, digests):
+            if i is not None:
+                first[d] = max(i, first.get(d, i))
+        need = [len(p) < REVISIT_BYTES or d not in first or i == first[d] for i, p, d in zip(ids, payloads, digests)]
+        packed = [zlib.compress(p, 1) if n else None for p, n in zip(payloads, need)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(map(len, payloads), pa.int64()), pa.array(digests, pa.string()), pa.array(packed, pa.binary())],
+            ["page_id", "url", "size", "digest", "packed"],
+        )
+
+
+def _members(batches):
+    """Each record as a gzip member of its own, without its last byte, a zero, which the writer adds."""
+    for batch in batches:
+        out = []
+        for page_id, url, size, digest, packed, first in zip(*(c.to_pylist() for c in batch.columns)):
+            revisit = first is not None and page_id != first
+            http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+            block = http if revisit else http + zlib.decompress(packed)
+            head = ["WARC/1.0", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>"]
+            head += ["WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {re.sub(r'[\s]', '%20', url or '')}", f"WARC-Payload-Digest: sha1:{digest}"]
+            if revisit:
+                head += [f"WARC-Refers-To: <{_ID}{first}>", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"]
+            head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
+            member = gzip.compress("\r\n".join(head).encode() + block + b"\r\n\r\n", 6, mtime=0)
+            out.append((member if member[-1] == 0 else member + _EMPTY)[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """One archive for each partition under path, by Spark's own writer, so lost tasks leave no half-written file."""
-    records(pages).select("record").write.option("lineSep", "\n").text(path)
+    """Archives of pages (page_id, url, html) under path, one for each partition, by Spark's own writer, so lost tasks
+    leave no half-written file. Every record is a gzip member, so that it can be read by its range.
+
+    Payloads travel compressed to the join that finds what they revisit; a payload that many pages share is dropped
+    before it, but for one page of each batch.
+    """
+    packed = pages.select("page_id", "url", "html").mapInArrow(_packed, "page_id long, url string, size long, digest string, packed binary")
+    digests = pages.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).where(F.octet_length("payload") >= REVISIT_BYTES)
+    same = digests.groupBy(F.sha1("payload").alias("digest")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    joined = packed.join(same.drop("n"), "digest", "left").select("page_id", "url", "size", "digest", "packed", "first")
+    joined.mapInArrow(_members, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\0").text(path)
 
 
 def _open(path: str):
@@ -85,22 +108,50 @@ def _page(value: str | None) -> int | None:
 _CAPTURE = "page_id long, url string, type string, digest string, refers long, path string, offset long, length long"
 
 
+def _member(read, at: int, keep: int) -> tuple[bytes, int]:
+    """(first `keep` bytes of the record that begins at `at`, place after it); read(place, size) gives compressed bytes.
+
+    A record is a member, and may be followed by an empty one."""
+    inflate, head, place, data = zlib.decompressobj(31), [], at, b""
+    size = 0
+    while not inflate.eof:
+        if not data:
+            data = read(place, 1 << 16)
+            place += len(data)
+        piece = inflate.decompress(data, 1 << 20)
+        data = inflate.unconsumed_tail
+        if size < keep:
+            head.append(piece[: keep - size])
+        size += len(piece)
+    end = place - len(inflate.unused_data)
+    if read(end, len(_EMPTY)) == _EMPTY:
+        end += len(_EMPTY)
+    return b"".join(head), end
+
+
 def _captures(batches):
     """What an archive holds, from its headers; a file is read in pieces of bounded size."""
     for batch in batches:
         for path in batch.column(0).to_pylist():
             with _open(path) as f:
-                at, size, rows = 0, f.size(), []
+                size, rows, at, held = f.size(), [], 0, (0, b"")
+
+                def read(place: int, n: int) -> bytes:
+                    nonlocal held
+                    start, data = held
+                    if not start <= place or place + min(n, size - place) > start + len(data):
+                        held = start, data = place, f.read_at(min(max(n, 1 << 20), size - place), place)
+                    return data[place - start : place - start + n]
+
                 while at < size:
-                    window = 4096
-                    while (end := (head := f.read_at(min(window, size - at), at)).find(b"\r\n\r\n")) < 0:
-                        window *= 4
-                    fields = parse_head(head[:end])
-                    length = end + 4 + int(fields["Content-Length"]) + 4
+                    keep = 1 << 14
+                    while (end := (head := _member(read, at, keep))[0].find(b"\r\n\r\n")) < 0:
+                        keep *= 4
+                    fields = parse_head(head[0][:end])
                     rows.append(
-                        {"page_id": _page(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "type": fields["WARC-Type"], "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "refers": _page(fields.get("WARC-Refers-To")), "path": path, "offset": at, "length": length}
+                        {"page_id": _page(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "type": fields["WARC-Type"], "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "refers": _page(fields.get("WARC-Refers-To")), "path": path, "offset": at, "length": head[1] - at}
                     )
-                    at += length
+                    at = head[1]
                     if len(rows) == 5000:
                         yield _batch(rows)
                         rows = []
@@ -137,9 +188,13 @@ def _blocks(batches):
 
 
 def build_index(found: DataFrame, path: str) -> None:
-    """Blocks (part, no, first, last, data) under path, partitioned by range of the key."""
+    """Blocks (part, no, first, last, data) under path, partitioned by range of the key.
+
+    Parts and the lines of a part both grow with the square root of the captures (from 16 blocks a part on), so neither
+    the top of the directory nor a part's own directory is ever large.
+    """
     n = found.count()
-    parts = min(MAX_PARTS, max(1, n // (16 * BLOCK_LINES)))
+    parts = max(1, n // max(16 * BLOCK_LINES, 4 * math.isqrt(n)))
     keyed = found.select(capture_key(F.col("url"), F.col("page_id")).alias("key"), "page_id", "type", "digest", "refers", "path", "offset", "length")
     keyed = keyed.repartitionByRange(parts, "key").sortWithinPartitions("key")
     keyed.mapInArrow(_blocks, "no int, first string, last string, data binary").withColumn("part", F.spark_partition_id()).write.parquet(path)
@@ -168,14 +223,12 @@ def _search(key, wanted: pa.Table, blocks: pa.Table) -> pa.Table:
 def lookup(keys: DataFrame, index: str) -> DataFrame:
     """Captures (url holds the key) of the index whose key is in keys (key).
 
-    The top of the directory, the first key of each part, has at most MAX_PARTS entries and goes to every task; a part
-    brings its block directory and compressed blocks.
+    The top of the directory, the last key of each part, goes to every task: its entries are at most a quarter of the
+    square root of the captures. A part brings its block directory and compressed blocks.
     """
     spark = keys.sparkSession
     blocks = spark.read.parquet(index)
-    tops = [r["last"] for r in sorted(blocks.groupBy("part").agg(F.max("last").alias("last")).collect())]  # at most MAX_PARTS
-    parts = sorted(r["part"] for r in blocks.select("part").distinct().collect())
-    tops = {p: t for p, t in zip(parts, sorted(tops))}
+    tops = {r["part"]: r["last"] for r in sorted(blocks.groupBy("part").agg(F.max("last").alias("last")).collect())}  # bounded, see above
 
     def place(batches):
         numbers, lasts = list(tops), list(tops.values())
@@ -201,7 +254,7 @@ def _read(batches):
                 for f in files.values():
                     f.close()
                 files = {path: _open(path)}
-            record = files[path].read_at(length, offset)
+            record = gzip.decompress(files[path].read_at(length, offset))
             start = record.index(b"\r\n\r\n") + 4
             body = record.index(b"\r\n\r\n", start) + 4
             payload = record[body:-4]
@@ -244,12 +297,13 @@ def archive_pages(pages: DataFrame) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each page: what its record in the archives, found through the index, says of it."""
     return archive_pages(common.table(spark, sf_dir, "pages"))
 
 
 SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to FROM f
 """

@@ -238,7 +238,7 @@ def test_chaining_groups_of_equal_runs(spark):
 
 def test_warc(spark):
     rows = [(1, "http://a.b/x", "y" * 2000), (1, "http://a.b/x", "y" * 2000), (2, "http://a.b/x", "y" * 2000), (None, None, None), (3, "http://A.b:80/q z#f", "é\r\n\r\nWARC/1.0"), (4, "u", "y" * 999)]
-    rows += [(0, "u2", "y" * 2000), (5, "u3", "y" * 999)]
+    rows += [(0, "u2", "y" * 2000), (5, "u3", "y" * 999), (None, "u4", "y" * 2000), (None, "u5", "z" * 1500), (6, "u6", "é" * 600_000), (7, "u7", "x" * 17_000_000)]
     got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     want = Counter()
     for i, _, html in rows:
