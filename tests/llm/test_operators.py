@@ -210,30 +210,82 @@ def test_chaining(spark, none):
     assert chaining.passages(none)[1].count() == 0
 
 
+def _groups(table):
+    classes, found = chaining.passages(table)
+    names = {r.u: r.class_id for r in classes.collect()}
+    return {r.doc_id: r.group_id for r in classes.collect()}, [{**r.asDict(), "u": names[r.u], "v": names[r.v]} for r in found.collect()]
+
+
+def _own(name: str, n: int) -> list[str]:
+    return [f"{name}{i}" for i in range(n)]
+
+
 def test_chaining_pairs_without_a_common_hub(spark):
-    """U and W share 60 words; every seed of them has holders of lesser and of greater hash that share under 50."""
-    words = lambda name, n: [f"{name}{i}" for i in range(n)]
-    passage = words("p", 60)
-    half = lambda i, part: " ".join(words(f"h{i}x", 40) + part + words(f"g{i}x", 40))
+    """100 and 101 share 60 words; every seed of them has many other holders that share under 50."""
+    passage = _own("p", 60)
+    half = lambda i, part: " ".join(_own(f"h{i}x", 40) + part + _own(f"g{i}x", 40))
     made = [(i, half(i, passage[:32] if i % 2 else passage[28:])) for i in range(60)]
     table = spark.createDataFrame([*made, (100, half(100, passage)), (101, half(101, passage))], "doc_id long, text string")
-    hashed = [r.doc_id for r in table.orderBy(F.xxhash64("text")).collect()]
-    at = sorted(hashed.index(i) for i in (100, 101))
-    assert all({i % 2 for i in side} == {0, 1} for side in (hashed[: at[0]], hashed[at[1] + 1 :]))
-    for block in (4, 1000):
-        classes, found = chaining.passages(table, block=block)
-        names = {r.u: r.class_id for r in classes.collect()}
-        assert {frozenset((names[r.u], names[r.v])) for r in found.collect()} == {frozenset((100, 101))}
-
-
-def test_chaining_groups_of_equal_runs(spark):
-    """Copies of a passage in texts that share nothing else are tied together, without a pair for each two of them."""
-    passage = " ".join(f"p{i}" for i in range(70))
-    table = [(i, f"{' '.join(f'h{i}x{j}' for j in range(30))} {passage} {' '.join(f'g{i}x{j}' for j in range(30))}") for i in range(80)]
-    classes, found = chaining.passages(spark.createDataFrame(table, "doc_id long, text string"))
-    found = found.collect()
-    assert {x for r in found for x in (r.u, r.v)} == {r.u for r in classes.collect()} and len(found) < 80 * 79 / 4
-    assert len({r.component for r in common.connected_components(spark.createDataFrame([(r.u, r.v) for r in found], "src long, dst long")).collect()}) == 1
+    groups, found = _groups(table)
+    assert {frozenset((r["u"], r["v"])) for r in found} == {frozenset((100, 101))}
+    assert all((r["end"] - r["start"], r["similarity"]) == (60, 1.0) and r["start"] == 40 for r in found)
+    assert groups == {i: i for i in range(60)} | {100: 100, 101: 100}
+
+
+def test_chaining_decoys_and_fuzzy_copies_against_brute_force(spark):
+    """Decoys quote 16 or 36 words of what fuzzy copies share; groups and spans are those of an alignment of all pairs."""
+    rng = random.Random(11)
+    passage, rows = _own("p", 80), {}
+    for i in range(40):
+        at = rng.randrange(64)
+        rows[i] = _own(f"d{i}x", 50) + passage[at : at + 16] + _own(f"e{i}x", 30)
+    for i in range(40, 60):
+        at = rng.randrange(44)
+        rows[i] = _own(f"d{i}x", 30) + passage[at : at + 36] + _own(f"e{i}x", 30)
+    for i in range(100, 106):
+        copy = list(passage)
+        for at in rng.sample(range(80), 4):
+            copy[at] = f"x{i}"
+        rows[i] = _own(f"d{i}x", 20 + i % 7) + copy + _own(f"e{i}x", 25)
+    rows[200] = _own("q", 30) + rows[100] + _own("r", 30) + rows[101][:120]  # the passage twice in one text
+    groups, found = _groups(spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string"))
+    copies = {*range(100, 106), 200}
+    assert groups == {i: 100 if i in copies else i for i in rows}
+    assert any(r["u"] == r["v"] == 200 for r in found)
+    for r in found:
+        x, y = rows[r["u"]][r["start"] : r["end"]], rows[r["v"]][r["other_start"] : r["other_end"]]
+        words = {w: n for n, w in enumerate({*x, *y})}
+        common_words = chaining._matched(np.array([words[w] for w in x]), np.array([words[w] for w in y]))
+        assert min(len(x), len(y)) >= 50 and r["similarity"] >= 0.8 and common_words >= round(r["similarity"] * max(len(x), len(y)))
+
+
+def test_chaining_repeats_inside_a_text(spark):
+    passage, line = _own("p", 60), _own("l", 12)
+    rows = [_own("a", 90) + passage + _own("b", 70) + passage + _own("c", 20), line * 30, _own("d", 90), line * 2 + _own("e", 60), ["no"] * 500, passage[:40] + _own("f", 60) + passage[20:] + _own("g", 9)]
+    groups, found = _groups(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string"))
+    assert {(r["u"], r["v"]) for r in found} == {(0, 0), (1, 1), (4, 4)}
+    assert [(r["start"], r["end"], r["other_start"], r["other_end"]) for r in found if r["u"] == 0] in ([(90, 150, 220, 280)], [(220, 280, 90, 150)])
+    assert groups == {i: i for i in range(6)}
+
+
+def test_chaining_short_equal_segments_of_many_texts(spark):
+    """A line of 40 words in all texts is no passage; with ten more words it is, for those that have them."""
+    line = _own("l", 40)
+    rows = [_own(f"a{i}x", 60) + line + _own(f"b{i}x", 60) for i in range(50)]
+    for i in (7, 23, 41):
+        rows[i][100:110] = _own("m", 10)
+    rows[30][55:60], rows[31][55:60] = _own("n", 5), _own("n", 5)
+    rows[30][100:106], rows[31][100:106] = _own("o", 6), _own("o", 6)
+    groups, _ = _groups(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string"))
+    assert groups == {i: i for i in range(50)} | {23: 7, 41: 7, 31: 30}
+
+
+def test_chaining_query(spark, tmp_path):
+    rows = [(0, " ".join(_own("a", 9) + _own("p", 60)), 1), (1, " ".join(_own("b", 9) + _own("p", 60)), 1), (2, None, 1), (2, None, 1), (3, " ".join(_own("b", 9) + _own("p", 60)), 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, u int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in chaining.op7_chaining(spark, str(tmp_path)).collect()}
+    assert {i: (r.class_id, r.group_id, r.n_passages) for i, r in got.items()} == {0: (0, 0, 1), 1: (1, 0, 1), 3: (1, 0, 1), 2: (2, 2, 0)}
+    assert [(p.start, p.end, p.other_start, p.other_end) for r in (got[0], got[1]) for p in r.passages] == [(9, 69, 9, 69)]
 
 
 def test_warc(spark):
