@@ -316,26 +316,37 @@ def test_secrets(spark, docs, none):
     assert secrets.find_secrets(none).count() == 0 and secrets.redact(none).count() == 0
 
 
-def test_embeddings(spark):
+def _linked(rows, least=0.9):
+    """Brute force: (vec_id, n_links, component_id, kept) of all rows, lengths apart."""
+    good = [(i, np.array(v) / max(map(abs, v))) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)]
+    want = [(i, 0, i, True) for i, v in rows if not (v and None not in v and np.isfinite(v).all() and any(v))]
+    for d in {len(v) for _, v in good}:
+        ids, m = np.array([i for i, v in good if len(v) == d]), np.array([v / np.linalg.norm(v) for _, v in good if len(v) == d])
+        near = m @ m.T >= least
+        np.fill_diagonal(near, True)
+        parts = ids.copy()
+        while (new := np.where(near, parts[None, :], 10**9).min(1)).tolist() != parts.tolist():
+            parts = new
+        want += [(int(i), int(n) - 1, int(c), bool(i == c)) for i, n, c in zip(ids, near.sum(1), parts)]
+    return Counter(want)
+
+
+@pytest.mark.parametrize("cells,block", [(None, 2000), (7, 40)])
+def test_embeddings(spark, cells, block):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 64))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300 + i, (v + rng.normal(size=64) * 0.05).tolist()) for i, v in enumerate(x[:40])]
-    rows += [(i, x[0].tolist()) for i in range(400, 440)] + [(500, None), (501, [0.0] * 64), (502, [float("nan")] * 64), (503, [None] * 64), (504, [1.0, 2.0]), (1, x[1].tolist())]
-    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=64).collect()}
-    good = [(i, np.array(v)) for i, v in rows if v and len(v) == 64 and None not in v and np.isfinite(v).all() and any(v)]
-    m = np.array([v / np.linalg.norm(v) for _, v in good])
-    near = m @ m.T >= 0.9
-    np.fill_diagonal(near, True)
-    ids, parts = np.array([i for i, _ in good]), None
-    parts = ids.copy()
-    while not (new := np.where(near, parts[None, :], 10**9).min(1)).tolist() == parts.tolist():
-        parts = new
-    want = {(int(i), int(n) - 1, int(c), bool(i == c)) for i, n, c in zip(ids, near.sum(1), parts)} | {(i, 0, i, True) for i in (500, 501, 502, 503, 504)}
-    assert got == want
+    rows += [(i, x[0].tolist()) for i in range(400, 440)] + [(500, None), (501, [0.0] * 64), (502, [float("nan")] * 64), (503, [None] * 64), (1, x[1].tolist()), (505, [])]
+    rows += [(504, [1.0, 2.0]), (506, [2.0, 4.0]), (507, [1.0, 2.0]), (508, [1e200] * 8), (509, [1e200] * 8), (510, [3e-320] * 8), (511, [float("inf")] + [1.0] * 7)]
+    rows += [(600 + i, [float(np.cos(0.05 * i)), float(np.sin(0.05 * i)), 0.0]) for i in range(60)]
+    table = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<double>, node int")
+    got = embedding_dedup.near_duplicates(table, block=block, cells=cells).collect()
+    assert Counter(tuple(r) for r in got) == _linked(rows)
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_embeddings_chains_across_blocks_and_cells(spark):
+@pytest.mark.parametrize("cells,block", [(1, 20), (6, 1000), (6, 8)])
+def test_embeddings_chains_across_blocks_and_cells(spark, cells, block):
     """Chains of vectors 20 degrees apart, each linked with its neighbours only, in cells of several blocks."""
     angles = np.radians(20 * np.arange(8))
     rows = []
@@ -345,9 +356,8 @@ def test_embeddings_chains_across_blocks_and_cells(spark):
             v[2 * c], v[2 * c + 1] = np.cos(a), np.sin(a)
             rows.append((8 * c + k, v.tolist()))
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for cells, block in ((1, 20), (6, 1000), (6, 8)):
-        got = embedding_dedup.near_duplicates(table, margin=0.5, cells=cells, block=block).collect()
-        assert {(r.vec_id, r.component_id, r.n_links) for r in got} == {(i, i - i % 8, 1 if i % 8 in (0, 7) else 2) for i in range(160)}
+    got = embedding_dedup.near_duplicates(table, sure=math.inf, cells=cells, block=block).collect()
+    assert {(r.vec_id, r.component_id, r.n_links) for r in got} == {(i, i - i % 8, 1 if i % 8 in (0, 7) else 2) for i in range(160)}
 
 
 def test_components(spark):
