@@ -1,4 +1,4 @@
-"""Near duplicates by the Jaccard similarity of word shingles: exact, by prefixes of each set in one order of shingles."""
+"""Sets of word shingles: hashes, the prefixes in which similar sets must meet, and exact Jaccard similarity of pairs."""
 
 from __future__ import annotations
 
@@ -15,29 +15,69 @@ from . import common
 SEED = 42
 
 
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the lower-cased text's word shingles; a shorter text is one shingle, no words none."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the lower-cased text's word shingles, repeats included; a shorter text is one shingle, no words none."""
     words = text.lower().split()
-    n = max(1, len(words) - width + 1) if words else 0
-    hashes = (xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n))
-    return np.unique(np.fromiter(hashes, np.uint64, n).view(np.int64))
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = memoryview(b" ".join(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(words) - width + 1)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[len(words) - n :].tolist())), np.uint64, n)
 
 
-def _sets(width: int):
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes; none: 0."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        part = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(sum(1 << i for i in np.flatnonzero(2 * total > len(hashes)).tolist()))
+
+
+def marks(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, node, n, fp) of docs (doc_id, text): hash and size of its set of shingles, and its fingerprint."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(1).cast(pa.large_binary()).to_pylist():
+                hashes = shingle_hashes(text or b"", width)
+                kinds = np.unique(hashes)
+                out.append((xxhash.xxh3_64_intdigest(kinds.tobytes()), len(kinds), majority(hashes)))
+            node, n, fp = (np.array(c, np.uint64).view(np.int64) for c in (zip(*out) if out else [()] * 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(n.astype(np.int32)), pa.array(fp)], ["doc_id", "node", "n", "fp"])
+
+    schema = docs.select("doc_id", F.lit(0).cast("long").alias("node"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("fp")).schema
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def sets(docs: DataFrame, width: int) -> DataFrame:
+    """(node, n, shingles) of the texts that have words; equal texts of a partition once."""
+
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                sets = [shingle_set(t or b"", width) for t in part.column(1).cast(pa.large_binary()).to_pylist()]
-                node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                n = pa.array([len(s) for s in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), n, pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "node", "n", "shingles"])
+                rows = []
+                for text in batch.column(0).slice(i, 500).cast(pa.large_binary()).to_pylist():
+                    kinds = np.unique(shingle_hashes(text or b"", width))
+                    node = xxhash.xxh3_64_intdigest(kinds.tobytes())
+                    if len(kinds) and node not in seen:
+                        seen.add(node)
+                        rows.append((node, kinds.view(np.int64)))
+                node = np.array([r[0] for r in rows], np.uint64).view(np.int64)
+                kinds = [r[1] for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(list(map(len, kinds)), pa.int32()), pa.array(kinds, pa.list_(pa.int64()))], ["node", "n", "shingles"])
 
-    return run
+    return docs.select("text").mapInArrow(run, "node long, n int, shingles array<long>")
 
 
-def _prefixes(least: float, known: np.ndarray, seen: np.ndarray):
-    """The rarest shingles of each set: sets of that similarity share one. `known` is sorted, `seen` its counts."""
+def prefixes(made: DataFrame, least: float, known: np.ndarray, seen: np.ndarray) -> DataFrame:
+    """(shingle, node, n): the n - ceil(least * n) + 1 rarest shingles of each set (node, n, shingles). Two sets of that
+    similarity share one of them, in any one order of all shingles. `known` is sorted, `seen` its counts."""
 
     def run(batches):
         for batch in batches:
@@ -45,65 +85,26 @@ def _prefixes(least: float, known: np.ndarray, seen: np.ndarray):
             out, times = [], []
             for s in batch.column(2):
                 s = s.values.to_numpy()
-                k = len(s) - math.ceil(least * len(s) - 1e-9) + 1 if len(s) else 0
+                k = len(s) - math.ceil(least * len(s) - 1e-9) + 1
                 at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
                 count = np.where(known[at] == s, seen[at], 0) if len(known) else np.zeros(len(s), np.int64)
                 out.append(s[np.lexsort((s, count))[:k]])
                 times.append(len(out[-1]))
             flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+            of, n = np.repeat(node, times), np.repeat(sizes, times)
             for i in range(0, len(flat), 200_000):
                 part = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[part]), pa.array(np.repeat(node, times)[part]), pa.array(np.repeat(sizes, times)[part])], ["shingle", "node", "n"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(flat[part]), pa.array(of[part]), pa.array(n[part])], ["shingle", "node", "n"])
 
-    return run
+    return made.mapInArrow(run, "shingle long, node long, n int")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (src, dst) of that similarity at least, by their whole sets."""
-    used = sets.join(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"])
-    a, b = (used.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}")) for c in ("src", "dst"))
+def verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (src, dst) of nodes of docs (text) whose similarity is `least` at least, by their whole sets.
+
+    Only sets of the pairs' nodes are shuffled, where Spark finds the table of these nodes small enough to broadcast."""
+    used = common.materialize(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "used")
+    made = sets(docs, width).join(used, "node", "left_semi").dropDuplicates(["node"])
+    a, b = (made.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}")) for c in ("src", "dst"))
     both = pairs.join(a, "src").join(b, "dst").withColumn("common", F.size(F.array_intersect("s_src", "s_dst")))
     return both.where(F.col("common") / (F.col("n_src") + F.col("n_dst") - F.col("common")) >= least).select("src", "dst")
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, sample: int = 4000) -> DataFrame:
-    """(doc_id, component_id) for every row of docs (doc_id: of any type with an order, text).
-
-    Documents are linked if the Jaccard similarity of their sets of word shingles is `least` or more; component_id is
-    the least doc_id that can be reached over links. Equal sets, so also all texts without words, are one node. Two
-    sets of that similarity share a shingle among the rarest n - ceil(least * n) + 1 of each, in any one order of all
-    shingles: pairs are looked for there only, and all that are found are verified by their whole sets. The order puts
-    those that are frequent in a sample of `sample` sets last, which spares pairs and changes no result. Pairs with
-    the least node at each shingle are verified first; then all others whose components still differ.
-    """
-    spark = docs.sparkSession
-    schema = docs.select("doc_id", F.lit(0).cast("long").alias("node"), F.lit(0).alias("n"), F.array(F.lit(0).cast("long")).alias("shingles")).schema
-    marked = common.materialize(docs.select("doc_id", "text").mapInArrow(_sets(width), schema), "marked")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"))
-    sets = marked.select("node", "n", "shingles").where("n > 0")  # with repeats: the sets are not shuffled to drop them
-    every = max(1, sets.count() // sample)
-    drawn = sets.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select(F.explode("shingles").alias("shingle"))
-    drawn = drawn.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(200_000).toPandas().sort_values("shingle")
-    run = _prefixes(least, drawn["shingle"].to_numpy(np.int64), drawn["count"].to_numpy(np.int64))
-    held = sets.select("node", "n", "shingles").mapInArrow(run, "shingle long, node long, n int")
-    shared = held.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    held = common.materialize(held.join(shared.select("shingle", "low"), "shingle").distinct(), "held")
-    size = sets.select(F.col("node").alias("low"), F.col("n").alias("n_low")).distinct()
-    near = lambda a, b: (F.col(a) >= F.lit(least - 1e-9) * F.col(b)) & (F.col(b) >= F.lit(least - 1e-9) * F.col(a))
-    first = held.where("node > low").select("low", "node", "n").distinct().join(size, "low").where(near("n", "n_low"))
-    links = common.materialize(_verified(first.select(F.col("low").alias("src"), F.col("node").alias("dst")), sets, least), "first")
-    parts = common.materialize(common.connected_components(links), "parts")
-    placed = held.select("shingle", "node", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = common.materialize(placed, "placed")
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("shingle")
-    left = placed.join(mixed, "shingle")
-    right = left.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("part"))
-    rest = left.join(right.hint("merge"), "shingle").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("part")) & near("n", "m"))
-    rest = common.materialize(rest.select(F.col("node").alias("src"), F.col("other").alias("dst")).distinct(), "rest")
-    more = common.materialize(_verified(rest, sets, least), "more")
-    parts = common.connected_components(links.union(more)).withColumnRenamed("component", "root")
-    nodes = nodes.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "node").join(nodes.join(roots, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -7,13 +7,11 @@ import itertools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, shingles
 
-SEED = 42
 #: Fingerprint bits are cut in three fields; of 4 differing bits at most 1 lies in one of them.
 FIELDS = ((0, 21), (21, 21), (42, 22))
 #: Each field is covered by a Hamming code of 15 bits (covering radius 1), the other bits as they are (radius 0).
@@ -22,20 +20,7 @@ HAMMING = 15
 
 def fingerprint(text: bytes, width: int) -> int:
     """Bit i is set if it is set in over half of the hashes of the text's word shingles; no words: 0."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = memoryview(b" ".join(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    k = max(0, len(words) - width)
-    stops, digest = ends[len(words) - 1 - k :].tolist(), xxhash.xxh64_intdigest
-    total, n = np.zeros(64, np.int64), k + 1
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops)), np.uint64, n)
-    for i in range(0, n, 1 << 16):
-        part = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * total > n).tolist()))
+    return shingles.majority(shingles.shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -191,6 +176,57 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     return marked.join(nodes, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = 4, sample: int = 4000) -> DataFrame:
+    """(doc_id, component_id) for every row of docs (doc_id: of any type with an order, text).
+
+    Documents are linked if the Jaccard similarity of their sets of `width`-word shingles is `least` or more; component_id
+    is the least doc_id that can be reached over links. Equal sets, so also all texts without words, are one node.
+
+    Fingerprints within `distance` bits propose pairs, which are verified by the whole sets. A pair at the bound may
+    differ in a fifth of the bits, further than anchors reach, so the rest has an exact way: two sets of that similarity
+    share a shingle among the rarest fifth of each, and there all nodes are compared with the least, and then all whose
+    components still differ with each other. The order of rarity puts the shingles that are frequent in a sample of
+    `sample` texts last, which spares pairs and changes no result. Null doc_ids keep their row; other columns are not read.
+    """
+    marked = common.materialize(shingles.marks(docs, width), "marked")
+    nodes = marked.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp"))
+    nodes = common.materialize(nodes, "nodes")
+    of_fp = common.materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fps")
+    near = links(of_fp, distance)
+    ends = [of_fp.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in ("src", "dst")]
+    proposed = near.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    proposed = proposed.union(nodes.join(of_fp, "fp").where("node <> first").select("first", "node"))
+
+    texts = docs.select("text")
+    every = max(1, marked.count() // sample)
+    drawn = shingles.sets(texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0), width).select(F.explode("shingles").alias("shingle"))
+    drawn = drawn.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(200_000).toPandas().sort_values("shingle")
+    held = shingles.prefixes(shingles.sets(texts, width), least, drawn["shingle"].to_numpy(np.int64), drawn["count"].to_numpy(np.int64))
+    shared = held.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    held = common.materialize(held.join(shared.select("shingle", "low"), "shingle").distinct(), "held")
+    fits = lambda a, b: (F.col(a) >= F.lit(least - 1e-9) * F.col(b)) & (F.col(b) >= F.lit(least - 1e-9) * F.col(a))
+    size = nodes.select(F.col("node").alias("low"), F.col("n").alias("n_low"))
+    first = held.where("node > low").select("low", "node", "n").distinct().join(size, "low").where(fits("n", "n_low")).select("low", "node")
+    pairs = proposed.union(first).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src < dst").distinct()
+    found = common.materialize(shingles.verified(common.materialize(pairs, "pairs"), texts, width, least), "links")
+
+    parts = common.connected_components(found)
+    placed = held.select("shingle", "node", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = common.materialize(placed, "placed")
+    mixed = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("shingle")
+    left = placed.join(mixed, "shingle")
+    right = left.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("part"))
+    rest = left.join(right.hint("merge"), "shingle").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("part")) & fits("n", "m"))
+    rest = rest.select(F.col("node").alias("src"), F.col("other").alias("dst")).distinct().join(pairs, ["src", "dst"], "left_anti")
+    more = common.materialize(shingles.verified(common.materialize(rest, "rest"), texts, width, least), "more")
+    parts = common.connected_components(found.union(more)).withColumnRenamed("component", "root")
+    ids = marked.groupBy("node").agg(F.min("doc_id").alias("least")).join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = common.materialize(ids, "ids")
+    roots = ids.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.select("doc_id", "node").join(ids.join(roots, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its fingerprint in hexadecimal and the least doc_id that links reach."""
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
