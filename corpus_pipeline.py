@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import common, mixing, packing, quality, secrets, shingles
+from kbspark.llm import common, mixing, packing, quality, secrets, simhash
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), digest.alias("digest"))
-    found = shingles.near_duplicates(docs.select(key.alias("doc_id"), "text")).where(F.col("doc_id") == F.col("component_id"))
+    found = simhash.near_copies(docs.select(key.alias("doc_id"), "text")).where(F.col("doc_id") == F.col("component_id"))
     ids = common.materialize(found.groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("n")), "kept")
     kept = docs.withColumn("_key", key).join(ids.hint("merge"), "_key", "left_semi")
     return (kept.dropDuplicates(["_key"]) if ids.where("n > 1").limit(1).count() else kept).select(docs.columns)
