@@ -76,8 +76,9 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(made: DataFrame, least: float, known: np.ndarray, seen: np.ndarray) -> DataFrame:
-    """(shingle, node, n): the n - ceil(least * n) + 1 rarest shingles of each set (node, n, shingles). Two sets of that
-    similarity share one of them, in any one order of all shingles. `known` is sorted, `seen` its counts."""
+    """(shingle, node, n, pos): the n - ceil(least * n) + 1 rarest shingles of each set (node, n, shingles), with their
+    places in the order of rarity. Two sets of that similarity share one of them, in any one order of all shingles.
+    `known` is sorted, `seen` its counts."""
 
     def run(batches):
         for batch in batches:
@@ -92,11 +93,12 @@ def prefixes(made: DataFrame, least: float, known: np.ndarray, seen: np.ndarray)
                 times.append(len(out[-1]))
             flat = np.concatenate(out) if out else np.zeros(0, np.int64)
             of, n = np.repeat(node, times), np.repeat(sizes, times)
+            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32) if len(flat) else np.zeros(0, np.int32)
             for i in range(0, len(flat), 200_000):
                 part = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(flat[part]), pa.array(of[part]), pa.array(n[part])], ["shingle", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[part]), pa.array(of[part]), pa.array(n[part]), pa.array(pos[part])], ["shingle", "node", "n", "pos"])
 
-    return made.mapInArrow(run, "shingle long, node long, n int")
+    return made.mapInArrow(run, "shingle long, node long, n int, pos int")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
