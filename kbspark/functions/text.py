@@ -20,7 +20,7 @@ def let(value: Column, use) -> Column:
 def normalize_whitespace(text: Column) -> Column:
     """LF line ends, single spaces, trimmed lines, at most one blank line, trimmed ends."""
     lf = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+", " ")
-    lines = F.array_join(F.transform(F.split(lf, "\n", -1), F.trim), "\n")
+    lines = F.array_join(F.transform(F.split(lf, "\n", -1), lambda x: F.trim(x)), "\n")
     return F.regexp_replace(F.regexp_replace(lines, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
@@ -34,7 +34,7 @@ def normalize_for_dedup(text: Column) -> Column:
 
 
 def filled_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_toc_line(line: Column) -> Column:

@@ -53,11 +53,74 @@ def diff_snapshot(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.join(moved, "source_key", "left").select("source_key", "old_hash", "new_hash", F.coalesce("_s", "status").alias("status"))
 
 
-def next_snapshot(chunks: DataFrame, incoming: DataFrame, diff: DataFrame) -> DataFrame:
-    """Old chunks of skipped documents and new chunks of the others that came."""
-    skipped = diff.where("status = 'skipped'").select("source_key")
+def next_snapshot(chunks: DataFrame, incoming: DataFrame, diff: DataFrame, root: str | None = None) -> DataFrame:
+    """Y-04: old chunks (source_key, and source_root where `root` is given) that stay, and new chunks of what came. What is
+    outside the root, or has an empty or null key, is untouched; inside it, chunks of skipped documents stay."""
+    gone = diff.where("status NOT IN ('skipped', 'added', 'moved')").select("source_key")
     fresh = diff.where("status IN ('added', 'moved', 'updated')").select("source_key")
-    return chunks.join(skipped, "source_key", "left_semi").unionByName(incoming.join(fresh, "source_key", "left_semi"))
+    inside = F.coalesce(F.col("source_key") != "", F.lit(False))
+    if root is not None:
+        inside = inside & F.coalesce(F.col("source_root") == root, F.lit(False))
+    stay = chunks.where(~inside).unionByName(chunks.where(inside).join(gone, "source_key", "left_anti").select(chunks.columns))
+    return stay.unionByName(incoming.join(fresh, "source_key", "left_semi").select(incoming.columns))
+
+
+def delete_document(chunks: DataFrame, source: str, key: str = "source_key") -> tuple[DataFrame, DataFrame]:
+    """Y-07: chunks without a source, and one row (deleted, remaining_documents); it is an error if deleted is 0."""
+    hit = F.col(key).eqNullSafe(F.lit(source))
+    return chunks.where(~hit), chunks.agg(F.count_if(hit).alias("deleted"), F.count_distinct(F.when(~hit, F.col(key))).alias("remaining_documents"))
+
+
+def retained_source_roots(chunks: DataFrame, available: DataFrame) -> DataFrame:
+    """Y-08: (source_root, found) of the distinct filled roots of chunks: all must be among those available."""
+    roots = chunks.where("source_root <> ''").select("source_root").distinct()
+    there = available.select("source_root", F.lit(True).alias("found")).distinct()
+    return roots.join(there, "source_root", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def ingest_notices(notices: DataFrame) -> DataFrame:
+    """Y-09: (notice, first_pos) of notices (pos, notice): distinct filled ones, to be read in the order of first_pos."""
+    return notices.where("trim(notice) <> ''").groupBy("notice").agg(F.min("pos").alias("first_pos"))
+
+
+def active_snapshot(chunks: DataFrame, versions: DataFrame) -> DataFrame:
+    """T-04: chunks (kb_id, version, deleted_at, ...) of the active version of each kb (versions: kb_id, version, status)."""
+    active = versions.where("status = 'active'").select("kb_id", "version")
+    return chunks.where("deleted_at IS NULL").join(active, ["kb_id", "version"], "left_semi")
+
+
+def advance_job(jobs: DataFrame, changes: DataFrame) -> DataFrame:
+    """T-08: jobs (job_id, status, retry_count, finished_at) after changes (job_id, new_status, at): an end time only for
+    completed, failed and cancelled ones, one retry more for a failed one."""
+    ended = F.col("new_status").isin("completed", "failed", "cancelled")
+    both = jobs.join(changes, "job_id", "left")
+    return both.select(
+        "job_id", F.coalesce("new_status", "status").alias("status"), (F.col("retry_count") + F.coalesce((F.col("new_status") == "failed").cast("int"), F.lit(0))).alias("retry_count"),
+        F.when(F.col("new_status").isNull(), F.col("finished_at")).when(ended, F.col("at")).alias("finished_at"),
+    )
+
+
+def chunk_listing(chunks: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """T-10: a page of chunks (name, chunk_index, chunk_id, ...) by name, index (null as 0) and id; a top-k report."""
+    return chunks.orderBy("name", F.coalesce("chunk_index", F.lit(0)), "chunk_id").offset(offset).limit(limit)
+
+
+def scenarios(chunks: DataFrame) -> DataFrame:
+    """T-11: the distinct filled scenarios."""
+    return chunks.where("scenario <> ''").select("scenario").distinct()
+
+
+def retrieval_log(hits: DataFrame, questions: DataFrame, backend: str, top_k: int) -> DataFrame:
+    """T-12: one row (query_id, query_hash, backend, top_k, result_ids) for each question (query_id, text), with the ids of
+    its hits (query_id, chunk_id, rank) in the order of their rank."""
+    listed = hits.where(F.col("rank") <= top_k).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("r"))
+    ids = F.coalesce(F.array_join(F.transform("r", lambda x: x["chunk_id"].cast("string")), ","), F.lit(""))
+    return questions.join(listed, "query_id", "left").select("query_id", F.sha2("text", 256).alias("query_hash"), F.lit(backend).alias("backend"), F.lit(top_k).alias("top_k"), ids.alias("result_ids"))
+
+
+def parser_cache_key(file_hash, parser, version):
+    """K-10: digest of the canonical JSON of what a parser's result depends on."""
+    return F.sha2(F.to_json(F.struct(F.col(file_hash).alias("file_hash"), F.col(parser).alias("parser"), F.col(version).alias("version"))), 256)
 
 
 def change_counts(diff: DataFrame) -> DataFrame:

@@ -23,14 +23,91 @@ def percentile_nearest_rank(df: DataFrame, by: list[str], value: str, shares: tu
     return df.groupBy(*by).agg(F.count("*").alias("n"), *cut)
 
 
+def exact_mean(value, digits: int = 4):
+    """Mean of numbers at nine decimals, rounded half up: from sums of whole numbers, so no order of rows changes it."""
+    total = F.sum(F.round(value.cast("double") * 1_000_000_000).cast("decimal(20,0)")).cast("decimal(30,0)")
+    n, unit, scale = F.count(value).cast("decimal(20,0)"), F.lit(1_000_000_000).cast("decimal(10,0)"), 10**digits
+    whole = F.floor((F.lit(2).cast("decimal(1,0)") * total * F.lit(scale).cast("decimal(6,0)") + n * unit) / (F.lit(2).cast("decimal(1,0)") * n * unit))
+    return F.coalesce(whole.cast("double") / scale, F.lit(0.0))
+
+
 def summary(metrics: DataFrame) -> DataFrame:
-    mean = lambda c: F.round(F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)), 4)
+    """E-06 without latencies: means at four decimals and the number of misses; zeros for no question."""
+    mean = lambda c: exact_mean(F.col(c).cast("double"))
     return metrics.agg(
         F.count("*").alias("questions"), mean("hit").alias("hit_rate"), mean("precision").alias("mean_precision"), mean("recall").alias("mean_recall"),
-        mean("reciprocal_rank").alias("mrr"), F.count_if(~F.col("hit")).alias("miss_count"),
+        mean("reciprocal_rank").alias("mrr"), F.count_if(F.col("first_rank").isNull()).alias("miss_count"),
     )
 
 
+def latency_summary(records: DataFrame, by: list[str], value: str = "latency_ms") -> DataFrame:
+    """E-06, latencies: mean and nearest-rank percentiles at two decimals of each group."""
+    cut = lambda p: F.round(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})"), 2)
+    return records.groupBy(*by).agg(exact_mean(F.col(value), 2).alias("mean_ms"), cut(0.5).alias("p50_ms"), cut(0.95).alias("p95_ms"), cut(0.99).alias("p99_ms"))
+
+
+def sample_questions(questions: DataFrame, limit: int, seed: int | None = None) -> DataFrame:
+    """E-01: all questions (query_id) if limit is under 1; the first by id without a seed, else those of least hash."""
+    if limit < 1:
+        return questions
+    order = ["query_id"] if seed is None else [F.xxhash64("query_id", F.lit(seed)), "query_id"]
+    return questions.orderBy(*order).limit(limit)
+
+
+def parse_expected_ids(plural, single):
+    """E-02: distinct trimmed ids of the plural column, or where that is blank of the single one, cut at , and ;."""
+    text = F.coalesce(F.nullif(F.trim(plural), F.lit("")), single, F.lit(""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, "[,;]"), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def document_key(name):
+    """Letters and digits of a name, in lower case."""
+    return F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}]", ""))
+
+
+def document_rank(hits: DataFrame, expected: DataFrame) -> DataFrame:
+    """E-04: (query_id, document_rank): least rank of the hits (query_id, name, rank) whose name contains the expected one
+    (query_id, document), or lies in it, by letters and digits; null where none does."""
+    a, b = document_key(F.col("document")), document_key(F.col("name"))
+    match = (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
+    return expected.join(hits, "query_id", "left").groupBy("query_id").agg(F.min(F.when(match, F.col("rank"))).alias("document_rank"))
+
+
+def online_metrics(hits: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
+    """E-08: hit, recall and reciprocal rank cut at k, and precision at 1, of questions (query_id, expected: array of ids)
+    and hits (query_id, chunk_id, rank); all null for a question without expectation."""
+    listed = hits.where(F.col("rank") <= k).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("top"))
+    both = questions.join(listed, "query_id", "left")
+    good = F.filter("top", lambda h: F.array_contains("expected", h["chunk_id"]))
+    first = F.get(good, F.lit(0))["rank"]
+    asked = F.size("expected") > 0
+    score = lambda c: F.when(asked, c)
+    return both.select(
+        "query_id", score(F.coalesce(first.isNotNull().cast("int"), F.lit(0))).alias("hit"), score(F.round(F.coalesce(F.size(good), F.lit(0)) / F.size("expected"), 4)).alias("recall"),
+        score(F.round(F.coalesce(1 / first, F.lit(0.0)), 4)).alias("mrr"), score(F.coalesce((first == 1).cast("int"), F.lit(0))).alias("precision_1"),
+    )
+
+
+def metric_report(scores: DataFrame) -> DataFrame:
+    """E-11: (metric, mean, valid, coverage, complete) of scores (metric, value): nulls and NaN are not valid."""
+    valid = F.when(~F.isnan("value"), F.col("value"))
+    n = F.count(valid)
+    return scores.groupBy("metric").agg(F.when(n > 0, exact_mean(valid)).alias("mean"), n.alias("valid"), F.round(n / F.count("*"), 4).alias("coverage"), (n == F.count("*")).alias("complete"))
+
+
+def checkpoint_pending(records: DataFrame, metrics: DataFrame, scored: DataFrame) -> DataFrame:
+    """E-12: (record_id, metric) without a score (record_id, metric, value) yet; metrics is a short list of names."""
+    done = scored.where("value IS NOT NULL AND NOT isnan(value)").select("record_id", "metric")
+    return records.select("record_id").join(metrics.select("metric")).join(done, ["record_id", "metric"], "left_anti")
+
+
+def answer_records(hits: DataFrame, questions: DataFrame, existing: DataFrame) -> DataFrame:
+    """E-17: (query_id, source_ids) of the questions without an existing record, ids of their hits by rank."""
+    listed = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("r"))
+    ids = F.coalesce(F.array_join(F.transform("r", lambda x: x["chunk_id"].cast("string")), ","), F.lit(""))
+    return questions.join(existing.select("query_id"), "query_id", "left_anti").join(listed, "query_id", "left").select("query_id", ids.alias("source_ids"))
+
+
 # How much worse a candidate may be.
 MOST_DROP, MOST_LLM_RATE, MOST_P95_MS = 0.01, 0.30, 1500
 

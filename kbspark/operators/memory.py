@@ -55,3 +55,37 @@ def active_memories(memories: DataFrame, most: int = 5) -> DataFrame:
     """The latest `most` active memories of each owner, with their place; ties by memory_id."""
     place = F.row_number().over(W.partitionBy("owner").orderBy(F.desc("updated_at"), "memory_id"))
     return memories.where("status = 'active'").withColumn("place", place).where(F.col("place") <= most)
+
+
+def latest_summary(summaries: DataFrame) -> DataFrame:
+    """M-02: (session_id, version, summary) of each session's largest version."""
+    return summaries.groupBy("session_id").agg(F.max("version").alias("version"), F.max_by("summary", "version").alias("summary"))
+
+
+def upsert_facts(facts: DataFrame) -> DataFrame:
+    """M-05: of facts (session_id, memory_type, key, value, seq) the latest of each type and key; a blank value retires it."""
+    last = facts.groupBy("session_id", "memory_type", "key").agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"))
+    return last.where("trim(value) <> ''")
+
+
+def upsert_memory(memories: DataFrame, sessions: DataFrame, days: int = 90) -> DataFrame:
+    """M-10: of memories (owner, session_id, key, value, at, ttl_days) the latest of each owner and key, with expires_at;
+    those whose session is not the owner's (sessions: session_id, owner) don't count."""
+    valid = memories.join(sessions.select("session_id", "owner"), ["session_id", "owner"], "left_semi")
+    last = valid.groupBy("owner", "key").agg(F.max_by(F.struct("value", "at", "ttl_days"), F.struct("at", "session_id")).alias("m"))
+    ttl = F.coalesce("m.ttl_days", F.lit(days)).cast("int")
+    return last.select("owner", "key", "m.value", F.expr("m.at").alias("updated_at"), (F.col("m.at") + F.make_dt_interval(ttl)).alias("expires_at"))
+
+
+def change_memories(memories: DataFrame, changes: DataFrame, most_days: int = 365) -> DataFrame:
+    """M-13: memories (memory_id, status, value, updated_at, expires_at) after changes (memory_id, action, new_value, at,
+    ttl_days): active ones alone are updated, with a new end at most `most_days` on, or deleted, which keeps the row."""
+    both = memories.join(changes, "memory_id", "left")
+    live = F.col("status") == "active"
+    update, delete = live & (F.col("action") == "update"), live & (F.col("action") == "delete")
+    ttl = F.least(F.col("ttl_days"), F.lit(most_days)).cast("int")
+    return both.select(
+        "memory_id", F.when(delete, "deleted").otherwise(F.col("status")).alias("status"), F.when(update, F.coalesce("new_value", "value")).otherwise(F.col("value")).alias("value"),
+        F.when(update | delete, F.col("at")).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(update & ttl.isNotNull(), F.col("at") + F.make_dt_interval(ttl)).otherwise(F.col("expires_at")).alias("expires_at"),
+    )

@@ -163,3 +163,27 @@ def format_context(sources: DataFrame) -> DataFrame:
     listed = sources.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("blocks"))
     numbered = F.transform("blocks", lambda b, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), b["block"]))
     return listed.select("query_id", F.array_join(numbered, "\n\n").alias("context"))
+
+
+def scope_filter(chunks: DataFrame, kb_id: str, version: str, scenario: str | None = None) -> DataFrame:
+    """R-03: the chunks that a question may see; the equalities reach the scan, before anything is ranked."""
+    inside = (F.col("kb_id") == kb_id) & (F.col("version") == version)
+    return chunks.where(inside if scenario is None else inside & (F.col("scenario") == scenario))
+
+
+def weighted_fuse(dense: DataFrame, sparse: DataFrame, weights: tuple[float, float] = (0.4, 0.6)) -> DataFrame:
+    """R-09: (query_id, chunk_id, score) from the legs' scores (query_id, chunk_id, score), each scaled to 0..1 in its
+    question (1 where all are equal) and weighted; a chunk that a leg lacks gets 0 from it."""
+
+    def scaled(leg: DataFrame, weight: float) -> DataFrame:
+        ends = leg.groupBy("query_id").agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+        span = F.col("_high") - F.col("_low")
+        return leg.join(ends, "query_id").select("query_id", "chunk_id", (F.when(span > 0, (F.col("score") - F.col("_low")) / span).otherwise(1.0) * weight).alias("score"))
+
+    both = scaled(dense, weights[0]).union(scaled(sparse, weights[1]))
+    return both.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
+
+
+def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """R-11: hits (chunk_id, ...) with the columns of their chunks; a hit whose chunk is gone is dropped."""
+    return hits.join(chunks.select("chunk_id", *[c for c in chunks.columns if c not in hits.columns]), "chunk_id")

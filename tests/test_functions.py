@@ -96,3 +96,49 @@ def test_trigrams(spark):
     rows = [("abcd", "xabcdx"), ("abcd", "abc"), ("ab", "xx"), ("", "x"), ("aaaa", "aaa"), ("a书b", "a书c"), ("abc", None)]
     got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, e string, a string")
     assert [r.out for r in got.select("i", T.ngram_recall(F.col("e"), F.col("a")).alias("out")).orderBy("i").collect()][:6] == [1.0, 0.5, 0.0, 1.0, 1.0, 0.0]
+
+
+def test_whitespace_trims_only_spaces(spark):
+    """Digits at the ends of lines stay, whatever the number of the line."""
+    from pyspark.sql import functions as F
+
+    from kbspark.functions import text as T
+
+    row = spark.range(1).select(T.normalize_whitespace(F.lit("0 a \n 1 b 1\n2")).alias("t"), T.filled_lines(F.lit("0 a \n 1 b 1\n2")).alias("l")).first()
+    assert row.t == "0 a\n1 b 1\n2" and row.l == ["0 a", "1 b 1", "2"]
+
+
+def test_split_text_by_separators():
+    from kbspark.operators.chunking import split_text
+
+    assert split_text("aaa bbb ccc", 7, 3) == ["aaa", "bbb", "ccc"] or split_text("aaa bbb ccc", 7, 3) == ["aaa bbb", "ccc"]
+    text = "\n\n".join(" ".join(f"w{i}x{j}" for j in range(60)) for i in range(6))
+    parts = split_text(text, 200, 40)
+    assert all(len(p) <= 200 for p in parts) and {w for p in parts for w in p.split()} == set(text.split())
+    assert split_text("x" * 500, 200, 40) == ["x" * 200, "x" * 200, "x" * 180] and split_text("  ", 10, 2) == []
+
+
+def test_heading_blocks(spark):
+    """A stack cut by its length: a level-2 heading after levels 1 and 3 keeps the first alone."""
+    from kbspark.operators.chunking import build_chunks, heading_blocks
+
+    text = "intro\n# A\na\n### C #\nc\n## B\n\n## D\nd"
+    rows = [(1, text), (2, "plain\r\ntext "), (3, "# only"), (4, None), (5, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.section): r.text for r in heading_blocks(docs).collect()}
+    assert got == {
+        (1, None): "intro", (1, "A"): "# A\na", (1, "A / C"): "# A\n\n### C #\nc", (1, "A / D"): "# A\n\n## D\nd",
+        (2, None): "plain\ntext", (3, "only"): "# only",
+    }
+    chunks = build_chunks(docs.union(spark.createDataFrame([(6, "one two. " * 300)], "doc_id long, text string"))).collect()
+    assert {r.doc_id for r in chunks} == {1, 2, 6} and all(len(r.text) <= 900 for r in chunks)
+    assert sorted(r.chunk_index for r in chunks if r.doc_id == 6) == list(range(sum(r.doc_id == 6 for r in chunks)))
+
+
+def test_next_snapshot_keeps_what_is_outside(spark):
+    from kbspark.operators import corpus
+
+    old = spark.createDataFrame([("", "root", "h0"), ("a", "root", "h1"), ("b", "root", "h2"), ("c", "other", "h3"), (None, None, "h4")], "source_key string, source_root string, file_hash string")
+    new = spark.createDataFrame([("a", "root", "h1"), ("c", "root", "h9")], "source_key string, source_root string, file_hash string")
+    diff = corpus.diff_snapshot(old.where("source_root = 'root'"), new)
+    assert sorted(r.file_hash for r in corpus.next_snapshot(old, new, diff, "root").collect()) == ["h0", "h1", "h3", "h4", "h9"]

@@ -14,7 +14,7 @@ def rows(df: pd.DataFrame) -> list:
     return sorted((tuple(clean(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events"):
