@@ -184,8 +184,8 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
 
     Fingerprints within `distance` bits propose pairs, which are verified by the whole sets. A pair at the bound may
     differ in a fifth of the bits, further than anchors reach, so the rest has an exact way: two sets of that similarity
-    share a shingle among the rarest fifth of each, and there all nodes are compared with the least, and then all whose
-    components still differ with each other, unless the places of that shingle leave too little to share. The order of rarity puts the shingles that are frequent in a sample of
+    share a shingle among the rarest fifth of each, and there all nodes are compared with the least, and then, where
+    components still differ, with the greatest and at last with each other, unless the places of that shingle leave too little to share. The order of rarity puts the shingles that are frequent in a sample of
     `sample` texts last, which spares pairs and changes no result. Null doc_ids keep their row; other columns are not read.
     """
     marked = common.materialize(shingles.marks(docs, width), "marked")
@@ -208,21 +208,28 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
     size = nodes.select(F.col("node").alias("low"), F.col("n").alias("n_low"))
     first = held.where("node > low").select("low", "node", "n").distinct().join(size, "low").where(fits("n", "n_low")).select("low", "node")
     pairs = proposed.union(first).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src < dst").distinct()
-    found = common.materialize(shingles.verified(common.materialize(pairs, "pairs"), texts, width, least), "links")
-
-    parts = common.connected_components(found)
-    placed = held.select("shingle", "node", "n", "pos").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = common.materialize(placed, "placed")
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("shingle")
-    left = placed.join(mixed, "shingle")
-    right = left.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("part"), F.col("pos").alias("at"))
-    # Two sets whose first common shingle has these places share it and what follows it at most.
-    most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
-    enough = most * (1 + least) + F.lit(1e-6) >= F.lit(least) * (F.col("n") + F.col("m"))
-    rest = left.join(right.hint("merge"), "shingle").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("part")) & fits("n", "m") & enough)
-    rest = rest.select(F.col("node").alias("src"), F.col("other").alias("dst")).distinct().join(pairs, ["src", "dst"], "left_anti")
-    more = common.materialize(shingles.verified(common.materialize(rest, "rest"), texts, width, least), "more")
-    parts = common.connected_components(found.union(more)).withColumnRenamed("component", "root")
+    pairs = common.materialize(pairs, "pairs")
+    found = common.materialize(shingles.verified(pairs, texts, width, least), "links")
+
+    # Where components still differ: all nodes with the greatest at their shingle, then all with each other.
+    for step in ("greatest", "all"):
+        parts = common.connected_components(found)
+        placed = held.select("shingle", "node", "n", "pos").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = common.materialize(placed, "placed")
+        mixed = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("node").alias("hub")).where("a < b").select("shingle", "hub")
+        left = placed.join(mixed, "shingle")
+        right = left if step == "all" else left.where("node = hub")
+        right = right.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("part"), F.col("pos").alias("at"))
+        # Two sets whose first common shingle has these places share it and what follows it at most.
+        most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
+        enough = most * (1 + least) + F.lit(1e-6) >= F.lit(least) * (F.col("n") + F.col("m"))
+        apart = (F.col("node") < F.col("other")) & (F.col("component") != F.col("part"))
+        rest = left.join(right.hint("merge"), "shingle").where(apart & fits("n", "m") & enough)
+        rest = rest.select(F.col("node").alias("src"), F.col("other").alias("dst")).distinct().join(pairs, ["src", "dst"], "left_anti")
+        rest = common.materialize(rest, "rest")
+        found = found.union(common.materialize(shingles.verified(rest, texts, width, least), "more"))
+        pairs = pairs.union(rest)
+    parts = common.connected_components(found).withColumnRenamed("component", "root")
     ids = marked.groupBy("node").agg(F.min("doc_id").alias("least")).join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = common.materialize(ids, "ids")
     roots = ids.groupBy("root").agg(F.min("least").alias("component_id"))
