@@ -118,22 +118,23 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
 
     Overlapping spans are replaced as one. Widely copied examples stay, as do documents without a live span. Only texts
     in which a span can start are scanned and shuffled; they are found again by a digest of the row, so equal rows are
-    treated alike, and no copy of the texts is written.
+    treated alike, and no copy of the texts is written. Null texts stay null; extra columns of any name stay as they are.
     """
+    row, cuts = (next(n for k in range(len(docs.columns) + 1) if (n := f"{c}{k}") not in docs.columns) for c in ("row", "cuts"))
     maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
-    tagged = docs.where(maybe).withColumn("_row", F.sha2(F.to_json(F.struct("doc_id", "source", "text")), 256))
-    spans = find_secrets(tagged.select(F.col("_row").alias("doc_id"), "source", "text"))
+    tagged = docs.where(maybe).withColumn(row, F.sha2(F.to_json(F.struct("doc_id", "source", "text")), 256))
+    spans = find_secrets(tagged.select(F.col(row).alias("doc_id"), "source", "text"))
     live = F.filter("spans", lambda s: s["verdict"] == "live")
     live = F.transform(live, lambda s: F.struct(s["start"], s["end"]))
-    hits = spans.select(F.col("doc_id").alias("_row"), live.alias("_spans")).where("size(_spans) > 0").dropDuplicates(["_row"])
+    hits = spans.select(F.col("doc_id").alias(row), live.alias(cuts)).where(F.size(cuts) > 0).dropDuplicates([row])
 
     def run(batches):
         for batch in batches:
             at = batch.schema.names.index("text")
             texts = []
-            for text, cuts in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            for text, places in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 out, upto = [], 0
-                for cut in cuts or []:
+                for cut in places or []:
                     a, b = cut["start"], cut["end"]
                     if a >= upto:
                         out += [text[upto:a], mark]
@@ -143,11 +144,11 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    joined = tagged.join(hits, "_row", "left").drop("_row")
-    done = joined.where("_spans is not null").mapInArrow(run, docs.schema).select(docs.columns)
+    joined = tagged.join(hits, row, "left").drop(row)
+    done = joined.where(F.col(cuts).isNotNull()).mapInArrow(run, docs.schema).select(docs.columns)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.where(~maybe).union(joined.where("_spans is null").select(docs.columns)).union(done.select(docs.columns))
+    return docs.where(~maybe).union(joined.where(F.col(cuts).isNull()).select(docs.columns)).union(done.select(docs.columns))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

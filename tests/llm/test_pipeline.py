@@ -56,3 +56,22 @@ def test_near_copies_against_brute_force(spark):
     docs = spark.createDataFrame(list(table.items()), "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == want
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Extra columns that are called like what the stages add come through whole, and nothing else changes."""
+    rng = random.Random(8)
+    value = "token = sk9f8e7d6c5b4a3f2e1d"
+    rows = [(i, " ".join(_words(rng, 90) + ([value] if i == 3 else [])), "ab"[i % 2], -5, ["x"], "row", "k", 7) for i in range(12)] + [(None, None, None, 1, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int, words array<string>, row0 string, _key string, _copies int")
+    spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = {r[0]: r[3:] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(tuple(r)[3:] == tuple(extra[r.doc_id]) for r in got)
+        if name == "quality":
+            assert {r.doc_id for r in got} <= set(range(12))
+        if name == "secrets":
+            assert {r.doc_id: r.text for r in got} == {r[0]: r[1] and r[1].replace(value, "<secret>") for r in rows}
