@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from kbspark.llm import common, mixing, packing, quality, secrets, simhash
 
 
+def _whole(docs: DataFrame, *columns) -> DataFrame:
+    """The columns, and all columns of docs in one, _doc, so that no name of theirs clashes with what a stage adds."""
+    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio."""
-    return quality.judge(docs, common.table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    """Documents that pass the base rules and the likelihood ratio. Null texts have no words and go."""
+    judged = quality.judge(_whole(docs, "doc_id", "text"), common.table(spark, sf_dir, "labels"))
+    return judged.where("kept").select("_doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), digest.alias("digest"))
     found = simhash.near_copies(docs.select(key.alias("doc_id"), "text")).where(F.col("doc_id") == F.col("component_id"))
     ids = common.materialize(found.groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("n")), "kept")
-    kept = docs.withColumn("_key", key).join(ids.hint("merge"), "_key", "left_semi")
-    return (kept.dropDuplicates(["_key"]) if ids.where("n > 1").limit(1).count() else kept).select(docs.columns)
+    kept = _whole(docs, key.alias("_key")).join(ids.hint("merge"), "_key", "left_semi")
+    return (kept.dropDuplicates(["_key"]) if ids.where("n > 1").limit(1).count() else kept).select("_doc.*")
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +41,8 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: rows repeat, and may be left out."""
     taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(docs.columns)
+    out = _whole(docs, "doc_id").join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
