@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What counts as page-number line, table-of-contents line and contents heading.
 PAGE_NUMBER = r"(?i)^(?:#{1,6}\s*)?(?:page\s*\d+(?:\s*(?:of|/)\s*\d+)?|第\s*\d+\s*页)$"
@@ -28,9 +32,15 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    """Compatibility forms composed and case folded; only texts beyond ASCII are handed over, others are null."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
 def normalize_for_dedup(text: Column) -> Column:
-    """Case-folded text with single spaces. The sharp s folds to two letters; compatibility forms stay as they are."""
-    return collapse(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+    """C-11: text with compatibility forms composed, case folded and single spaces. ASCII texts stay in the JVM."""
+    return collapse(F.coalesce(_folded(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text)))
 
 
 def filled_lines(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import payloads
 from ..operators import chunking, corpus, evaluation, memory, ownership, retrieval
 from .queries import QUERIES, _t, query
 
@@ -332,3 +333,17 @@ def weighted_fuse(spark, sf_dir):
 def hydrate(spark, sf_dir):
     chunks = _t(spark, sf_dir, "events").where("event_id % 8 <> 0").select(F.col("event_id").alias("chunk_id"), "props")
     return retrieval.hydrate(_ranked(spark, sf_dir).select("query_id", "chunk_id", "rank"), chunks)
+
+
+@query(r"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS payload, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN event_id % 8 <> 2 ELSE true END AS flag,
+ CASE WHEN event_id % 2 = 0 THEN 'q' || event_id || '|b|c' ELSE 'fallback' END AS queries, CASE WHEN event_id % 5 = 0 THEN 7 ELSE event_id END AS page FROM events""")
+def payloads_parsed(spark, sf_dir):
+    e, key = _t(spark, sf_dir, "events"), F.col("event_id").cast("string")
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("none { "), "props")).otherwise(F.concat(F.lit("Sure:\n"), "props", F.lit(" as asked")))
+    word = F.element_at(F.array(F.lit(" Yes"), F.lit("NO "), F.when(F.col("event_id") % 8 == 2, "0.0").otherwise("2"), F.lit("perhaps")), (F.col("event_id") % 4 + 1).cast("int"))
+    asked = F.when(F.col("event_id") % 2 == 0, F.array(F.concat(F.lit(" q"), key), F.lit(""), F.concat(F.lit("q"), key), F.lit("b"), F.lit("c "), F.lit("d")))
+    page = payloads.page_from_chunk(F.when(F.col("event_id") % 5 != 0, payloads.leading_int(F.concat(key, F.lit(" ff.")))), F.lit("x\n## Page 7\ny"))
+    return e.select(
+        "event_id", payloads.parse_json_object(said).alias("payload"), payloads.coerce_bool(word, True).alias("flag"),
+        F.array_join(payloads.normalize_queries(asked, F.lit("fallback")), "|").alias("queries"), page.alias("page"),
+    )

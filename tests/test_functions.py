@@ -142,3 +142,12 @@ def test_next_snapshot_keeps_what_is_outside(spark):
     new = spark.createDataFrame([("a", "root", "h1"), ("c", "root", "h9")], "source_key string, source_root string, file_hash string")
     diff = corpus.diff_snapshot(old.where("source_root = 'root'"), new)
     assert sorted(r.file_hash for r in corpus.next_snapshot(old, new, diff, "root").collect()) == ["h0", "h1", "h3", "h4", "h9"]
+
+
+def test_normalize_for_dedup_folds_compatibility_forms(spark):
+    from pyspark.sql import functions as F
+
+    from kbspark.functions import text as T
+
+    rows = spark.createDataFrame([("ＡＢ ﬁ\u3000Straße",), ("Plain  Text",), (None,)], "t string").select(T.normalize_for_dedup(F.col("t")).alias("n")).collect()
+    assert [r.n for r in rows] == ["ab fi strasse", "plain text", None]
