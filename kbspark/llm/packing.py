@@ -78,14 +78,14 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
         use = np.linalg.solve(basis, demand.astype(float))
         price = np.linalg.solve(basis.T, np.ones(m))
         best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for room in range(1, capacity + 1):
-            best[room] = best[room - 1]
-            fit = np.flatnonzero(sizes <= room)
-            if len(fit):
-                value = best[room - sizes[fit]] + price[fit]
-                j = int(value.argmax())
-                if value[j] > best[room] + 1e-12:
-                    best[room], last[room] = value[j], fit[j]
+        for j in np.flatnonzero(price > 1e-12).tolist():
+            size = int(sizes[j])
+            for _ in range(capacity // size):  # one more of the size in each round
+                value = best[:-size] + price[j]
+                better = np.flatnonzero(value > best[size:] + 1e-12)
+                if not len(better):
+                    break
+                best[size + better], last[size + better] = value[better], j
         if best[capacity] <= 1 + 1e-7:
             break
         column, room = np.zeros(m), capacity
@@ -103,12 +103,13 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     return [(basis[:, i].astype(int), int(use[i])) for i in range(m) if use[i] > 0]
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = 48, small: float = 1 / 8) -> list[tuple[int, list[int]]]:
+def plan(counts: dict[int, int], capacity: int, groups: int = 96, small: float = 1 / 8, repack: float = 0.5) -> list[tuple[int, list[int]]]:
     """Runs (how many sequences, their lengths) that hold exactly `counts` pieces of each length.
 
     Large lengths are put in groups of equal cardinality and rounded up to the largest of their group; the few sizes
     are optimised as configurations; actual lengths are put in the slots; small lengths, and what the rounding of
-    the program left, go by best fit into the room that remains. The work depends on the number of lengths alone.
+    the program left, go by best fit into the room that remains. Then the emptiest sequences, from a share of `repack` of
+    all down, are filled anew by best fit where that saves some. The work depends on the number of lengths alone.
     """
     left = {n: c for n, c in counts.items() if c > 0}
     runs: list[tuple[int, list[int]]] = [(left.pop(capacity), [capacity])] if capacity in left else []
@@ -167,26 +168,48 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 48, small: float =
             for n, c in pool:
                 rest[n] = rest.get(n, 0) + c
         left = {n: c for n, c in left.items() if n not in set(large)} | rest
-    for n in sorted(left, reverse=True):
-        c = left[n]
-        while c:
-            fit = min((r for r in open_runs if r >= n), default=None)
-            if fit is None:
-                k = capacity // n
-                if c >= k:
-                    put(c // k, [n] * k)
-                    c %= k
-                else:
-                    put(1, [n] * c)
-                    c = 0
-                continue
-            count, lengths = open_runs[fit].pop()
-            if not open_runs[fit]:
-                del open_runs[fit]
-            take = min(c, count)
-            put(count - take, lengths)
-            put(take, [*lengths, n])
-            c -= take
+    def fill(left: dict[int, int]) -> None:
+        for n in sorted(left, reverse=True):
+            c = left[n]
+            while c:
+                fit = min((r for r in open_runs if r >= n), default=None)
+                if fit is None:
+                    k = capacity // n
+                    if c >= k:
+                        put(c // k, [n] * k)
+                        c %= k
+                    else:
+                        put(1, [n] * c)
+                        c = 0
+                    continue
+                count, lengths = open_runs[fit].pop()
+                if not open_runs[fit]:
+                    del open_runs[fit]
+                take = min(c, count)
+                put(count - take, lengths)
+                put(take, [*lengths, n])
+                c -= take
+
+    fill(left)
+    # The emptiest sequences are taken apart and their pieces put by best fit again, where that saves some.
+    total, share = sum(c for rs in open_runs.values() for c, _ in rs), repack
+    while share > 1e-3:
+        kept, freed, upto = {r: list(rs) for r, rs in open_runs.items()}, {}, int(total * share)
+        for r in sorted(open_runs, reverse=True):
+            while upto and open_runs.get(r):
+                count, lengths = open_runs[r].pop()
+                take = min(count, upto)
+                upto -= take
+                put(count - take, lengths)
+                for n in lengths:
+                    freed[n] = freed.get(n, 0) + take
+            if not open_runs[r]:
+                del open_runs[r]
+        fill(freed)
+        now = sum(c for rs in open_runs.values() for c, _ in rs)
+        if now >= total:
+            open_runs = kept
+        total, share = min(now, total), share / 2
     return runs + [r for rs in open_runs.values() for r in rs]
 
 

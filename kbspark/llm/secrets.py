@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +20,15 @@ KINDS = (
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),  # a run found from its first character is found whole
 )
 ORDER = [k for k, *_ in KINDS] + ["reused"]
-#: What can be another copy of a candidate: runs of its alphabet that long, with a digit and a letter in them.
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
+#: What can be another copy of a candidate: runs of its alphabet and their pieces between these signs, trimmed of signs at
+#: both ends, that long and with a digit and a letter in them. Shorter values, and those of letters alone, are ordinary words
+#: too often to be looked up without a pattern around them.
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+PIECE = re.compile(r"[A-Za-z0-9+_-]{8,}")
+SIGNS, LEAST = "+/_.=-", 8
 
 #: Texts in which a span of either sort can start, as a Java pattern; others need no scan.
-MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|[0-9a-f]{24}|AKIA[A-Z0-9]{16}|(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16}"""
+MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|[0-9a-f]{24}|AKIA[A-Z0-9]{16}|(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{8}"""
 
 _SPAN = "struct<kind:string,start:long,end:long,hash:string>"
 
@@ -37,7 +42,23 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def _digest(value: str) -> str:
-    return hashlib.sha256(value.encode()).hexdigest()[:32]
+    """Values that differ in signs at their ends alone, such as a full stop, are one."""
+    return hashlib.sha256((value.strip(SIGNS) or value).encode()).hexdigest()[:32]
+
+
+def runs(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, value) of the runs that can be bare copies of a candidate, and of their pieces, without repeats."""
+    found = []
+    for m in TOKEN.finditer(text):
+        at, whole = m.start(), m[0]
+        for a, b in dict.fromkeys([m.span(), *((at + p.start(), at + p.end()) for p in PIECE.finditer(whole))]):
+            value = text[a:b]
+            a += len(value) - len(value.lstrip(SIGNS))
+            value = value.strip(SIGNS)
+            mixed = any("0" <= c <= "9" for c in value) and any(c.isalpha() for c in value)
+            if len(value) >= LEAST and mixed and (a, a + len(value), value) not in found[-1:]:
+                found.append((a, a + len(value), value))
+    return found
 
 
 def _scan(batches):
@@ -49,11 +70,10 @@ def _scan(batches):
             text = text or ""
             base = base_spans(text)
             spans.append([{"kind": k, "start": a, "end": b, "hash": _digest(v)} for k, a, b, v in base])
-            rest, reach = [], [(a, b) for _, a, b, _ in base]
-            for m in TOKEN.finditer(text):
-                if MIXED.match(m[0]) and not any(a < m.end() and m.start() < b for a, b in reach):
-                    rest.append({"kind": "reused", "start": m.start(), "end": m.end(), "hash": _digest(m[0])})
-            others.append(rest)
+            # The base spans overlap a run if one that starts before its end reaches beyond its start.
+            starts, reach = [a for _, a, _, _ in base], list(accumulate((b for _, _, b, _ in base), max))
+            free = ((a, b, v) for a, b, v in runs(text) if not (i := bisect_left(starts, b)) or reach[i - 1] <= a)
+            others.append([{"kind": "reused", "start": a, "end": b, "hash": _digest(v)} for a, b, v in free])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array(range(len(spans)), pa.int64()), pa.array(spans, pa.list_(span)), pa.array(others, pa.list_(span))],
             ["doc_id", "owner", "n", "base", "others"],
@@ -78,8 +98,9 @@ def find_secrets(docs: DataFrame, example_owners: int = 3) -> DataFrame:
     base and spans are arrays of (kind, start, end, hash, repositories, owners, verdict). Of each candidate's hash the
     distinct repositories (documents) and owners (sources; a null one is an owner of its own) are counted over the
     corpus. A candidate with `example_owners` or more owners is a widely copied "example", any other "live": specific
-    to few owners. The method adds, as kind "reused", runs elsewhere that equal a live candidate's value without a
-    pattern of their own around them; base spans always stay. Null and empty texts have no span, and repeated rows are
+    to few owners. The method adds, as kind "reused", runs elsewhere, or pieces of runs between `.`, `/` and `=`, that equal
+    a live candidate's value of 8 characters or more with a digit and a letter, without a pattern of their own around
+    them (signs at the ends don't count); base spans always stay. Null and empty texts have no span, and repeated rows are
     kept apart. Only spans and hashes leave the scan, never texts.
     """
     ids = docs.select("doc_id", "text", F.col("source").alias("owner"))

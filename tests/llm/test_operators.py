@@ -1,5 +1,6 @@
 """The operators against brute force on small tables with nulls, empty and long texts, ties, copies and repeated rows."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -127,6 +128,17 @@ def test_plan_holds_every_piece():
     assert sum(n for n, _ in runs) < 1.05 * sum(a * b for a, b in zip(lengths, counts)) / 1024
 
 
+def test_plan_against_best_fit():
+    """Of lengths drawn like those of documents, the plan takes hardly more sequences than best fit of each piece does."""
+    lengths = (np.random.default_rng(1).lognormal(5, 1, 3000).astype(int) + 2).clip(2, 1024)
+    rooms: list[int] = []
+    for n in sorted(lengths.tolist(), reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        bisect.insort(rooms, (rooms.pop(at) if at < len(rooms) else 1024) - n)
+    runs = packing.plan(dict(Counter(lengths.tolist())), 1024)
+    assert sum(n for n, _ in runs) <= len(rooms) * 1.004 + 1
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).toPandas()
     assert len(got) == len(_rows()) and (got.taken <= 3 * got["size"]).all()
@@ -316,6 +328,20 @@ def test_secrets(spark, docs, none):
     assert secrets.find_secrets(none).count() == 0 and secrets.redact(none).count() == 0
 
 
+def test_secrets_short_values_and_pieces(spark):
+    value = "Hunter2x9"
+    texts = [f"password = {value}", f"password={value}.", f"the bare {value} here", f"end with {value}.", f"at /x/{value}?k", f"as key={value}", "a hunter2x and Hunter2x99", None, "", "7" * 50_000 + "x"]
+    table = spark.createDataFrame([(i, t, "one") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in secrets.find_secrets(table).collect()}
+    assert [[s.kind for s in found[i].spans if s.kind != "hex"] for i in range(9)] == [["assign"]] * 2 + [["reused"]] * 4 + [[]] * 3
+    assert {s.repositories for i in (0, 1) for s in found[i].base} == {2}
+    for i in range(2, 6):
+        (s,) = found[i].spans
+        assert texts[i][s.start : s.end] == value
+    redacted = {r.doc_id: r.text for r in secrets.redact(table).collect()}
+    assert all(value not in redacted[i] for i in range(6)) and all(redacted[i] == texts[i] for i in (6, 7, 8))
+
+
 def _linked(rows, least=0.9):
     """Brute force: (vec_id, n_links, component_id, kept) of all rows, lengths apart."""
     good = [(i, np.array(v) / max(map(abs, v))) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)]
