@@ -99,14 +99,16 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def ngram_recall(expected: Column, actual: Column, n: int = 3) -> Column:
-    """1 if contained, else the share of the expected text's distinct n-grams that occur in the actual one."""
+def ngrams(text: Column, n: int = 3) -> Column:
+    """The text's distinct runs of n characters; null for null."""
+    parts = lambda cs: F.transform(cs, lambda _, i: F.concat(*[F.get(cs, i + j) for j in range(n)]))
+    return let(F.split(text, ""), lambda cs: F.array_distinct(F.array_compact(parts(cs))))
+
 
-    def grams(text: Column) -> Column:
-        parts = lambda cs: F.transform(cs, lambda _, i: F.concat(*[F.get(cs, i + j) for j in range(n)]))
-        return let(F.split(text, ""), lambda cs: F.array_distinct(F.array_compact(parts(cs))))
+def ngram_recall(expected: Column, actual: Column, n: int = 3) -> Column:
+    """E-14: 1 if contained, else the share of the expected text's distinct n-grams that occur in the actual one."""
 
     def share(wanted: Column) -> Column:
-        return F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, grams(actual))) / F.size(wanted)).otherwise(0.0)
+        return F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, ngrams(actual, n))) / F.size(wanted)).otherwise(0.0)
 
-    return F.when(F.contains(actual, expected), 1.0).otherwise(let(grams(expected), share))
+    return F.when(F.contains(actual, expected), 1.0).otherwise(let(ngrams(expected, n), share))

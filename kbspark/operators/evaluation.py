@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def per_question_metrics(hits: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
     """hits (query_id, chunk_id, rank), expected (query_id, chunk_id): first relevant rank, hit@k, precision@k (by k),
@@ -122,3 +124,15 @@ def compare_reports(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     delta = lambda c, digits: F.round(F.col(c) - F.col(f"_{c}"), digits)
     made = both.select(failed.alias("failed_gates"), delta("recall", 4).alias("delta_recall"), delta("mrr", 4).alias("delta_mrr"), delta("p95_ms", 2).alias("delta_p95"))
     return made.withColumn("passed", F.col("failed_gates") == "")
+
+
+def ngram_candidates(items: DataFrame, chunks: DataFrame, least: float = 0.35, n: int = 3) -> DataFrame:
+    """E-14 of all items (item_id, expected) against all chunks (doc_id, text): (item_id, doc_id, recall) of the pairs whose
+    recall is `least` (over 0) or more. Pairs meet at n-grams that they share, and are counted chunk by chunk where Spark
+    finds the items small enough to broadcast. Null texts and those of fewer than n characters have no pair."""
+    wanted = items.select("item_id", F.explode(T.ngrams(F.col("expected"), n)).alias("gram"))
+    held = chunks.select("doc_id", F.explode(T.ngrams(F.col("text"), n)).alias("gram"))
+    shared = held.join(wanted, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    sizes = wanted.groupBy("item_id").agg(F.count("*").alias("size"))
+    recall = F.col("shared") / F.col("size")
+    return shared.join(sizes, "item_id").where(recall >= least).select("item_id", "doc_id", recall.alias("recall"))

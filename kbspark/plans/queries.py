@@ -47,15 +47,19 @@ def drop_margin_lines(spark, sf_dir):
     return corpus.drop_recurring_margin_lines(lines).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Contents' || chr(10) || 'Part one .... 3' WHEN 1 THEN '## ' || substr(replace(text, chr(10), ' '), 1, 20)
-   WHEN 2 THEN replace(text, 'e', chr(65533)) ELSE text END AS t FROM documents)
- SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'table_of_contents' WHEN doc_id % 7 = 1 THEN 'title_only'
-  WHEN length(regexp_replace(t, '\s', '', 'g')) > 0 AND (length(t) - length(replace(t, chr(65533), ''))) / length(regexp_replace(t, '\s', '', 'g')) > 0.20 THEN 'garbled' END AS reason FROM d""")
+@query(r"""WITH d AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Contents' || chr(10) || 'Part one .... 3' || chr(10) || text WHEN 1 THEN '## ' || replace(text, chr(10), ' ')
+   WHEN 2 THEN replace(text, 'e', chr(65533)) WHEN 3 THEN '1.2 Part two ..... 12' || chr(10) || text ELSE text END AS t FROM documents),
+ l AS (SELECT *, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM d),
+ f AS (SELECT *, list_transform(lines, lambda x: regexp_matches(x, '(?i)^(#{1,6}\s*)?(page\s*\d+(\s*(of|/)\s*\d+)?|第\s*\d+\s*页)$') OR regexp_matches(x, '^(\d+(\.\d+)*\s+)?[^\n]{1,100}?\s*(\.{2,}|…+)\s*\d+\s*$')) AS toc,
+  list_transform(lines, lambda x: regexp_matches(x, '(?i)^((table\s+of\s+)?contents|目\s*录)$')) AS head FROM l)
+ SELECT doc_id, CASE WHEN len(lines) > 0 AND (list_bool_and(toc) OR (list_bool_or(head) AND list_bool_or(toc))) THEN 'table_of_contents' WHEN len(lines) = 1 AND regexp_matches(lines[1], '^#{1,6}\s+.+$') THEN 'title_only'
+  WHEN length(regexp_replace(t, '\s', '', 'g')) > 0 AND (length(t) - length(replace(t, chr(65533), ''))) / length(regexp_replace(t, '\s', '', 'g')) > 0.20 THEN 'garbled' END AS reason FROM f""")
 def chunk_rejection(spark, sf_dir):
+    """Whole texts, with contents lines put before some, some in one line with a heading's mark, some garbled."""
     flat, kind = F.replace("text", F.lit("\n"), F.lit(" ")), F.col("doc_id") % 7
     made = (
-        F.when(kind == 0, "Contents\nPart one .... 3").when(kind == 1, F.concat(F.lit("## "), F.substring(flat, 1, 20)))
-        .when(kind == 2, F.replace("text", F.lit("e"), F.lit("�"))).otherwise(F.col("text"))
+        F.when(kind == 0, F.concat(F.lit("Contents\nPart one .... 3\n"), "text")).when(kind == 1, F.concat(F.lit("## "), flat))
+        .when(kind == 2, F.replace("text", F.lit("e"), F.lit("�"))).when(kind == 3, F.concat(F.lit("1.2 Part two ..... 12\n"), "text")).otherwise(F.col("text"))
     )
     return _t(spark, sf_dir, "documents").select("doc_id", T.rejection_reason(made, F.lit("text")).alias("reason"))
 
@@ -165,9 +169,9 @@ def _embed(src: str, key: str, name: str) -> str:
 {name} AS (SELECT k, ix, v / sqrt(sum(v * v) OVER (PARTITION BY k)) AS value FROM {name}s)"""
 
 
-@query(f"WITH {_embed('benchmark', 'item_id', 'e')} SELECT k AS query_id, ix, round(value, 9) AS value FROM e")
+@query(f"WITH {_embed('documents', 'doc_id', 'e')} SELECT k AS chunk_id, ix, round(value, 9) AS value FROM e")
 def hash_embed(spark, sf_dir):
-    return retrieval.hash_embed(_asked(spark, sf_dir)[0], "query_id").select("query_id", "ix", F.round("value", 9).alias("value"))
+    return retrieval.hash_embed(_asked(spark, sf_dir)[1], "chunk_id").select("chunk_id", "ix", F.round("value", 9).alias("value"))
 
 
 _HYBRID = f"""{_BM25}, {_embed('benchmark', 'item_id', 'qe')}, {_embed('documents', 'doc_id', 'ce')},
@@ -261,15 +265,13 @@ def summary_versions(spark, sf_dir):
 _GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1)), lambda i: substr({0}, i, 3)))"
 
 
-@query(f"""SELECT item_id, doc_id, round(CASE WHEN contains(d.text, b.text) THEN 1.0 ELSE len(list_intersect({_GRAMS.format('b.text')}, {_GRAMS.format('d.text')})) / len({_GRAMS.format('b.text')}) END, 9) AS recall
- FROM (SELECT *, 'file-' || (item_id % 100) AS name FROM benchmark) b JOIN (SELECT *, 'file-' || (doc_id % 100) AS name FROM documents) d USING (name)""")
+@query(f"""WITH w AS (SELECT item_id, len(g) AS n, unnest(g) AS gram FROM (SELECT item_id, {_GRAMS.format('text')} AS g FROM benchmark)), h AS (SELECT doc_id, unnest({_GRAMS.format('text')}) AS gram FROM documents)
+ SELECT item_id, doc_id, round(count(*) / any_value(n), 9) AS recall FROM h JOIN w USING (gram) GROUP BY 1, 2 HAVING count(*) / any_value(n) >= 0.35""")
 def trigram_recall(spark, sf_dir):
-    """Labelling compares a question with the chunks of the file it names; the tables have no file names, so ids give them."""
-    name = lambda key: F.concat(F.lit("file-"), (F.col(key) % 100).cast("string")).alias("name")
-    items = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("expected"), name("item_id"))
-    pairs = _t(spark, sf_dir, "documents").select("doc_id", "text", name("doc_id")).join(items, "name")
-    return pairs.select("item_id", "doc_id", F.round(T.ngram_recall(F.col("expected"), F.col("text")), 9).alias("recall"))
-
+    """All benchmark items against all documents, from the recall on that labelling takes for a match."""
+    items = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("expected"))
+    found = evaluation.ngram_candidates(items, _t(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("item_id", "doc_id", F.round("recall", 9).alias("recall"))
 
 
 _ASKED = r"""m AS (SELECT conv_id, turn, role, trim(regexp_replace(CASE WHEN role <> 'user' THEN '' WHEN (conv_id + turn) % 4 = 0 THEN 'Then ' WHEN (conv_id + turn) % 4 = 1 THEN 'What about '

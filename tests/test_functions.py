@@ -151,3 +151,15 @@ def test_normalize_for_dedup_folds_compatibility_forms(spark):
 
     rows = spark.createDataFrame([("ＡＢ ﬁ\u3000Straße",), ("Plain  Text",), (None,)], "t string").select(T.normalize_for_dedup(F.col("t")).alias("n")).collect()
     assert [r.n for r in rows] == ["ab fi strasse", "plain text", None]
+
+
+def test_ngram_candidates_are_all_pairs(spark):
+    """Every item meets every chunk that shares enough trigrams, whatever the ids."""
+    from kbspark.operators import evaluation
+
+    items = [(1, "press forming"), (2, "ab"), (3, None), (4, "aaaa")]
+    chunks = [(7, "the press forms"), (12, "aaa"), (13, ""), (14, None), (15, "press forming of steel")]
+    grams = lambda t: {t[i : i + 3] for i in range(len(t or "") - 2)}
+    want = {(i, d): len(grams(e) & grams(t)) / len(grams(e)) for i, e in items for d, t in chunks if grams(e)}
+    got = evaluation.ngram_candidates(spark.createDataFrame(items, "item_id int, expected string"), spark.createDataFrame(chunks, "doc_id int, text string"))
+    assert {(r.item_id, r.doc_id): r.recall for r in got.collect()} == {k: v for k, v in want.items() if v >= 0.35}
