@@ -262,4 +262,6 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str | None, str | None], capacit
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each piece of each document, with its place in a sequence. A null or empty text is one piece of length
+    1, repeated rows are packed each, and an empty table has no row."""
     return pack(common.table(spark, sf_dir, "documents"), tokenizer_paths())

@@ -173,6 +173,8 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its base spans counted by kind and digested, and all spans. Null and empty texts have
+    none, repeated rows and null ids a row each, and an empty table no row."""
     found = find_secrets(common.table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
