@@ -235,4 +235,6 @@ def score(docs: DataFrame, held: F.Column | None = None, shard_mb: float = 10.0,
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: base score and the model's score of its whole text. Null and empty texts are one end token,
+    repeated rows count and are scored each, and an empty table gives no row."""
     return score(common.table(spark, sf_dir, "documents"))

@@ -110,6 +110,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its size, its source's size and target, and the words taken. Null and empty texts have size 0,
+    repeated ids share one decision, and an empty table gives no row."""
     return mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

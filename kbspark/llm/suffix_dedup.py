@@ -363,4 +363,6 @@ def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 20_000, bloc
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: the bytes removed, their runs and a digest of what is left. Null and empty texts have 0 bytes,
+    repeated rows remove each other, and an empty table gives no row."""
     return repeated_spans(common.table(spark, sf_dir, "documents")).drop("spans")
