@@ -46,6 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences. Null texts are a piece of the end alone."""
     return packing.pack(docs, packing.tokenizer_paths())
 
 
@@ -56,6 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each on what its predecessor wrote. An empty table gives no piece."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), name)
