@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,8 +37,27 @@ def majority(hashes: np.ndarray) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * total > len(hashes)).tolist()))
 
 
+#: Columns of a set's parities: bit i of all is set if an odd number of shingle hashes end in i.
+PARITIES = ["p0", "p1", "p2", "p3"]
+
+
+def parities(kinds: np.ndarray) -> np.ndarray:
+    odd = np.bincount((kinds & np.uint64(64 * len(PARITIES) - 1)).astype(np.int64), minlength=64 * len(PARITIES)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def may_reach(least: float, n: Column, m: Column, ours: list[str], others: list[str]) -> Column:
+    """False only where two sets of n and m shingles, by their parities, can't have the similarity `least`.
+
+    Each shingle that one of the sets lacks turns one bit, and sets of that similarity lack at most (n + m) * (1 - least)
+    / (1 + least) of each other's."""
+    turned = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(ours, others)), F.lit(0))
+    return turned <= (n + m) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)
+
+
 def marks(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, n, fp) of docs (doc_id, text): hash and size of its set of shingles, and its fingerprint."""
+    """(doc_id, node, n, fp, p0 to p3) of docs (doc_id, text): hash and size of its set of shingles, its fingerprint and
+    the set's parities."""
 
     def run(batches):
         for batch in batches:
@@ -46,11 +65,12 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
             for text in batch.column(1).cast(pa.large_binary()).to_pylist():
                 hashes = shingle_hashes(text or b"", width)
                 kinds = np.unique(hashes)
-                out.append((xxhash.xxh3_64_intdigest(kinds.tobytes()), len(kinds), majority(hashes)))
-            node, n, fp = (np.array(c, np.uint64).view(np.int64) for c in (zip(*out) if out else [()] * 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(n.astype(np.int32)), pa.array(fp)], ["doc_id", "node", "n", "fp"])
+                out.append((xxhash.xxh3_64_intdigest(kinds.tobytes()), len(kinds), majority(hashes), *parities(kinds)))
+            node, n, *more = (np.array(c, np.uint64).view(np.int64) for c in (zip(*out) if out else [()] * len(names)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(n.astype(np.int32)), *map(pa.array, more)], ["doc_id", *names])
 
-    schema = docs.select("doc_id", F.lit(0).cast("long").alias("node"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("fp")).schema
+    names = ["node", "n", "fp", *PARITIES]
+    schema = docs.select("doc_id", *[F.lit(0).cast("int" if c == "n" else "long").alias(c) for c in names]).schema
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

@@ -185,11 +185,12 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
     Fingerprints within `distance` bits propose pairs, which are verified by the whole sets. A pair at the bound may
     differ in a fifth of the bits, further than anchors reach, so the rest has an exact way: two sets of that similarity
     share a shingle among the rarest fifth of each, and there all nodes are compared with the least, and then, where
-    components still differ, with the greatest and at last with each other, unless the places of that shingle leave too little to share. The order of rarity puts the shingles that are frequent in a sample of
+    components still differ, with the greatest and at last with each other, unless the places of
+    that shingle leave too little to share, or the parities of the sets differ in too many bits. The order of rarity puts the shingles that are frequent in a sample of
     `sample` texts last, which spares pairs and changes no result. Null doc_ids keep their row; other columns are not read.
     """
     marked = common.materialize(shingles.marks(docs, width), "marked")
-    nodes = marked.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp"))
+    nodes = marked.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), *[F.min(p).alias(p) for p in shingles.PARITIES])
     nodes = common.materialize(nodes, "nodes")
     of_fp = common.materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fps")
     near = links(of_fp, distance)
@@ -217,12 +218,13 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
         placed = held.select("shingle", "node", "n", "pos").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         placed = common.materialize(placed, "placed")
         mixed = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("node").alias("hub")).where("a < b").select("shingle", "hub")
-        left = placed.join(mixed, "shingle")
+        left = placed.join(mixed, "shingle").join(nodes.select("node", *shingles.PARITIES), "node")
         right = left if step == "all" else left.where("node = hub")
-        right = right.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("part"), F.col("pos").alias("at"))
+        right = right.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("part"), F.col("pos").alias("at"), *[F.col(p).alias(f"other_{p}") for p in shingles.PARITIES])
         # Two sets whose first common shingle has these places share it and what follows it at most.
         most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
         enough = most * (1 + least) + F.lit(1e-6) >= F.lit(least) * (F.col("n") + F.col("m"))
+        enough &= shingles.may_reach(least, F.col("n"), F.col("m"), shingles.PARITIES, [f"other_{p}" for p in shingles.PARITIES])
         apart = (F.col("node") < F.col("other")) & (F.col("component") != F.col("part"))
         rest = left.join(right.hint("merge"), "shingle").where(apart & fits("n", "m") & enough)
         rest = rest.select(F.col("node").alias("src"), F.col("other").alias("dst")).distinct().join(pairs, ["src", "dst"], "left_anti")

@@ -3,6 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from kbspark.llm import shingles
+from pyspark.sql import functions as F
 
 
 def _words(rng: random.Random, n: int) -> list[str]:
@@ -75,3 +78,18 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
             assert {r.doc_id for r in got} <= set(range(12))
         if name == "secrets":
             assert {r.doc_id: r.text for r in got} == {r[0]: r[1] and r[1].replace(value, "<secret>") for r in rows}
+
+
+def test_parities_leave_no_similar_pair_out(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(400):
+        common, a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (rng.integers(0, 120), *rng.integers(0, 30, 2)))
+        x, y = np.union1d(common, a), np.union1d(common, b)
+        both = len(np.intersect1d(x, y))
+        similar = both >= 0.8 * max(len(x) + len(y) - both, 1)
+        rows.append((similar, len(x), len(y), *(v for s in (x, y) for v in shingles.parities(s).view(np.int64).tolist())))
+    ours, others = shingles.PARITIES, [f"q{i}" for i in range(len(shingles.PARITIES))]
+    table = spark.createDataFrame(rows, "similar boolean, n int, m int, " + ", ".join(f"{c} long" for c in ours + others))
+    got = table.groupBy("similar").agg(F.min(shingles.may_reach(0.8, F.col("n"), F.col("m"), ours, others).cast("int")).alias("least")).collect()
+    assert {r.similar: r.least for r in got} == {True: 1, False: 0}
