@@ -77,7 +77,7 @@ def rejection_reason(text: Column, content_type: Column) -> Column:
 
 
 def join_wrapped_lines(text: Column) -> Column:
-    """Lines of a paragraph joined by a space; paragraphs stay apart."""
+    """C-05: lines of a paragraph joined by a space; paragraphs stay apart."""
     return F.array_join(F.transform(F.split(text, "\n\n+"), lambda p: F.replace(p, F.lit("\n"), F.lit(" "))), "\n\n")
 
 

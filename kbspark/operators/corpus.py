@@ -27,6 +27,7 @@ def dedup_exact(chunks: DataFrame, source: str, pos: str, text: str = "text") ->
 
 
 def document_groups(chunks: DataFrame) -> DataFrame:
+    """Y-01: documents (source_root, source_key) of chunks, with their least file_hash and number of chunks."""
     return chunks.groupBy("source_root", "source_key").agg(F.min("file_hash").alias("file_hash"), F.count("*").alias("n_chunks"))
 
 
@@ -143,9 +144,12 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], keep_old_if_n
     return target.join(new, keys, "full_outer").select(*keys, *[value(c).alias(c) for c in rest])
 
 
-def activate_version(versions: DataFrame, version: str) -> DataFrame:
+def activate_version(versions: DataFrame, version: str, kb: str | None = None) -> DataFrame:
+    """T-03: `version` becomes active, what was active before superseded; the rest, also of other bases where `kb` is given,
+    stays as it is."""
+    ours = F.lit(True) if kb is None else F.col("kb_id").eqNullSafe(F.lit(kb))
     status = F.when(F.col("version") == version, "active").when(F.col("status") == "active", "superseded").otherwise(F.col("status"))
-    return versions.withColumn("status", status)
+    return versions.withColumn("status", F.when(ours, status).otherwise(F.col("status")))
 
 
 def expire_stale_jobs(jobs: DataFrame, as_of, seconds: int = 1800) -> DataFrame:
@@ -167,7 +171,7 @@ def document_listing(chunks: DataFrame) -> DataFrame:
 
 
 def snapshot_revision(chunks: DataFrame, columns: list[str]) -> DataFrame:
-    """One digest of all rows, whatever their order: row digests are folded by two hex digits, then over the folds."""
+    """K-09: one digest of all rows, whatever their order: row digests are folded by two hex digits, then over the folds."""
     row = chunks.select(F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]), 256).alias("d"))
     # Sums of 60-bit pieces are order-independent and combine before the shuffle: no row ever holds all digests.
     piece = lambda i: F.sum(F.conv(F.substring("d", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string")

@@ -163,3 +163,34 @@ def test_ngram_candidates_are_all_pairs(spark):
     want = {(i, d): len(grams(e) & grams(t)) / len(grams(e)) for i, e in items for d, t in chunks if grams(e)}
     got = evaluation.ngram_candidates(spark.createDataFrame(items, "item_id int, expected string"), spark.createDataFrame(chunks, "doc_id int, text string"))
     assert {(r.item_id, r.doc_id): r.recall for r in got.collect()} == {k: v for k, v in want.items() if v >= 0.35}
+
+
+def test_activate_version_keeps_to_its_base(spark):
+    rows = [("k", "v1", "active"), ("k", "v2", "ready"), ("k", "v3", "failed"), ("other", "v1", "active"), (None, "v2", "active")]
+    versions = spark.createDataFrame(rows, "kb_id string, version string, status string")
+    status = lambda df: [r.status for r in df.orderBy(F.col("kb_id").asc_nulls_last(), "version").collect()]
+    assert status(corpus.activate_version(versions, "v2", "k")) == ["superseded", "active", "failed", "active", "active"]
+    assert status(corpus.activate_version(versions.where("kb_id = 'k'"), "v2")) == ["superseded", "active", "failed"]
+
+
+def test_document_groups(spark):
+    rows = [("r", "a", "h1"), ("r", "a", "h1"), ("s", "a", "h2"), (None, "a", "h3"), (None, "a", None)]
+    got = corpus.document_groups(spark.createDataFrame(rows, "source_root string, source_key string, file_hash string")).collect()
+    assert {(r.source_root, r.source_key, r.file_hash, r.n_chunks) for r in got} == {("r", "a", "h1", 2), ("s", "a", "h2", 1), (None, "a", "h3", 2)}
+
+
+def test_snapshot_revision_tells_rows_but_not_their_order(spark):
+    rows = [(1, "a"), (2, "b"), (2, "b"), (3, None), (4, "")]
+
+    def revision(rows):
+        return corpus.snapshot_revision(spark.createDataFrame(rows, "id int, text string"), ["id", "text"]).first().revision
+
+    same = revision(rows)
+    assert revision(rows[::-1]) == same
+    others = [rows[:2] + rows[3:], rows[:3] + [(3, ""), (4, None)], rows[1:], [(1, "b"), (2, "a"), *rows[2:]], []]
+    assert len({same, *map(revision, others)}) == 1 + len(others)
+
+
+def test_join_wrapped_lines(spark):
+    values = ["one\ntwo\n\nthree\n\n\nfour\nfive", "", None, "alone"]
+    assert column(spark, values, T.join_wrapped_lines) == ["one two\n\nthree\n\nfour five", "", None, "alone"]
