@@ -7,6 +7,7 @@ from .lm_scoring import op6_lm_scoring
 from .manifest import SQL as MANIFEST_SQL, op11_manifest
 from .mixing import SQL as MIXING_SQL, op4_mixing
 from .packing import op3_packing
+from .periodic import op13_periodic
 from .quality import op1_quality
 from .secrets import op9_secrets
 from .simhash import op5_simhash
@@ -16,6 +17,6 @@ from .warc import SQL as WARC_SQL, op8_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_suffix_dedup, op3_packing, op4_mixing, op5_simhash, op6_lm_scoring, op7_chaining, op8_warc, op9_secrets, op10_embedding_dedup, op11_manifest)
+    for f in (op1_quality, op2_suffix_dedup, op3_packing, op4_mixing, op5_simhash, op6_lm_scoring, op7_chaining, op8_warc, op9_secrets, op10_embedding_dedup, op11_manifest, op13_periodic)
 }
 ORACLES = {"op4_mixing": MIXING_SQL, "op8_warc": WARC_SQL, "op11_manifest": MANIFEST_SQL}
