@@ -545,4 +545,4 @@ def compare_reports(spark, sf_dir):
     return evaluation.compare_reports(report(_metrics(spark, sf_dir), "click", 0.0), report(evaluation.per_question_metrics(sparse, labels), "view", 0.31))
 
 
-from . import more  # noqa: E402,F401  (registers its queries with the same tables)
+from . import more, streams  # noqa: E402,F401  (they register their queries with the same tables)
