@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import squeeze
+
 # How many queries a plan may have, and the words that stand for yes and no.
 MOST_QUERIES = 3
 YES, NO = ("true", "yes", "1"), ("false", "no", "0")
@@ -30,10 +32,15 @@ def normalize_queries(queries: Column, fallback: Column, most: int = MOST_QUERIE
 
 
 def leading_int(text: Column) -> Column:
-    """E-16: the digits that a text begins with, as a number."""
-    return F.nullif(F.regexp_extract(text, r"^\s*(\d+)", 1), F.lit("")).cast("long")
+    """E-16: the digits that a text begins with, as a number; null where there are none or too many for one."""
+    return F.regexp_extract(text, r"^\s*(\d+)", 1).try_cast("long")
 
 
 def page_from_chunk(page: Column, text: Column) -> Column:
-    """E-16: the page of a chunk, by its column or a heading `## Page n` in its text."""
-    return F.coalesce(page.cast("long"), F.nullif(F.regexp_extract(text, r"(?m)^## Page (\d+)", 1), F.lit("")).cast("long"))
+    """E-16: the page of a chunk, by its column if that is a number, else by the first `## Page n` in its text, in any case."""
+    return F.coalesce(page.try_cast("long"), F.regexp_extract(text, r"(?i)##\s*Page\s+(\d+)", 1).try_cast("long"))
+
+
+def basename_key(path: Column) -> Column:
+    """E-16: the last name of a path, with either slash, without case and white space; empty for null."""
+    return squeeze(F.regexp_extract(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), r"([^/]*)/*$", 1))

@@ -43,6 +43,17 @@ def normalize_for_dedup(text: Column) -> Column:
     return collapse(F.coalesce(_folded(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text)))
 
 
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    """Compatibility forms composed, in lower case; only texts beyond ASCII are handed over, others are null."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
+
+
+def squeeze(text: Column) -> Column:
+    """Text with compatibility forms composed, in lower case and without white space. ASCII texts stay in the JVM."""
+    return F.regexp_replace(F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text)), r"(?U)\s+", "")
+
+
 def filled_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..functions import pages as P
 from ..functions import text as T
 
 # What a heading line is, the separators in order, and the size of a chunk with its overlap.
@@ -123,11 +124,23 @@ def dedup_containment(chunks: DataFrame, source: str, pos: str, text: str = "tex
 
 
 def build_chunks(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """K-06: (doc_id, chunk_index, chunk_id, section, text) of docs (doc_id, text, source): parts of each text without
-    titles, contents, garbled ones and what an earlier part of the document holds; chunk_index runs on in a document."""
-    parts = recursive_split(docs, size, overlap).withColumn("text", F.trim("text")).where("text <> ''")
-    parts = parts.where(T.rejection_reason(F.col("text"), F.lit("text")).isNull())
-    kept = dedup_containment(parts, "doc_id", "part")
-    kept = kept.withColumn("chunk_index", F.row_number().over(W.partitionBy("doc_id").orderBy("part")) - 1)
-    key = F.col("doc_id").cast("string")
-    return kept.select("doc_id", "chunk_index", T.chunk_id(F.concat(F.lit("doc/"), key), F.lit(None), key, F.col("chunk_index").cast("string"), F.col("text")).alias("chunk_id"), infer_section(F.col("text")).alias("section"), "text")
+    """K-06: chunks (doc_id, source_path, chunk_index, content_type, chunk_id, section, text) of docs (doc_id: the place in the
+    batch, source_path, page, content_type, text).
+
+    A table gives its parts under the size and then its rows, which all stay; other texts are split by size, and parts that are a
+    title or contents alone, garbled, or held by an earlier part of their source (by doc_id and place) go. chunk_index counts
+    all parts of a document, also those that go. Null and blank texts have none; null content types are text.
+    """
+    docs = docs.withColumns({"content_type": F.coalesce("content_type", F.lit("text")), "text": F.coalesce("text", F.lit(""))})
+    table = F.col("content_type") == "table"
+    other = docs.where(~table)
+    split = recursive_split(other.select(F.struct("doc_id", "source_path", "page", "content_type").alias("doc_id"), "text"), size, overlap)
+    split = split.select("doc_id.*", F.col("part").alias("chunk_index"), "text")
+    piece = lambda kind: lambda t: F.struct(F.lit(kind).alias("content_type"), t.alias("text"))
+    pieces = F.concat(F.transform(P.table_parts(F.col("text"), size), piece("table")), F.transform(P.table_rows(F.col("text")), piece("table_row")))
+    rows = docs.where(table).select("doc_id", "source_path", "page", F.posexplode(pieces).alias("chunk_index", "p")).select("doc_id", "source_path", "page", "p.content_type", "chunk_index", "p.text")
+    split, rows = [d.withColumn("text", stripped(F.col("text"))).where("text <> ''") for d in (split, rows)]
+    good = split.where(T.rejection_reason(F.col("text"), F.col("content_type")).isNull())
+    kept = dedup_containment(good.withColumn("_at", F.struct("doc_id", "chunk_index")), "source_path", "_at").drop("_at")
+    name = T.chunk_id(F.col("source_path"), F.col("page"), F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"), F.col("text"))
+    return kept.unionByName(rows).withColumn("chunk_id", name).withColumn("section", infer_section(F.col("text"))).select("doc_id", "source_path", "chunk_index", "content_type", "chunk_id", "section", "text")

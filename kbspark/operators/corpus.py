@@ -67,9 +67,12 @@ def next_snapshot(chunks: DataFrame, incoming: DataFrame, diff: DataFrame, root:
 
 
 def delete_document(chunks: DataFrame, source: str, key: str = "source_key") -> tuple[DataFrame, DataFrame]:
-    """Y-07: chunks without a source, and one row (deleted, remaining_documents); it is an error if deleted is 0."""
+    """Y-07: chunks without a source, and one row (deleted, remaining_documents); reading that row is an error where no chunk has
+    the source."""
     hit = F.col(key).eqNullSafe(F.lit(source))
-    return chunks.where(~hit), chunks.agg(F.count_if(hit).alias("deleted"), F.count_distinct(F.when(~hit, F.col(key))).alias("remaining_documents"))
+    counts = chunks.agg(F.count_if(hit).alias("deleted"), F.count_distinct(F.when(~hit, F.col(key))).alias("remaining_documents"))
+    unknown = F.raise_error(F.lit(f"no chunk of {source!r}")).cast("long")
+    return chunks.where(~hit), counts.withColumn("deleted", F.when(F.col("deleted") == 0, unknown).otherwise(F.col("deleted")))
 
 
 def retained_source_roots(chunks: DataFrame, available: DataFrame) -> DataFrame:
@@ -91,13 +94,13 @@ def active_snapshot(chunks: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def advance_job(jobs: DataFrame, changes: DataFrame) -> DataFrame:
-    """T-08: jobs (job_id, status, retry_count, finished_at) after changes (job_id, new_status, at): an end time only for
-    completed, failed and cancelled ones, one retry more for a failed one."""
+    """T-08: jobs (job_id, status, retry_count, finished_at) after changes (job_id, new_status, at): completed, failed and
+    cancelled ones get the time as their end, all others keep the end that they have; one retry more for a failed one."""
     ended = F.col("new_status").isin("completed", "failed", "cancelled")
     both = jobs.join(changes, "job_id", "left")
     return both.select(
         "job_id", F.coalesce("new_status", "status").alias("status"), (F.col("retry_count") + F.coalesce((F.col("new_status") == "failed").cast("int"), F.lit(0))).alias("retry_count"),
-        F.when(F.col("new_status").isNull(), F.col("finished_at")).when(ended, F.col("at")).alias("finished_at"),
+        F.when(ended, F.col("at")).otherwise(F.col("finished_at")).alias("finished_at"),
     )
 
 

@@ -67,10 +67,15 @@ def document_key(name):
     return F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}]", ""))
 
 
+def stem(path):
+    """The last name of a path without its extension; a name that only begins with a dot has none."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)/*$", 1), r"(?<=.)\.[^.]+$", "")
+
+
 def document_rank(hits: DataFrame, expected: DataFrame) -> DataFrame:
-    """E-04: (query_id, document_rank): least rank of the hits (query_id, name, rank) whose name contains the expected one
-    (query_id, document), or lies in it, by letters and digits; null where none does."""
-    a, b = document_key(F.col("document")), document_key(F.col("name"))
+    """E-04: (query_id, document_rank): least rank of the hits (query_id, name, rank) whose name without folders and
+    extension contains the expected one (query_id, document), or lies in it, by letters and digits; null where none does."""
+    a, b = document_key(F.col("document")), document_key(stem(F.col("name")))
     match = (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
     return expected.join(hits, "query_id", "left").groupBy("query_id").agg(F.min(F.when(match, F.col("rank"))).alias("document_rank"))
 
@@ -126,6 +131,11 @@ def compare_reports(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return made.withColumn("passed", F.col("failed_gates") == "")
 
 
+def missed_questions(metrics: DataFrame) -> DataFrame:
+    """E-10: the questions (query_id) of a report's metrics without a relevant hit, a row each."""
+    return metrics.where("first_rank IS NULL").select("query_id")
+
+
 def ngram_candidates(items: DataFrame, chunks: DataFrame, least: float = 0.35, n: int = 3) -> DataFrame:
     """E-14 of all items (item_id, expected) against all chunks (doc_id, text): (item_id, doc_id, recall) of the pairs whose
     recall is `least` (over 0) or more. Pairs meet at n-grams that they share, and are counted chunk by chunk where Spark

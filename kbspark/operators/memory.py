@@ -63,18 +63,20 @@ def latest_summary(summaries: DataFrame) -> DataFrame:
 
 
 def upsert_facts(facts: DataFrame) -> DataFrame:
-    """M-05: of facts (session_id, memory_type, key, value, seq) the latest of each type and key; a blank value retires it."""
-    last = facts.groupBy("session_id", "memory_type", "key").agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"))
-    return last.where("trim(value) <> ''")
+    """M-05: of facts (session_id, memory_type, key, value, confidence, sort_order, seq) the latest of each session, type and
+    key, with place, its rank in the session by sort_order and then by when the key came first."""
+    last = facts.groupBy("session_id", "memory_type", "key").agg(F.min("seq").alias("_first"), F.max("seq").alias("seq"), F.max_by(F.struct("value", "confidence", "sort_order"), "seq").alias("l"))
+    place = F.row_number().over(W.partitionBy("session_id").orderBy("l.sort_order", "_first"))
+    return last.select("session_id", "memory_type", "key", "seq", "l.value", "l.confidence", "l.sort_order", place.alias("place"))
 
 
 def upsert_memory(memories: DataFrame, sessions: DataFrame, days: int = 90) -> DataFrame:
-    """M-10: of memories (owner, session_id, key, value, at, ttl_days) the latest of each owner and key, with expires_at;
-    those whose session is not the owner's (sessions: session_id, owner) don't count."""
+    """M-10: of memories (owner, session_id, memory_type, key, value, at, ttl_days) the latest of each owner, type and key, with
+    expires_at; those whose session is not the owner's (sessions: session_id, owner) don't count."""
     valid = memories.join(sessions.select("session_id", "owner"), ["session_id", "owner"], "left_semi")
-    last = valid.groupBy("owner", "key").agg(F.max_by(F.struct("value", "at", "ttl_days"), F.struct("at", "session_id")).alias("m"))
+    last = valid.groupBy("owner", "memory_type", "key").agg(F.max_by(F.struct("value", "at", "ttl_days"), F.struct("at", "session_id")).alias("m"))
     ttl = F.coalesce("m.ttl_days", F.lit(days)).cast("int")
-    return last.select("owner", "key", "m.value", F.expr("m.at").alias("updated_at"), (F.col("m.at") + F.make_dt_interval(ttl)).alias("expires_at"))
+    return last.select("owner", "memory_type", "key", "m.value", F.expr("m.at").alias("updated_at"), (F.col("m.at") + F.make_dt_interval(ttl)).alias("expires_at"))
 
 
 def change_memories(memories: DataFrame, changes: DataFrame, most_days: int = 365) -> DataFrame:

@@ -96,11 +96,11 @@ def decorate_hits(fused: DataFrame, *legs: DataFrame) -> DataFrame:
 
 def select_context(sources: DataFrame, most: int = 8, least: int = 2, chars: int = 7200, ratio: float = 0.5) -> DataFrame:
     """sources (query_id, rank, n_chars, rerank_score) kept for the answer: at most `most`; the first `least` always;
-    then up to the first that is over the character budget or, where all have a score, under ratio of the best."""
+    then up to the first that is over the character budget or, where all have a score, under ratio of the first one's."""
     capped = sources.where(F.col("rank") <= most)
     w = W.partitionBy("query_id")
     upto = F.sum("n_chars").over(w.orderBy("rank"))
-    cutoff = F.when(F.count("rerank_score").over(w) == F.count("*").over(w), F.max("rerank_score").over(w) * ratio)
+    cutoff = F.when(F.count("rerank_score").over(w) == F.count("*").over(w), F.min_by("rerank_score", "rank").over(w) * ratio)
     stop = (F.col("rank") > least) & ((upto > chars) | F.coalesce(F.col("rerank_score") < cutoff, F.lit(False)))
     marked = capped.withColumn("_stop", F.when(stop, F.col("rank")))
     first = F.min("_stop").over(w)

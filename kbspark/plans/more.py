@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import pages as P
 from ..functions import payloads
 from ..operators import chunking, corpus, evaluation, memory, ownership, retrieval
 from .queries import QUERIES, _t, query
@@ -50,8 +51,12 @@ def recursive_chunks(spark, sf_dir):
 
 
 def document_chunks(spark, sf_dir):
-    """The chunk table of all documents."""
-    return chunking.build_chunks(_t(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "chunk_id", "section", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    """The chunk table of all documents, of which every fifth is a table of its lines; four in a row are of one source."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    table = P.markdown_table(F.concat(F.lit("Lines of "), F.col("doc_id").cast("string")), F.array(F.lit("n"), F.lit("line")), F.transform(lines, lambda x, i: F.array((i + 1).cast("string"), x)))
+    kind, path = F.when(F.col("doc_id") % 5 == 0, "table"), F.concat(F.lit("doc/"), F.floor(F.col("doc_id") / 4).cast("string"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", path.alias("source_path"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 9).alias("page"), kind.alias("content_type"), F.when(kind.isNotNull(), table).otherwise(F.col("text")).alias("text"))
+    return chunking.build_chunks(docs).select("doc_id", "chunk_index", "content_type", "chunk_id", "section", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 QUERIES |= {f.__name__: f for f in (recursive_chunks, document_chunks)}
@@ -135,25 +140,29 @@ def latest_summaries(spark, sf_dir):
     return memory.latest_summary(events).select(F.col("session_id.user_id").alias("session_id"), F.col("session_id.event_type").alias("key"), "version", "summary")
 
 
-@query("""SELECT user_id AS session_id, event_type AS key, max(event_id) AS seq, arg_max(v, event_id) AS value FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN ' ' ELSE props END AS v FROM events) GROUP BY 1, 2
- HAVING trim(arg_max(v, event_id)) <> ''""")
+@query("""WITH f AS (SELECT user_id AS session_id, event_type AS key, min(event_id) AS first, max(event_id) AS seq, arg_max(props, event_id) AS value, arg_max(event_id % 10 / 10, event_id) AS confidence,
+ arg_max(event_id % 3, event_id) AS sort_order FROM events GROUP BY 1, 2)
+ SELECT session_id, key, seq, value, confidence, sort_order, row_number() OVER (PARTITION BY session_id ORDER BY sort_order, first) AS place FROM f""")
 def upsert_facts(spark, sf_dir):
-    value = F.when(F.col("event_id") % 3 == 0, " ").otherwise(F.col("props"))
-    facts = _t(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.lit("task").alias("memory_type"), F.col("event_type").alias("key"), value.alias("value"), F.col("event_id").alias("seq"))
-    return memory.upsert_facts(facts).select("session_id", "key", "seq", "value")
+    n = F.col("event_id")
+    facts = _t(spark, sf_dir, "events").select(
+        F.col("user_id").alias("session_id"), F.lit("task").alias("memory_type"), F.col("event_type").alias("key"), F.col("props").alias("value"), (n % 10 / 10).alias("confidence"), (n % 3).alias("sort_order"), n.alias("seq")
+    )
+    return memory.upsert_facts(facts).select("session_id", "key", "seq", "value", "confidence", "sort_order", F.col("place").cast("long").alias("place"))
 
 
-@query("""WITH m AS (SELECT user_id AS owner, user_id + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS session_id, event_type AS key, props AS value, ts AS t, CASE WHEN event_id % 2 = 0 THEN event_id % 300 + 1 END AS ttl FROM events),
- r AS (SELECT *, row_number() OVER (PARTITION BY owner, key ORDER BY t DESC, session_id DESC) AS rn FROM m WHERE session_id = owner)
- SELECT owner, key, value, t::VARCHAR AS updated_at, (t + INTERVAL 1 DAY * coalesce(ttl, 90))::VARCHAR AS expires_at FROM r WHERE rn = 1""")
+@query("""WITH m AS (SELECT user_id AS owner, user_id + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS session_id, CASE WHEN event_id % 3 = 0 THEN 'profile' ELSE 'fact' END AS memory_type, event_type AS key, props AS value, ts AS t,
+  CASE WHEN event_id % 2 = 0 THEN event_id % 300 + 1 END AS ttl FROM events),
+ r AS (SELECT *, row_number() OVER (PARTITION BY owner, memory_type, key ORDER BY t DESC, session_id DESC) AS rn FROM m WHERE session_id = owner)
+ SELECT owner, memory_type, key, value, t::VARCHAR AS updated_at, (t + INTERVAL 1 DAY * coalesce(ttl, 90))::VARCHAR AS expires_at FROM r WHERE rn = 1""")
 def upsert_memory(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     made = e.select(
-        F.col("user_id").alias("owner"), (F.col("user_id") + (F.col("event_id") % 4 == 0).cast("long")).alias("session_id"), F.col("event_type").alias("key"), F.col("props").alias("value"),
-        F.col("ts").alias("at"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 300 + 1).alias("ttl_days"),
+        F.col("user_id").alias("owner"), (F.col("user_id") + (F.col("event_id") % 4 == 0).cast("long")).alias("session_id"), F.when(F.col("event_id") % 3 == 0, "profile").otherwise("fact").alias("memory_type"),
+        F.col("event_type").alias("key"), F.col("props").alias("value"), F.col("ts").alias("at"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 300 + 1).alias("ttl_days"),
     )
     sessions = e.select(F.col("user_id").alias("session_id"), F.col("user_id").alias("owner")).distinct()
-    return memory.upsert_memory(made, sessions).select("owner", "key", "value", _stamp("updated_at"), _stamp("expires_at"))
+    return memory.upsert_memory(made, sessions).select("owner", "memory_type", "key", "value", _stamp("updated_at"), _stamp("expires_at"))
 
 
 def _stamp(name):
@@ -204,12 +213,14 @@ def chunk_listing(spark, sf_dir):
 
 
 @query("""SELECT event_id AS job_id, CASE event_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'completed' WHEN 2 THEN 'indexing' ELSE 'queued' END AS status, (event_id % 4 = 0)::INT AS retry_count,
- CASE WHEN event_id % 4 < 2 THEN ts END::VARCHAR AS finished_at FROM events""")
+ CASE WHEN event_id % 4 < 2 THEN ts WHEN event_id % 8 >= 4 THEN ts - INTERVAL 1 DAY END::VARCHAR AS finished_at FROM events""")
 def advance_job(spark, sf_dir):
-    e = _t(spark, sf_dir, "events")
-    jobs = e.select(F.col("event_id").alias("job_id"), F.lit("queued").alias("status"), F.lit(0).alias("retry_count"), F.lit(None).cast("timestamp_ntz").alias("finished_at"))
+    """Half of the jobs have ended once before."""
+    e, at = _t(spark, sf_dir, "events"), F.col("ts").cast("timestamp_ntz")
+    ended = F.when(F.col("event_id") % 8 >= 4, at - F.make_dt_interval(F.lit(1)))
+    jobs = e.select(F.col("event_id").alias("job_id"), F.lit("queued").alias("status"), F.lit(0).alias("retry_count"), ended.alias("finished_at"))
     new = F.element_at(F.array(F.lit("failed"), F.lit("completed"), F.lit("indexing")), (F.col("event_id") % 4 + 1).cast("int"))
-    changes = e.where("event_id % 4 < 3").select(F.col("event_id").alias("job_id"), new.alias("new_status"), F.col("ts").cast("timestamp_ntz").alias("at"))
+    changes = e.where("event_id % 4 < 3").select(F.col("event_id").alias("job_id"), new.alias("new_status"), at.alias("at"))
     return corpus.advance_job(jobs, changes).select("job_id", "status", "retry_count", _stamp("finished_at"))
 
 
@@ -297,11 +308,16 @@ def answer_records(spark, sf_dir):
     return evaluation.answer_records(hits, questions, questions.where("query_id % 4 = 0"))
 
 
-@query(f"""WITH {_RANKED} SELECT query_id, min(rank) FILTER (event_type IN ('click', 'error')) AS document_rank FROM hits GROUP BY 1""")
+@query(f"""WITH {_RANKED} SELECT query_id, min(rank) FILTER (event_type = 'click' AND query_id % 2 = 1 OR event_type = 'view' AND query_id % 2 = 0 OR event_type = 'signup' AND chunk_id % 3 = 0) AS document_rank FROM hits GROUP BY 1""")
 def document_rank(spark, sf_dir):
-    hits = _ranked(spark, sf_dir)
-    named = hits.select("query_id", F.when(F.col("event_type").isin("click", "error"), F.concat(F.lit("The File-"), F.upper("event_type"))).otherwise("-").alias("name"), "rank")
-    expected = hits.select("query_id").distinct().withColumn("document", F.lit("file"))
+    """Names in folders and with extensions: a longer name, the expected one in capitals, a part of it, and one that only its extension or folder would match."""
+    hits, kind = _ranked(spark, sf_dir), F.col("event_type")
+    name = (
+        F.when(kind == "click", "The Annual-Report 2024 (final).pdf").when(kind == "view", F.when(F.col("query_id") % 2 == 0, "docs/report 2024.v2.PDF").otherwise("annual report 2024/other.pdf"))
+        .when(kind == "signup", F.when(F.col("chunk_id") % 3 == 0, "x/y/2024.txt").otherwise("notes.annual report 2024")).otherwise("-")
+    )
+    named = hits.select("query_id", name.alias("name"), "rank")
+    expected = hits.select("query_id").distinct().withColumn("document", F.when(F.col("query_id") % 2 == 0, "Report 2024 v2 annual").otherwise("annual report 2024"))
     return evaluation.document_rank(named, expected)
 
 
@@ -336,13 +352,15 @@ def hydrate(spark, sf_dir):
 
 
 @query(r"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS payload, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN event_id % 8 <> 2 ELSE true END AS flag,
- CASE WHEN event_id % 2 = 0 THEN 'q' || event_id || '|b|c' ELSE 'fallback' END AS queries, CASE WHEN event_id % 5 = 0 THEN 7 ELSE event_id END AS page FROM events""")
+ CASE WHEN event_id % 2 = 0 THEN 'q' || event_id || '|b|c' ELSE 'fallback' END AS queries, CASE WHEN event_id % 5 = 0 THEN event_id % 90 WHEN event_id % 5 = 1 THEN NULL ELSE event_id END AS page FROM events""")
 def payloads_parsed(spark, sf_dir):
     e, key = _t(spark, sf_dir, "events"), F.col("event_id").cast("string")
     said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("none { "), "props")).otherwise(F.concat(F.lit("Sure:\n"), "props", F.lit(" as asked")))
     word = F.element_at(F.array(F.lit(" Yes"), F.lit("NO "), F.when(F.col("event_id") % 8 == 2, "0.0").otherwise("2"), F.lit("perhaps")), (F.col("event_id") % 4 + 1).cast("int"))
     asked = F.when(F.col("event_id") % 2 == 0, F.array(F.concat(F.lit(" q"), key), F.lit(""), F.concat(F.lit("q"), key), F.lit("b"), F.lit("c "), F.lit("d")))
-    page = payloads.page_from_chunk(F.when(F.col("event_id") % 5 != 0, payloads.leading_int(F.concat(key, F.lit(" ff.")))), F.lit("x\n## Page 7\ny"))
+    said_page = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("x\ny ##pAGE  "), (F.col("event_id") % 90).cast("string"), F.lit("\n## Page 400"))).otherwise("## Page seven")
+    number = payloads.leading_int(F.concat(F.lit(" "), key, F.lit(" ff."))).cast("string")
+    page = payloads.page_from_chunk(F.when(F.col("event_id") % 5 > 1, number).when(F.col("event_id") % 10 < 5, "iv"), said_page)
     return e.select(
         "event_id", payloads.parse_json_object(said).alias("payload"), payloads.coerce_bool(word, True).alias("flag"),
         F.array_join(payloads.normalize_queries(asked, F.lit("fallback")), "|").alias("queries"), page.alias("page"),

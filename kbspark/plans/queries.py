@@ -527,7 +527,7 @@ def revision_stream(spark, sf_dir):
 
 @query(f"""WITH {_METRICS}, f2 AS (SELECT query_id, min(bm25_rank) AS first_rank, count(*) FILTER (bm25_rank <= 5) AS n FROM b JOIN x USING (query_id, chunk_id) WHERE bm25_rank <= 8 GROUP BY 1),
  m2 AS (SELECT coalesce(n, 0) / ne AS recall, coalesce(1 / first_rank, 0) AS reciprocal_rank FROM xs LEFT JOIN f2 USING (query_id)),
- s1 AS (SELECT round(avg(recall), 4) AS r, round(avg(reciprocal_rank), 4) AS m FROM mm), s2 AS (SELECT round(avg(recall), 4) AS r, round(avg(reciprocal_rank), 4) AS m FROM m2),
+ s1 AS (SELECT {_mean('recall')} AS r, {_mean('reciprocal_rank')} AS m FROM mm), s2 AS (SELECT {_mean('recall')} AS r, {_mean('reciprocal_rank')} AS m FROM m2),
  l AS (SELECT quantile_disc(value, 0.95) FILTER (event_type = 'click') AS p1, quantile_disc(value, 0.95) FILTER (event_type = 'view') AS p2 FROM events),
  o AS (SELECT round(s2.r - s1.r, 4) AS delta_recall, round(s2.m - s1.m, 4) AS delta_mrr, round(p2 - p1, 2) AS delta_p95, concat_ws(',', CASE WHEN s2.r < s1.r - 0.01 THEN 'recall' END, CASE WHEN s2.m < s1.m - 0.01 THEN 'MRR' END,
   'llm_call_rate', CASE WHEN p2 > p1 + 1500 THEN 'P95_ms' END) AS failed_gates FROM s1, s2, l) SELECT *, failed_gates = '' AS passed FROM o""")
@@ -545,4 +545,9 @@ def compare_reports(spark, sf_dir):
     return evaluation.compare_reports(report(_metrics(spark, sf_dir), "click", 0.0), report(evaluation.per_question_metrics(sparse, labels), "view", 0.31))
 
 
-from . import more, streams  # noqa: E402,F401  (they register their queries with the same tables)
+@query(f"WITH {_METRICS} SELECT query_id FROM mm WHERE first_rank IS NULL")
+def missed_questions(spark, sf_dir):
+    return evaluation.missed_questions(_metrics(spark, sf_dir))
+
+
+from . import decisions, more, streams  # noqa: E402,F401  (they register their queries with the same tables)
