@@ -30,6 +30,24 @@ def drop_toc_lines(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: ~(T.is_toc_line(F.trim(x)) | F.trim(x).rlike(T.TOC_HEADING))), "\n")
 
 
+def _without_margins(lines: Column) -> Column:
+    """C-04 on the lines of one text: without the short, unpunctuated ones that it holds twice or more."""
+    candidate = lambda x: (x != "") & (F.length(x) <= 80) & ~x.rlike(r"[.!?:;]$") & ~x.startswith("#") & ~F.contains(x, F.lit("|"))
+    ordered = F.array_sort(F.filter(F.transform(lines, stripped), candidate))
+    again = T.let(ordered, lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) == x, F.lit(False)))))
+    return T.let(again, lambda a: F.filter(lines, lambda x: ~F.array_contains(a, stripped(x))))
+
+
+def clean_extracted_text(text: Column, file_type: Column) -> Column:
+    """C-06: text with white space normalised; of a pdf also without contents lines, contents headings and lines that recur, and with
+    the lines of each paragraph joined. Null stays null. The whole text is one row's work, in the JVM."""
+    flat = T.normalize_whitespace(text)
+    lines = F.filter(F.split(flat, "\n", -1), lambda x: ~(T.is_toc_line(stripped(x)) | stripped(x).rlike(T.TOC_HEADING)))
+    kept = F.array_join(F.transform(T.let(lines, _without_margins), stripped), "\n")
+    joined = F.regexp_replace(T.join_wrapped_lines(F.regexp_replace(kept, r"^\n+|\n+$", "")), "\n{3,}", "\n\n")
+    return F.when(F.coalesce(file_type, F.lit("")) == "pdf", joined).otherwise(flat)
+
+
 def heading_blocks(docs: DataFrame) -> DataFrame:
     """K-01: (doc_id, block, section, text) of docs (doc_id, text): the parts of a text that headings cut.
 

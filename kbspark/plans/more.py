@@ -62,6 +62,21 @@ def document_chunks(spark, sf_dir):
 QUERIES |= {f.__name__: f for f in (recursive_chunks, document_chunks)}
 
 
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace('Contents' || chr(10) || 'Part one .... 3' || chr(10) || 'same' || chr(10) || text || chr(10) || ' same ' || chr(10) || 'Page 3 of 9', '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x)), chr(10)),
+  '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS x FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d WHERE doc_id % 2 = 0)),
+k AS (SELECT * FROM l WHERE NOT (regexp_matches(x, '(?i)^(#{1,6}\s*)?(page\s*\d+(\s*(of|/)\s*\d+)?|第\s*\d+\s*页)$') OR regexp_matches(x, '^(\d+(\.\d+)*\s+)?[^\n]{1,100}?\s*(\.{2,}|…+)\s*\d+\s*$') OR regexp_matches(x, '(?i)^((table\s+of\s+)?contents|目\s*录)$'))),
+c AS (SELECT *, x <> '' AND length(x) <= 80 AND NOT regexp_matches(x, '[.!?:;]$') AND NOT starts_with(x, '#') AND NOT contains(x, '|') AS cand FROM k), m AS (SELECT doc_id, x FROM c WHERE cand GROUP BY 1, 2 HAVING count(*) > 1),
+n AS (SELECT *, sum((x = '')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS par FROM k WHERE (doc_id, x) NOT IN (SELECT doc_id, x FROM m)),
+p AS (SELECT doc_id, par, string_agg(x, ' ' ORDER BY pos) AS x FROM n WHERE x <> '' GROUP BY 1, 2), j AS (SELECT doc_id, string_agg(x, chr(10) || chr(10) ORDER BY par) AS t FROM p GROUP BY 1)
+SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN coalesce(j.t, '') ELSE d.t END) AS text_md5 FROM d LEFT JOIN j USING (doc_id)""")
+def clean_extracted(spark, sf_dir):
+    """All documents with a contents part, a line that recurs and a page number around them, every second one as a pdf."""
+    made = F.concat(F.lit("Contents\nPart one .... 3\nsame\n"), "text", F.lit("\n same \nPage 3 of 9"))
+    kind = F.when(F.col("doc_id") % 2 == 0, "pdf").otherwise("txt")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(chunking.clean_extracted_text(made, kind).cast("binary")).alias("text_md5"))
+
+
 @query(r"""WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, trim(regexp_replace(replace(lower(unnest(ls)), 'ß', 'ss'), '\s+', ' ', 'g')) AS norm FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 f AS (SELECT doc_id, list_reduce(list(list_value({'p': pos, 'n': norm}) ORDER BY pos), lambda a, x: CASE WHEN len(list_filter(a, lambda k: contains(k.n, x[1].n) OR contains(x[1].n, k.n))) > 0 THEN a ELSE list_concat(a, x) END) AS kept FROM l GROUP BY 1)
 SELECT doc_id, unnest(list_transform(kept, lambda k: k.p))::INT AS pos FROM f""")

@@ -550,4 +550,4 @@ def missed_questions(spark, sf_dir):
     return evaluation.missed_questions(_metrics(spark, sf_dir))
 
 
-from . import decisions, more, streams  # noqa: E402,F401  (they register their queries with the same tables)
+from . import decisions, more, streams, tables  # noqa: E402,F401  (they register their queries with the same tables)
