@@ -80,6 +80,22 @@ def document_rank(hits: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(hits, "query_id", "left").groupBy("query_id").agg(F.min(F.when(match, F.col("rank"))).alias("document_rank"))
 
 
+def containing(items: DataFrame, chunks: DataFrame, run: int = 6) -> DataFrame:
+    """(query_id, chunk_id) of the chunks (chunk_id, text) whose text contains an item's (query_id, text).
+
+    The words of an item but its first and last stand whole in any text that contains it, so items and texts meet at the hash of
+    a run of them; what meets is verified. Items of fewer words than that are compared with all texts. Null texts contain nothing.
+    """
+    words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    asked = items.select("query_id", F.col("text").alias("_asked"), words(F.col("text")).alias("_w"))
+    long = asked.where(F.size("_w") >= run + 2).withColumn("_run", F.xxhash64(F.array_join(F.slice("_w", 2, run), " ")))
+    runs = T.let(words(F.col("text")), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - run + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, run), " ")))))
+    met = chunks.select("chunk_id", F.explode(runs).alias("_run")).join(long.select("query_id", "_run"), "_run").select("query_id", "chunk_id").distinct()
+    found = met.join(long.select("query_id", "_asked"), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id").where(F.contains("text", "_asked")).select("query_id", "chunk_id")
+    short = asked.where(F.size("_w") < run + 2).select("query_id", "_asked")
+    return found.union(chunks.select("chunk_id", "text").join(short, F.contains("text", "_asked")).select("query_id", "chunk_id"))
+
+
 def online_metrics(hits: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     """E-08: hit, recall and reciprocal rank cut at k, and precision at 1, of questions (query_id, expected: array of ids)
     and hits (query_id, chunk_id, rank); all null for a question without expectation."""

@@ -13,63 +13,84 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 
 
-def hash_embed(df: DataFrame, key: str, text: str = "text", dim: int = 128) -> DataFrame:
-    """(key, ix, value): non-zero coordinates of the unit vector of signed token hashes."""
+def hash_vectors(df: DataFrame, key: str, text: str = "text", dim: int = 128) -> DataFrame:
+    """(key, vector): the non-zero coordinates (ix, value) of the unit vector of signed token hashes, at most dim of them."""
     token = df.select(key, F.explode(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")).alias("t"))
     digest = token.groupBy(key, "t").agg(F.count("*").alias("n")).withColumn("d", F.sha2("t", 256))
     number = lambda a, n: F.conv(F.substring("d", a, n), 16, 10).cast("long")
     signed = digest.select(key, (number(1, 8) % dim).cast("int").alias("ix"), (F.when(number(9, 2) % 2 == 0, 1.0).otherwise(-1.0) * F.col("n")).alias("v"))
     sums = signed.groupBy(key, "ix").agg(F.sum("v").alias("v")).where("v <> 0")
-    norm = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return sums.join(norm, key).select(key, "ix", (F.col("v") / F.col("norm")).alias("value"))
+    listed = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ix", "v"))).alias("c"))
+    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
+    return listed.withColumn("norm", norm).select(key, F.transform("c", lambda x: F.struct(x["ix"].alias("ix"), (x["v"] / F.col("norm")).alias("value"))).alias("vector"))
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 1000) -> DataFrame:
-    """(query_id, chunk_id, dense_score, dense_rank): exact cosine top-k of queries (query_id, embedding) over vectors
-    (chunk_id, embedding), ties by id.
+def hash_embed(df: DataFrame, key: str, text: str = "text", dim: int = 128) -> DataFrame:
+    """(key, ix, value): non-zero coordinates of the unit vector of signed token hashes."""
+    return hash_vectors(df, key, text, dim).select(key, F.inline("vector"))
+
+
+#: Vectors in a pack: what two tasks' worth of packs multiply at once is PACK * PACK numbers.
+PACK = 1024
+
+
+def _packs(rows: DataFrame, dense) -> DataFrame:
+    """Rows (id: long, vector) in packs (ids, values, dim) of up to PACK, as bytes; nothing is shuffled."""
 
-    Queries come in blocks of at most `block` rows; each batch of vectors is multiplied with a block and keeps k rows
-    a query, so what is shuffled is k rows for each query and batch.
+    def run(batches):
+        for batch in batches:
+            for i in range(0, len(batch), PACK):
+                part = batch.slice(i, PACK)
+                m = dense(part.column(1))
+                if len(m):
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()]), pa.array([m.tobytes()]), pa.array([m.shape[1]], pa.int32())], ["ids", "m", "dim"])
+
+    return rows.mapInArrow(run, "ids binary, m binary, dim int")
+
+
+def _packs_topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int, shared: bool) -> DataFrame:
+    """(query_id, chunk_id, dense_score, dense_rank) of packs of queries and chunks, each pair of packs multiplied once.
+
+    Each pair keeps k rows a query, which is what is shuffled. Spark sends the packs of queries around if they are small, and pairs
+    partitions if not. shared leaves out pairs without a coordinate in common.
     """
-    packed = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))))
-    packed = packed.groupBy("_b").agg(F.collect_list(F.struct("query_id", "embedding")).alias("qs"))
 
     def run(batches):
         for batch in batches:
-            for qs in {b: q for b, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())}.items():
-                number, qs = qs
-                own = batch.filter(pa.compute.equal(batch.column(2), number))
-                x = np.array(own.column(1).to_pylist(), dtype=np.float64)
-                ids = own.column(0).to_numpy()
-                q = np.array([r["embedding"] for r in qs], dtype=np.float64)
-                unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                s = np.round(unit(q) @ unit(x).T, 9)
-                for row, r in zip(s, qs):
-                    best = np.lexsort((ids, -row))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), r["query_id"])), pa.array(ids[best]), pa.array(row[best])], ["query_id", "chunk_id", "dense_score"])
-
-    import pyarrow.compute  # noqa: F401
-
-    crossed = vectors.select("chunk_id", "embedding").crossJoin(F.broadcast(packed))  # blocks of the stated query set
-    part = crossed.mapInArrow(run, "query_id long, chunk_id long, dense_score double")
+            for ids, m, dim, qids, qm in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                c, q = np.frombuffer(m).reshape(-1, dim), np.frombuffer(qm).reshape(-1, dim)
+                ids, qids, s = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64), np.round(q @ c.T, digits)
+                if shared:
+                    s[((q != 0).astype(np.float32) @ (c != 0).astype(np.float32).T) == 0] = -np.inf
+                for row, query in zip(s, qids):
+                    near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
+                    best = near[np.lexsort((ids[near], -row[near]))][:k]
+                    best = best[row[best] > -np.inf]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query)), pa.array(ids[best]), pa.array(row[best])], ["query_id", "chunk_id", "dense_score"])
+
+    pairs = chunks.crossJoin(queries.select(F.col("ids").alias("qids"), F.col("m").alias("qm")))  # blocks of the stated query set
+    part = pairs.select("ids", "m", "dim", "qids", "qm").mapInArrow(run, "query_id long, chunk_id long, dense_score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("dense_score"), "chunk_id"))
     return part.withColumn("dense_rank", rank).where(F.col("dense_rank") <= k)
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, chunk_id, bm25_score, bm25_rank) of queries (query_id, text) over chunks (chunk_id, text).
+def _unit(column: pa.Array) -> np.ndarray:
+    x = np.array(column.to_pylist(), dtype=np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if len(x) else x
 
-    Terms are lower-cased runs of letters and digits, idf = ln(1 + (N - df + 0.5) / (df + 0.5)), k1 1.2, b 0.75. Only
-    postings of terms that some query has are kept, before anything is shuffled but the lengths.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    split = chunks.select("chunk_id", T.terms(F.col("text")).alias("terms"))
-    size = split.select("chunk_id", F.size("terms").alias("dl"))
-    stats = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    known = asked.select("term").distinct()
-    postings = split.select("chunk_id", F.explode("terms").alias("term")).join(known, "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, chunk_id, dense_score, dense_rank): exact cosine top-k of queries (query_id, embedding) over vectors
+    (chunk_id, embedding), ties by id. Null vectors take no part."""
+    q, c = queries.where("embedding IS NOT NULL").select("query_id", "embedding"), vectors.where("embedding IS NOT NULL").select("chunk_id", "embedding")
+    return _packs_topk(_packs(q, _unit), _packs(c, _unit), k, 9, False)
+
+
+def bm25_scored(asked: DataFrame, postings: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, bm25_score, bm25_rank) from asked terms (query_id, term), postings (term, chunk_id, tf, dl) of all asked
+    terms and one row (n, avgdl)."""
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scored = asked.join(postings, "term").join(df, "term").join(size, "chunk_id").crossJoin(F.broadcast(stats))  # one row
+    scored = asked.join(postings, "term").join(df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     total = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("bm25_score"))
@@ -77,6 +98,24 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     return total.withColumn("bm25_rank", rank).where(F.col("bm25_rank") <= k)
 
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
+
+
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, chunk_id, bm25_score, bm25_rank) of queries (query_id, text) over chunks (chunk_id, text).
+
+    Terms are lower-cased runs of letters and digits, idf = ln(1 + (N - df + 0.5) / (df + 0.5)), k1 1.2, b 0.75. Only
+    postings of terms that some query has are kept, with their chunk's length, before anything is shuffled.
+    """
+    asked = asked_terms(queries)
+    split = chunks.select("chunk_id", T.terms(F.col("text")).alias("terms"))
+    stats = chunks.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")), F.lit(-1))).alias("avgdl"))
+    each = split.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    postings = each.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return bm25_scored(asked, postings, stats, k)
+
+
 def rrf_fuse(legs: list[tuple[DataFrame, str]], k: int = RRF_K, keep: int = 20) -> DataFrame:
     """(query_id, chunk_id, rrf_score, rrf_rank): reciprocal ranks summed over the legs, ties by id."""
     rows = None
@@ -108,12 +147,17 @@ def select_context(sources: DataFrame, most: int = 8, least: int = 2, chars: int
 
 
 def hash_dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 20, dim: int = 128) -> DataFrame:
-    """(query_id, chunk_id, dense_score, dense_rank): top-k by cosine of hash embeddings, ties by id."""
-    q = hash_embed(queries, "query_id", dim=dim)
-    c = hash_embed(chunks, "chunk_id", dim=dim)
-    dots = q.join(c.withColumnRenamed("value", "cv"), "ix").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("value") * F.col("cv")), 6).alias("dense_score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("dense_score"), "chunk_id")
-    return dots.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= k)
+    """(query_id, chunk_id, dense_score, dense_rank): top-k by cosine of hash embeddings, ties by id, of pairs that share a
+    coordinate."""
+
+    def dense(column: pa.Array) -> np.ndarray:
+        out, inner = np.zeros((len(column), dim)), column.flatten()
+        of = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+        out[of, inner.field("ix").to_numpy()] = inner.field("value").to_numpy()
+        return out
+
+    q, c = hash_vectors(queries, "query_id", dim=dim), hash_vectors(chunks, "chunk_id", dim=dim)
+    return _packs_topk(_packs(q, dense), _packs(c, dense), k, 6, True)
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 20, final: int = 8, dim: int = 128) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pages as P
 from ..functions import questions as Q
 from ..functions import text as T
-from ..operators import conversation, corpus, evaluation, memory, retrieval
+from ..operators import bm25_table, conversation, corpus, evaluation, memory, retrieval
 from ..streaming import history
 
 QUERIES: dict = {}
@@ -162,6 +164,16 @@ def bm25_topk(spark, sf_dir):
     return retrieval.bm25_topk(*_asked(spark, sf_dir)).select("query_id", "chunk_id", "bm25_rank")
 
 
+@query(f"WITH {_BM25} SELECT query_id, chunk_id, bm25_rank FROM b")
+def bm25_topk_indexed(spark, sf_dir):
+    """The same from an index that is written in two batches."""
+    queries, chunks = _asked(spark, sf_dir)
+    path = f"{history._shared(spark)}/bm25-{uuid.uuid4().hex}"
+    bm25_table.append_index(chunks.where("chunk_id % 3 <> 0"), path, 0, 32)
+    bm25_table.append_index(chunks, path, 1, 32)
+    return bm25_table.bm25_topk_indexed(queries, path, buckets=32).select("query_id", "chunk_id", "bm25_rank")
+
+
 def _embed(src: str, key: str, name: str) -> str:
     return rf"""{name}t AS (SELECT {key} AS k, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS t FROM {src}),
 {name}d AS (SELECT k, count(*) AS n, sha256(t) AS d FROM {name}t GROUP BY k, t),
@@ -204,9 +216,7 @@ mm AS (SELECT query_id, first_rank, coalesce(n, 0) > 0 AS hit, coalesce(n, 0) /
 def _metrics(spark, sf_dir):
     queries, chunks = _asked(spark, sf_dir)
     hits = retrieval.hybrid_search(queries, chunks).select("query_id", "chunk_id", F.col("rrf_rank").alias("rank"))
-    # The labels: benchmark items, a table of bounded size, against all documents.
-    labels = chunks.join(queries.withColumnRenamed("text", "asked"), F.contains("text", "asked")).select("query_id", "chunk_id")
-    return evaluation.per_question_metrics(hits, labels)
+    return evaluation.per_question_metrics(hits, evaluation.containing(queries, chunks))
 
 
 @query(f"WITH {_METRICS} SELECT * FROM mm")
@@ -534,7 +544,7 @@ def revision_stream(spark, sf_dir):
 def compare_reports(spark, sf_dir):
     """Hybrid search against its term leg alone; latencies are those of two kinds of events, the call rate is given."""
     queries, chunks = _asked(spark, sf_dir)
-    labels = chunks.join(queries.withColumnRenamed("text", "asked"), F.contains("text", "asked")).select("query_id", "chunk_id")
+    labels = evaluation.containing(queries, chunks)
     sparse = retrieval.bm25_topk(queries, chunks, 8).select("query_id", "chunk_id", F.col("bm25_rank").alias("rank"))
 
     def report(metrics: DataFrame, kind: str, rate: float) -> DataFrame:
