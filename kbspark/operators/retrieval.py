@@ -107,10 +107,11 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
 
     Terms are lower-cased runs of letters and digits, idf = ln(1 + (N - df + 0.5) / (df + 0.5)), k1 1.2, b 0.75. Only
     postings of terms that some query has are kept, with their chunk's length, before anything is shuffled.
+    Null texts have no terms, and count as chunks of length 0.
     """
     asked = asked_terms(queries)
     split = chunks.select("chunk_id", T.terms(F.col("text")).alias("terms"))
-    stats = chunks.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")), F.lit(-1))).alias("avgdl"))
+    stats = chunks.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")), F.lit(0))).alias("avgdl"))
     each = split.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     postings = each.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     return bm25_scored(asked, postings, stats, k)
