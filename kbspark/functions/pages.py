@@ -58,6 +58,22 @@ def route_page(text_len: Column, garbled: Column, image_ratio: Column, drawings:
     )
 
 
+# Why a page takes its route, by the rule that holds first.
+REASONS = (
+    "text layer is sparse and image area is high", "text layer appears garbled", "many drawings or line elements suggest tables or layout complexity", "math or formula features are present",
+    "large image area suggests complex page layout", "selectable text is sufficient and page image area is low", "page does not meet simple text extraction thresholds",
+)
+
+
+def route_reason(text_len: Column, garbled: Column, image_ratio: Column, drawings: Column, math: Column) -> Column:
+    """C-16: why route_page sends a page where it does."""
+    rules = (
+        (text_len < MIN_TEXT) & (image_ratio >= HIGH_IMAGE), (text_len > 0) & (garbled > MAX_GARBLED), drawings >= MANY_DRAWINGS, math >= HIGH_MATH, image_ratio >= HIGH_IMAGE,
+        (text_len >= MIN_TEXT) & (image_ratio <= LOW_IMAGE),
+    )
+    return F.coalesce(*[F.when(rule, why) for rule, why in zip(rules, REASONS)], F.lit(REASONS[-1]))
+
+
 def markdown_table(title: Column, headers: Column, rows: Column) -> Column:
     """Title line, blank line, header, rule and rows padded or cut to the header's width; the title alone without headers."""
     cell = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))

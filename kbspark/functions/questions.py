@@ -56,6 +56,19 @@ def prefers_chinese(text: Column) -> Column:
     return text.rlike(r"[\x{4E00}-\x{9FFF}]")
 
 
+# What is answered where the sources don't tell.
+UNSUPPORTED = "Unable to determine from the current sources. "
+UNSUPPORTED_ZH = "根据当前资料无法确定。还需要补充"
+
+
+def unsupported_answer(question: Column, missing: Column) -> Column:
+    """Q-09: the answer in the question's language where the sources don't tell, with what is missing if that is known."""
+    lack = F.trim(F.coalesce(missing, F.lit("")))
+    chinese = F.when(lack != "", F.concat(F.lit(UNSUPPORTED_ZH + "："), lack)).otherwise(UNSUPPORTED_ZH + "相关资料后再回答。")
+    other = F.when(lack != "", F.concat(F.lit(UNSUPPORTED + "Additional information needed: "), lack)).otherwise(UNSUPPORTED + "Add relevant source material before answering.")
+    return F.when(prefers_chinese(F.coalesce(question, F.lit(""))), chinese).otherwise(other)
+
+
 def retrieval_query(current: Column, prior_user: Column, prior_answer: Column) -> Column:
     """The question, or for a follow-up labelled lines of prior question, prior answer if it is meant, and question."""
     answer = F.when(references_answer(current), F.concat(F.lit("Previous assistant answer: "), prior_answer))

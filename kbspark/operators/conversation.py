@@ -28,6 +28,17 @@ def next_versions(summaries: DataFrame, new: DataFrame) -> DataFrame:
     return new.withColumn("rn", rn).join(last, "session_id", "left").select("session_id", (F.coalesce("last", F.lit(0)) + F.col("rn")).alias("version"), "summary")
 
 
+def append_messages(conversations: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """H-02: conversations (conv_id, revision, updated_at) after messages (conv_id, seq, at, ...), and the messages with revision, that
+    of their conversation once they were appended in the order of seq; new conversations begin with revision 1."""
+    news = messages.groupBy("conv_id").agg(F.count("*").alias("_n"), F.max("at").alias("_at"))
+    both = conversations.join(news, "conv_id", "full_outer")
+    after = both.select("conv_id", (F.coalesce("revision", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("revision"), F.coalesce("_at", "updated_at").alias("updated_at"))
+    number = F.row_number().over(W.partitionBy("conv_id").orderBy("seq"))
+    told = messages.withColumn("_k", number).join(conversations.select("conv_id", F.col("revision").alias("_before")), "conv_id", "left")
+    return after, told.withColumn("revision", (F.coalesce("_before", F.lit(0)) + F.col("_k")).cast("long")).drop("_k", "_before")
+
+
 def revisions(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.count("*").alias("revision"), F.max("turn").alias("last_turn"))
 

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.pages import COMPLEX_SHARE
 
+# The quality that the fast parser's text must have, states of a waiting job, and states of a version.
+LEAST_QUALITY = 0.6
+WAITING = ("queued", "running", "uploading", "parsing", "embedding")
+VERSION_STATES = ("building", "active", "superseded", "failed")
+
 
 def drop_recurring_margin_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """lines (key, pos, line) without the short, unpunctuated lines that a document holds twice or more."""
@@ -104,9 +109,12 @@ def advance_job(jobs: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def chunk_listing(chunks: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """T-10: a page of chunks (name, chunk_index, chunk_id, ...) by name, index (null as 0) and id; a top-k report."""
-    return chunks.orderBy("name", F.coalesce("chunk_index", F.lit(0)), "chunk_id").offset(offset).limit(limit)
+def chunk_listing(chunks: DataFrame, limit: int, offset: int = 0, scenario: str | None = None, source: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """T-10: a page of chunks (name, chunk_index, chunk_id, ...) by name, index (null as 0) and id, a top-k report, and one row
+    (total) of all of them; of one scenario or source_path if given."""
+    for column, value in (("scenario", scenario), ("source_path", source)):
+        chunks = chunks.where(F.col(column) == value) if value else chunks
+    return chunks.orderBy("name", F.coalesce("chunk_index", F.lit(0)), "chunk_id").offset(offset).limit(limit), chunks.agg(F.count("*").alias("total"))
 
 
 def scenarios(chunks: DataFrame) -> DataFrame:
@@ -139,8 +147,14 @@ def append_uploads(existing: DataFrame, incoming: DataFrame, pos: str) -> DataFr
     return incoming.join(existing.select("file_hash"), "file_hash", "left_anti").join(first, ["file_hash", pos], "left_semi")
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str], keep_old_if_null: tuple[str, ...] = ()) -> DataFrame:
-    """target with rows of updates put in its place by key; in the named columns a null keeps the old value."""
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], keep_old_if_null: tuple[str, ...] = (), as_of=None) -> DataFrame:
+    """T-01, T-02: target with rows of updates put in its place by key; in the named columns a null keeps the old value.
+
+    With as_of, rows that are put in are live and fresh: their deleted_at is null and their updated_at is as_of, and updates need neither.
+    """
+    if as_of is not None:
+        stamp = F.lit(as_of).cast(target.schema["updated_at"].dataType)
+        updates = updates.withColumns({"deleted_at": F.lit(None).cast(target.schema["deleted_at"].dataType), "updated_at": stamp})
     rest = [c for c in target.columns if c not in keys]
     new = updates.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in rest], F.lit(True).alias("_hit"))
     value = lambda c: F.coalesce(f"_new_{c}", c) if c in keep_old_if_null else F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c))
@@ -168,9 +182,21 @@ def expire_stale_jobs(jobs: DataFrame, as_of, seconds: int = 1800) -> DataFrame:
     )
 
 
-def document_listing(chunks: DataFrame) -> DataFrame:
-    """One row for each source: its name and number of chunks."""
-    return chunks.groupBy("source").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_chunks"))
+def document_listing(chunks: DataFrame, scenario: str | None = None, name: str | None = None) -> DataFrame:
+    """T-09: (key, source_path, source_name, file_type, scenario, chunk_count), a row for each source of chunks (pos, chunk_id, source_path,
+    source_name, file_type, scenario), by name and path whatever their case.
+
+    A source is told by its path, without one by its name, without either by the chunk's id; the other columns are those of its first chunk by pos, and
+    the name that key where it is empty. scenario keeps the chunks of one scenario, name the sources whose name holds it in any case.
+    """
+    filled = lambda c: F.coalesce(c, F.lit(""))
+    rows = chunks if not scenario else chunks.where(F.col("scenario") == scenario)
+    key = F.coalesce(F.nullif("source_path", F.lit("")), F.nullif("source_name", F.lit("")), F.col("chunk_id").cast("string"))
+    first = F.struct(filled("source_path").alias("source_path"), F.nullif(filled("source_name"), F.lit("")).alias("source_name"), filled("file_type").alias("file_type"), filled("scenario").alias("scenario"))
+    listed = rows.withColumn("key", key).groupBy("key").agg(F.min_by(first, F.struct("pos", "chunk_id")).alias("f"), F.count("*").alias("chunk_count"))
+    listed = listed.select("key", "f.source_path", F.coalesce("f.source_name", "key").alias("source_name"), "f.file_type", "f.scenario", "chunk_count")
+    listed = listed if not name else listed.where(F.contains(F.lower("source_name"), F.lit(name.lower())))
+    return listed.orderBy(F.lower("source_name"), F.lower("source_path"))
 
 
 def snapshot_revision(chunks: DataFrame, columns: list[str]) -> DataFrame:
@@ -182,11 +208,19 @@ def snapshot_revision(chunks: DataFrame, columns: list[str]) -> DataFrame:
     return folds.agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "b", "f")))), 256).alias("revision"))
 
 
-def document_routes(pages: DataFrame, key: str) -> DataFrame:
-    """(key, pages, complex_pages, parser) of page routes: over 35% of pages that aren't simple need the complex parser."""
+def document_routes(pages: DataFrame, key: str, quality: DataFrame | None = None, fallback: bool = True) -> DataFrame:
+    """C-17: (key, pages, complex_pages, parser) of page routes: over 35% of pages that aren't simple need the complex parser.
+
+    With quality (key, quality) of the text that the fast parser gives: fallback_used says that this is under 0.6, and if fallback is on, parser is complex then.
+    """
     hard = F.col("route") != "simple_text"
     share = F.avg(hard.cast("int"))
-    return pages.groupBy(key).agg(F.count("*").alias("pages"), F.count_if(hard).alias("complex_pages"), F.when(share > COMPLEX_SHARE, "complex").otherwise("fast").alias("parser"))
+    routes = pages.groupBy(key).agg(F.count("*").alias("pages"), F.count_if(hard).alias("complex_pages"), F.when(share > COMPLEX_SHARE, "complex").otherwise("fast").alias("parser"))
+    if quality is None:
+        return routes
+    low = (F.col("parser") == "fast") & F.coalesce(F.col("quality") < LEAST_QUALITY, F.lit(False)) & F.lit(fallback)
+    routes = routes.join(quality.select(key, "quality"), key, "left").withColumn("fallback_used", low)
+    return routes.withColumn("parser", F.when(F.col("fallback_used"), "complex").otherwise(F.col("parser"))).drop("quality")
 
 
 def active_job(jobs: DataFrame, job_id: str) -> DataFrame:
@@ -220,6 +254,23 @@ def failing(rows: DataFrame, check, rule: str) -> DataFrame:
     return _violations(rows.where(~F.coalesce(check, F.lit(False))), rule)
 
 
+def table_violations(documents: DataFrame, versions: DataFrame, chunks: DataFrame, jobs: DataFrame, facts: DataFrame, memories: DataFrame) -> DataFrame:
+    """T-14: (rule, violations) of the tables' rules: one live document (kb_id, file_hash, deleted_at) for each hash of a base, one active version
+    (kb_id, version, status) of a base and known states, one chunk (doc_id, version, position) for each place, one waiting job (doc_id, status) of a
+    document, one active fact (session_id, memory_type, key, is_active) and memory (owner, memory_type, key, status) for each key, and a document for each chunk."""
+    waiting = jobs.where(F.col("status").isin(*WAITING))
+    parts = [
+        duplicate_keys(documents.where("deleted_at IS NULL"), ["kb_id", "file_hash"], "live_hash"), duplicate_keys(versions.where("status = 'active'"), ["kb_id"], "active_version"),
+        failing(versions, F.col("status").isin(*VERSION_STATES), "version_status"), duplicate_keys(chunks, ["doc_id", "version", "position"], "chunk_position"), duplicate_keys(waiting, ["doc_id"], "waiting_job"),
+        duplicate_keys(facts.where("is_active"), ["session_id", "memory_type", "key"], "active_fact"), duplicate_keys(memories.where("status = 'active'"), ["owner", "memory_type", "key"], "active_memory"),
+        orphans(chunks, documents, "doc_id", "chunk_document"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def memo_join(requests: DataFrame, memo: DataFrame, as_of, seconds: int) -> tuple[DataFrame, DataFrame]:
     """Requests (digest, revision) answered by a memo (digest, revision, created_at, result) of the same revision and of
     less than `seconds` of age, and those that none answers."""

@@ -119,9 +119,16 @@ def metric_report(scores: DataFrame) -> DataFrame:
 
 
 def checkpoint_pending(records: DataFrame, metrics: DataFrame, scored: DataFrame) -> DataFrame:
-    """E-12: (record_id, metric) without a score (record_id, metric, value) yet; metrics is a short list of names."""
+    """E-12: (record_id, metric) without a score (record_id, metric, value) yet; metrics is a short list of names,
+    of a few rows."""
     done = scored.where("value IS NOT NULL AND NOT isnan(value)").select("record_id", "metric")
-    return records.select("record_id").join(metrics.select("metric")).join(done, ["record_id", "metric"], "left_anti")
+    return records.select("record_id").crossJoin(F.broadcast(metrics.select("metric"))).join(done, ["record_id", "metric"], "left_anti")
+
+
+def checkpoint_summary(records: DataFrame, metrics: DataFrame, scored: DataFrame) -> DataFrame:
+    """E-12: (metric, mean, valid, coverage, complete) of a short list of metrics over records, for scores (record_id, metric, value) of each."""
+    rows = records.select("record_id").crossJoin(F.broadcast(metrics.select("metric"))).join(scored, ["record_id", "metric"], "left")
+    return metric_report(rows)
 
 
 def answer_records(hits: DataFrame, questions: DataFrame, existing: DataFrame) -> DataFrame:

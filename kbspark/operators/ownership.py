@@ -56,10 +56,8 @@ def audit_events(requests: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def list_users(users: DataFrame) -> DataFrame:
-    """H-08: users (user_id, username) with their place by username, null last, then by id."""
-    # One row for each user of a listing: the order is a range sort, and places come from it.
-    ordered = users.select("user_id", "username").orderBy(F.asc_nulls_last("username"), "user_id")
-    return ordered
+    """H-08: users (user_id, username) in the order of username, null last, then of id."""
+    return users.select("user_id", "username").orderBy(F.asc_nulls_last("username"), "user_id")
 
 
 def first_insert_wins(table: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:

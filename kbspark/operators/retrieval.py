@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
@@ -30,6 +32,17 @@ def hash_embed(df: DataFrame, key: str, text: str = "text", dim: int = 128) -> D
     return hash_vectors(df, key, text, dim).select(key, F.inline("vector"))
 
 
+def hash_embed_small(df: DataFrame, key: str, text: str = "text", dim: int = 16) -> DataFrame:
+    """R-02: (key, ix, value) as hash_embed, of texts without `.` and `,`, by the first two bytes of a token's digest."""
+    plain = F.regexp_replace(F.lower(text), "[.,]", " ")
+    token = df.select(key, F.explode(F.filter(F.split(plain, r"\s+"), lambda w: w != "")).alias("t"))
+    byte = lambda i: F.conv(F.substring(F.sha2("t", 256), 2 * i + 1, 2), 16, 10).cast("int")
+    sums = token.groupBy(key, (byte(0) % dim).alias("ix")).agg(F.sum(F.when(byte(1) % 2 == 0, 1.0).otherwise(-1.0)).alias("v")).where("v <> 0")
+    listed = sums.groupBy(key).agg(F.collect_list(F.struct("ix", "v")).alias("c"))
+    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
+    return listed.withColumn("norm", norm).select(key, F.inline(F.transform("c", lambda x: F.struct(x["ix"].alias("ix"), (x["v"] / F.col("norm")).alias("value")))))
+
+
 #: Vectors in a pack: what two tasks' worth of packs multiply at once is PACK * PACK numbers.
 PACK = 1024
 
@@ -168,6 +181,21 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 20, final: int
     return decorate_hits(rrf_fuse([(dense, "dense_rank"), (sparse, "bm25_rank")], keep=final), dense, sparse)
 
 
+def scoped_search(queries: DataFrame, chunks: DataFrame, kb_id: str, version, scenario: str | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None, most: int = 8) -> DataFrame:
+    """R-17: what a question gets: hybrid search over the chunks (chunk_id, kb_id, version, scenario, text) in scope, reranked by the scores
+    (query_id, chunk_id, rerank_score) that the reranker, if any, gives for hits, and cut to the context that is read.
+
+    (query_id, chunk_id, rank, rerank_score, n_chars): rank counts what is left after reranking.
+    """
+    inside = scope_filter(chunks, kb_id, version, scenario)
+    hits = hybrid_search(queries, inside.select("chunk_id", "text"), final=20).select("query_id", "chunk_id", F.col("rrf_rank").alias("rank"))
+    none = hits.select("query_id", "chunk_id", F.lit(None).cast("double").alias("rerank_score")).where("false")
+    ranked = apply_rerank(hits, reranker(hits) if reranker else none, most)
+    ranked = ranked.select("query_id", "chunk_id", F.coalesce("rerank_rank", "rank").alias("rank"), "rerank_score")
+    sized = ranked.join(inside.select("chunk_id", F.length("text").alias("n_chars")), "chunk_id")
+    return select_context(sized, most).select("query_id", "chunk_id", "rank", "rerank_score", "n_chars")
+
+
 def lexical_scores(queries: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, rerank_score) of hits: the share of the query's distinct terms that the chunk has."""
     asked = queries.select("query_id", F.array_distinct(T.terms(F.col("text"))).alias("_asked"))

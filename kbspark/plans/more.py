@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pages as P
 from ..functions import payloads
-from ..operators import chunking, corpus, evaluation, memory, ownership, retrieval
+from ..operators import chunking, conversation, corpus, evaluation, memory, ownership, retrieval
 from .queries import QUERIES, _t, query
 
 
@@ -221,10 +221,21 @@ def scenarios(spark, sf_dir):
     return corpus.scenarios(_t(spark, sf_dir, "documents").withColumnRenamed("source", "scenario"))
 
 
-@query("SELECT doc_id AS chunk_id, source AS name FROM documents ORDER BY source NULLS FIRST, doc_id % 50, doc_id LIMIT 40 OFFSET 20")
+@query("""WITH c AS (SELECT doc_id, source FROM documents WHERE lang = 'en') SELECT doc_id AS chunk_id, source AS name, (SELECT count(*) FROM c) AS total FROM c ORDER BY source NULLS FIRST, doc_id % 50, doc_id LIMIT 40 OFFSET 20""")
 def chunk_listing(spark, sf_dir):
-    chunks = _t(spark, sf_dir, "documents").select(F.col("source").alias("name"), F.nullif(F.col("doc_id") % 50, F.lit(0)).alias("chunk_index"), F.col("doc_id").alias("chunk_id"))
-    return corpus.chunk_listing(chunks, 40, 20).select("chunk_id", "name")
+    chunks = _t(spark, sf_dir, "documents").select(F.col("source").alias("name"), F.nullif(F.col("doc_id") % 50, F.lit(0)).alias("chunk_index"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("scenario"))
+    page, total = corpus.chunk_listing(chunks, 40, 20, scenario="en")
+    return page.select("chunk_id", "name").crossJoin(F.broadcast(total))  # one row
+
+
+@query("""WITH c AS (SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'p/' || source || '/' || doc_id % 3 END AS path, CASE WHEN doc_id % 8 = 0 THEN '' ELSE upper(source) END AS name FROM documents),
+ k AS (SELECT *, coalesce(nullif(path, ''), nullif(name, ''), doc_id::VARCHAR) AS key FROM c)
+ SELECT key, arg_min(path, doc_id) AS source_path, coalesce(arg_min(nullif(name, ''), doc_id), key) AS source_name, arg_min(coalesce(lang, ''), doc_id) AS scenario, count(*) AS chunk_count FROM k WHERE name <> '' OR path = '' GROUP BY 1""")
+def source_listing(spark, sf_dir):
+    n = F.col("doc_id")
+    path = F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("p/"), "source", F.lit("/"), (n % 3).cast("string")))
+    chunks = _t(spark, sf_dir, "documents").select(n.alias("pos"), n.alias("chunk_id"), path.alias("source_path"), F.when(n % 8 == 0, "").otherwise(F.upper("source")).alias("source_name"), F.lit(None).cast("string").alias("file_type"), F.col("lang").alias("scenario"))
+    return corpus.document_listing(chunks).select("key", "source_path", "source_name", "scenario", "chunk_count")
 
 
 @query("""SELECT event_id AS job_id, CASE event_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'completed' WHEN 2 THEN 'indexing' ELSE 'queued' END AS status, (event_id % 4 = 0)::INT AS retry_count,
@@ -308,6 +319,51 @@ def metric_report(spark, sf_dir):
     return evaluation.metric_report(_t(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), value.alias("value")))
 
 
+@query("""SELECT m AS metric, CASE WHEN m = 'recall' THEN round(((2 * sum(doc_id % 7) FILTER (doc_id % 3 = 0) * 10000 + count(*) FILTER (doc_id % 3 = 0)) // (2 * count(*) FILTER (doc_id % 3 = 0)))::DOUBLE / 10000, 4) END AS mean,
+ CASE WHEN m = 'recall' THEN count(*) FILTER (doc_id % 3 = 0) ELSE 0 END AS valid, CASE WHEN m = 'recall' THEN round(count(*) FILTER (doc_id % 3 = 0) / count(*), 4) ELSE 0 END AS coverage, false AS complete FROM documents, (VALUES ('faithfulness'), ('recall')) v(m) GROUP BY 1""")
+def checkpoint_summary(spark, sf_dir):
+    records = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"))
+    metrics = spark.range(2).select(F.element_at(F.array(F.lit("faithfulness"), F.lit("recall")), (F.col("id") + 1).cast("int")).alias("metric"))
+    scored = records.select("record_id", F.lit("recall").alias("metric"), F.when(F.col("record_id") % 3 == 0, (F.col("record_id") % 7).cast("double")).otherwise(float("nan")).alias("value"))
+    return evaluation.checkpoint_summary(records, metrics, scored)
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) FILTER (turn % 2 = 0) AS old, count(*) AS n, max(turn) FILTER (turn % 2 = 1) AS newest FROM conversations GROUP BY 1),
+ m AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE turn % 2 = 1)
+ SELECT m.conv_id, turn, CASE WHEN m.conv_id % 5 = 0 THEN 0 ELSE old END + k AS revision, CASE WHEN m.conv_id % 5 = 0 THEN n - old ELSE n END AS after, newest AS updated_at FROM m JOIN c USING (conv_id)""")
+def append_messages(spark, sf_dir):
+    """The odd turns come to conversations of the even ones, of which every fifth isn't there yet."""
+    turns = _t(spark, sf_dir, "conversations")
+    there = turns.where("turn % 2 = 0 AND conv_id % 5 <> 0").groupBy("conv_id").agg(F.count("*").alias("revision"), F.lit(-1).cast("long").alias("updated_at"))
+    after, told = conversation.append_messages(there, turns.where("turn % 2 = 1").select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("at")))
+    return told.select("conv_id", F.col("seq").alias("turn"), "revision").join(after.select("conv_id", F.col("revision").alias("after"), "updated_at"), "conv_id")
+
+
+@query(r"""WITH t AS (SELECT doc_id, sha256(unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[.,]', ' ', 'g'), '\s+'), lambda x: x <> ''))) AS d FROM documents),
+ s AS (SELECT doc_id, (('0x' || substr(d, 1, 2))::INT % 16) AS ix, sum(CASE WHEN ('0x' || substr(d, 3, 2))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v FROM t GROUP BY 1, 2 HAVING v <> 0)
+ SELECT doc_id, ix, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 9) AS value FROM s""")
+def hash_embed_small(spark, sf_dir):
+    return retrieval.hash_embed_small(_t(spark, sf_dir, "documents"), "doc_id").select("doc_id", "ix", F.round("value", 9).alias("value"))
+
+
+@query("""WITH d AS (SELECT doc_id, source, lang, md5(text) AS h FROM documents) SELECT * FROM (
+ SELECT 'live_hash' AS rule, (SELECT count(*) FROM (SELECT 1 FROM d WHERE doc_id % 10 <> 9 GROUP BY lang, h HAVING count(*) > 1)) AS violations UNION ALL
+ SELECT 'active_version', (SELECT count(*) FROM (SELECT 1 FROM d WHERE doc_id % 4 = 0 AND doc_id % 3 = 1 GROUP BY lang HAVING count(*) > 1)) UNION ALL SELECT 'version_status', (SELECT count(*) FROM d WHERE doc_id % 4 = 0 AND doc_id % 3 = 0) UNION ALL
+ SELECT 'chunk_position', (SELECT count(*) FROM (SELECT 1 FROM d GROUP BY doc_id // 2, doc_id % 4 HAVING count(*) > 1)) UNION ALL SELECT 'waiting_job', (SELECT count(*) FROM (SELECT 1 FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id HAVING count(*) > 1)) UNION ALL
+ SELECT 'active_fact', (SELECT count(*) FROM (SELECT 1 FROM events WHERE event_id % 7 = 0 GROUP BY user_id, event_type HAVING count(*) > 1)) UNION ALL
+ SELECT 'active_memory', (SELECT count(*) FROM (SELECT 1 FROM events WHERE event_id % 11 = 0 GROUP BY user_id, event_type HAVING count(*) > 1)) UNION ALL SELECT 'chunk_document', (SELECT count(*) FROM d WHERE doc_id // 2 NOT IN (SELECT doc_id FROM d)))""")
+def table_violations(spark, sf_dir):
+    docs, e, n = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "events"), F.col("doc_id")
+    documents = docs.select("doc_id", F.col("lang").alias("kb_id"), F.md5(F.col("text").cast("binary")).alias("file_hash"), F.when(n % 10 == 9, 1).alias("deleted_at"))
+    versions = docs.where("doc_id % 4 = 0").select(F.col("lang").alias("kb_id"), n.alias("version"), F.element_at(F.array(F.lit("unknown"), F.lit("active"), F.lit("superseded")), (n % 3 + 1).cast("int")).alias("status"))
+    chunks = docs.select(F.floor(n / 2).alias("doc_id"), F.lit(1).alias("version"), (n % 4).alias("position"))
+    kinds = F.create_map(*[F.lit(x) for x in ("click", "queued", "view", "parsing")])
+    jobs = e.select(F.col("user_id").alias("doc_id"), F.coalesce(kinds[F.col("event_type")], F.lit("failed")).alias("status"))
+    facts = e.select(F.col("user_id").alias("session_id"), F.lit("task").alias("memory_type"), F.col("event_type").alias("key"), (F.col("event_id") % 7 == 0).alias("is_active"))
+    memories = e.select(F.col("user_id").alias("owner"), F.lit("fact").alias("memory_type"), F.col("event_type").alias("key"), F.when(F.col("event_id") % 11 == 0, "active").otherwise("deleted").alias("status"))
+    return corpus.table_violations(documents, versions, chunks, jobs, facts, memories)
+
+
 @query("SELECT doc_id AS record_id, m AS metric FROM documents, (VALUES ('faithfulness'), ('recall')) v(m) WHERE NOT (doc_id % 3 = 0 AND m = 'recall')")
 def checkpoint_pending(spark, sf_dir):
     records = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"))

@@ -143,7 +143,8 @@ def expire_stale_jobs(spark, sf_dir):
 
 @query("SELECT source, min(doc_id) AS first_id, count(*) AS n_chunks FROM documents GROUP BY source")
 def document_listing(spark, sf_dir):
-    return corpus.document_listing(_t(spark, sf_dir, "documents"))
+    chunks = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("chunk_id"), F.lit("").alias("source_path"), F.col("source").alias("source_name"), F.col("doc_id").cast("string").alias("file_type"), F.lit("").alias("scenario"))
+    return corpus.document_listing(chunks).select(F.col("key").alias("source"), F.col("file_type").cast("long").alias("first_id"), F.col("chunk_count").alias("n_chunks"))
 
 
 _TERMS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -397,20 +398,51 @@ def _profiles(spark, sf_dir):
     c = F.col("t")
     pages = docs.select("doc_id", "source", F.length("t").alias("text_len"), P.garbled_score(c).alias("garbled"), P.repeat_score(c).alias("repeated"), P.quality_score(c).alias("quality"), P.math_score(c).alias("math"))
     image = (F.col("doc_id") % 10) / 10
-    return pages.withColumn("route", P.route_page(F.col("text_len"), F.col("garbled"), image, F.col("doc_id") % 50, F.col("math")))
+    figures = (F.col("text_len"), F.col("garbled"), image, F.col("doc_id") % 50, F.col("math"))
+    return pages.withColumns({"route": P.route_page(*figures), "reason": P.route_reason(*figures)})
 
 
-@query(f"""WITH {_CLEAN} SELECT doc_id, n::INT AS text_len, round(garbled, 6) AS garbled, round(rep, 6) AS repeated, round(least(n / 200, 1) * (1 - garbled) * (1 - rep), 6) AS quality, math, route FROM z""")
+@query(f"""WITH {_CLEAN} SELECT doc_id, n::INT AS text_len, round(garbled, 6) AS garbled, round(rep, 6) AS repeated, round(least(n / 200, 1) * (1 - garbled) * (1 - rep), 6) AS quality, math, route, CASE WHEN n < 200 AND img >= 0.45 THEN 'text layer is sparse and image area is high' WHEN n > 0 AND garbled > 0.05 THEN 'text layer appears garbled'
+ WHEN dr >= 40 THEN 'many drawings or line elements suggest tables or layout complexity' WHEN math >= 0.02 THEN 'math or formula features are present' WHEN img >= 0.45 THEN 'large image area suggests complex page layout'
+ WHEN n >= 200 AND img <= 0.20 THEN 'selectable text is sufficient and page image area is low' ELSE 'page does not meet simple text extraction thresholds' END AS reason FROM z""")
 def page_routes(spark, sf_dir):
     pages = _profiles(spark, sf_dir)
-    return pages.select("doc_id", "text_len", *[F.round(c, 6).alias(c) for c in ("garbled", "repeated", "quality")], "math", "route")
+    return pages.select("doc_id", "text_len", *[F.round(c, 6).alias(c) for c in ("garbled", "repeated", "quality")], "math", "route", "reason")
 
 
-@query(f"""WITH {_CLEAN} SELECT source, count(*) AS pages, count(*) FILTER (route <> 'simple_text') AS complex_pages, CASE WHEN avg((route <> 'simple_text')::INT) > 0.35 THEN 'complex' ELSE 'fast' END AS parser FROM z GROUP BY 1""")
+_ROUTES = f"""WITH {_CLEAN}, r AS (SELECT source, count(*) AS pages, count(*) FILTER (route <> 'simple_text') AS complex_pages, CASE WHEN avg((route <> 'simple_text')::INT) > 0.35 THEN 'complex' ELSE 'fast' END AS parser FROM z GROUP BY 1)"""
+
+
+@query(f"{_ROUTES} SELECT * FROM r")
 def document_routes(spark, sf_dir):
     return corpus.document_routes(_profiles(spark, sf_dir), "source")
 
 
+@query(f"""WITH {_CLEAN}, d AS (SELECT doc_id % 200 AS doc, route FROM z WHERE doc_id % 5 <> 0), r AS (SELECT doc, count(*) AS pages, count(*) FILTER (route <> 'simple_text') AS complex_pages, avg((route <> 'simple_text')::INT) > 0.35 AS hard FROM d GROUP BY 1)
+ SELECT doc, pages, complex_pages, NOT hard AND doc % 3 = 0 AS fallback_used, CASE WHEN hard OR doc % 3 = 0 THEN 'complex' ELSE 'fast' END AS parser FROM r""")
+def document_fallbacks(spark, sf_dir):
+    """Pages as documents of up to a few pages, every third of which the fast parser reads badly."""
+    pages = _profiles(spark, sf_dir).where("doc_id % 5 <> 0").withColumn("doc", F.col("doc_id") % 200)
+    quality = pages.select("doc").distinct().where("doc % 7 <> 0 OR doc % 3 = 0").withColumn("quality", F.when(F.col("doc") % 3 == 0, 0.59).otherwise(0.6))
+    return corpus.document_routes(pages, "doc", quality)
+
+
+@query(f"""WITH {_HYBRID.replace('FROM documents', "FROM (SELECT * FROM documents WHERE lang = 'en' AND doc_id % 3 <> 2)").replace('QUALIFY rrf_rank <= 8', 'QUALIFY rrf_rank <= 20')},
+ sc2 AS (SELECT query_id, chunk_id, rrf_rank, CASE WHEN query_id % 3 > 0 AND chunk_id % 5 <> 0 THEN (chunk_id * 37 % 101 + 1) / 101 END AS s FROM hr),
+ ok AS (SELECT *, count(s) OVER (PARTITION BY query_id) > 0 AS scored FROM sc2), pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, rrf_rank) AS rank FROM ok WHERE NOT scored OR s IS NOT NULL QUALIFY rank <= 8),
+ sz AS (SELECT pl.*, length(text) AS n_chars FROM pl JOIN documents ON doc_id = chunk_id), up AS (SELECT *, sum(n_chars) OVER (PARTITION BY query_id ORDER BY rank) AS upto, count(s) OVER w = count(*) OVER w AS whole, arg_min(s, rank) OVER w AS top FROM sz WINDOW w AS (PARTITION BY query_id)),
+ st AS (SELECT *, min(CASE WHEN rank > 2 AND (upto > 7200 OR whole AND s < top * 0.5) THEN rank END) OVER (PARTITION BY query_id) AS stop FROM up)
+ SELECT query_id, chunk_id, rank, round(s, 9) AS rerank_score, n_chars::INT AS n_chars FROM st WHERE stop IS NULL OR rank < stop""")
+def scoped_search(spark, sf_dir):
+    """Questions to one base, some with scores of a reranker, down to what is read."""
+    queries, n = _asked(spark, sf_dir)[0], F.col("doc_id")
+    chunks = _t(spark, sf_dir, "documents").select(n.alias("chunk_id"), F.col("lang").alias("kb_id"), F.when(n % 3 == 2, "old").otherwise("new").alias("version"), "text")
+    c = F.col("chunk_id")
+    reranker = lambda hits: hits.where("query_id % 3 > 0 AND chunk_id % 5 <> 0").select("query_id", "chunk_id", ((c * 37 % 101 + 1) / 101).alias("rerank_score"))
+    found = retrieval.scoped_search(queries, chunks, "en", "new", reranker=reranker)
+    return found.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("rerank_score", 9).alias("rerank_score"), "n_chars")
+
+
 _TABLE = r"""l0 AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM l0),
 b AS (SELECT doc_id, pos, '| ' || pos || ' | ' || replace(line, '|', '\|') || ' |' AS row, '### Lines of ' || doc_id || chr(10) || chr(10) || '| n | line |' || chr(10) || '| --- | --- |' AS head FROM l)"""

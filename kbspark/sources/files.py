@@ -32,17 +32,21 @@ def derive_scenario(relative: Column) -> Column:
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit(DEFAULT_SCENARIO))
 
 
-def discover_files(spark: SparkSession, root: str, images: bool = True, excluded: str = EXCLUDED) -> DataFrame:
-    """(path, relative, file_type, scenario, file_hash, content) of the readable files under root. Excluded paths and other
-    types are dropped before any content is read, as the digest and the content are the only columns that need it."""
+def discover_files(spark: SparkSession, root: str, images: bool = True, excluded: str = EXCLUDED, mime_types: DataFrame | None = None) -> DataFrame:
+    """S-01: (path, relative, file_type, scenario, file_hash, content) of the readable files under root, by path whatever its case.
+
+    mime_types (relative, mime) may name the type of files whose extension doesn't tell it. Excluded paths and other types are dropped before any
+    content is read, as the digest and the content are the only columns that need it: files are ordered before that too.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
     files = files.withColumn("relative", F.substring("path", len(base) + 2, 1 << 20))
-    files = files.withColumn("file_type", resolve_file_type(F.col("path"), F.lit(None).cast("string")))
+    files = files.withColumn("mime", F.lit(None).cast("string")) if mime_types is None else files.join(mime_types.select("relative", "mime"), "relative", "left")
+    files = files.withColumn("file_type", resolve_file_type(F.col("path"), F.col("mime")))
     kinds = [e for e in EXTENSIONS if images or e not in IMAGES]
     files = files.where(F.col("file_type").isin(kinds) & ~F.col("relative").rlike(excluded))
-    return files.select("path", "relative", "file_type", derive_scenario(F.col("relative")).alias("scenario"), F.sha2("content", 256).alias("file_hash"), "content")
+    return files.select("path", "relative", "file_type", derive_scenario(F.col("relative")).alias("scenario"), F.sha2("content", 256).alias("file_hash"), "content").orderBy(F.lower("path"))
 
 
 @F.pandas_udf(StringType())
