@@ -285,15 +285,24 @@ def trigram_recall(spark, sf_dir):
     return found.select("item_id", "doc_id", F.round("recall", 9).alias("recall"))
 
 
+# What the questions' SQL looks for, spelled out here so that a fault in the operators' own lists shows.
+_ANSWER_REFERENCE = r"(?i)\b(?:first|second|third|previous|former|latter)\s+(?:step|option|approach|plan)\b"
+_FOLLOW_UP = r"(?i)^(?:and\s+then|then|what\s+about|how\s+about|continue|tell\s+me\s+more)\b"
+_COMPARISON = r"(?i)(?:区别|对比|比较|优缺点|\bvs\.?\b|\bversus\b|\bcompare\b)"
+_MULTI_CONSTRAINT = r"(?i)(?:在.*情况下|当.*时|同时|分别|以及|并且|\bwhen\b.*\b(?:and|or)\b|\bwith\b.*\b(?:and|or)\b)"
+_DIAGNOSTIC_ORDER = r"(?i)(?:排查.*(?:顺序|步骤)|先.*再|\b(?:diagnos|troubleshoot|investigat)\w*\b.*\b(?:order|step)\b)"
+_STOP_WORDS = ("what", "when", "where", "which", "how", "does", "the", "and", "for")
+_WEAK_TERMS = ("exact", "specific", "detailed", "current", "first step", "具体", "详细", "当前", "第一步", "这个", "那个")
+
 _ASKED = r"""m AS (SELECT conv_id, turn, role, trim(regexp_replace(CASE WHEN role <> 'user' THEN '' WHEN (conv_id + turn) % 4 = 0 THEN 'Then ' WHEN (conv_id + turn) % 4 = 1 THEN 'What about '
   WHEN (conv_id + turn) % 4 = 2 THEN 'the second option ' WHEN conv_id % 3 = 0 THEN 'compare ' ELSE '' END || text, '\s+', ' ', 'g')) AS norm FROM conversations),
 u AS (SELECT conv_id, turn, norm FROM m WHERE role = 'user'), w AS (SELECT a.conv_id, a.turn, a.norm, max(b.turn) AS pt FROM u a LEFT JOIN u b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.norm <> '' AND b.norm <> a.norm GROUP BY 1, 2, 3),
 r AS (SELECT w.conv_id, w.turn, arg_min(m.norm, m.turn) AS answer FROM w JOIN m ON w.conv_id = m.conv_id AND m.role = 'assistant' AND m.norm <> '' AND m.turn > w.pt
   WHERE NOT EXISTS (SELECT 1 FROM u x WHERE x.conv_id = w.conv_id AND x.turn > w.pt AND x.turn < m.turn) GROUP BY 1, 2),
 p AS (SELECT w.conv_id, w.turn, w.norm AS question, b.norm AS prior_user, substr(answer, 1, 800) AS prior_answer FROM w LEFT JOIN u b ON b.conv_id = w.conv_id AND b.turn = w.pt LEFT JOIN r ON r.conv_id = w.conv_id AND r.turn = w.turn)"""
-_REF = rf"regexp_matches(question, '{Q.ANSWER_REFERENCE}')"
-_FLAGS = rf"""{_ASKED}, f AS (SELECT *, {_REF} AS refers, {_REF} OR regexp_matches(question, '{Q.FOLLOW_UP}') AS follow_up,
- regexp_matches(question, '{Q.COMPARISON}') OR regexp_matches(question, '{Q.MULTI_CONSTRAINT}') OR regexp_matches(question, '{Q.DIAGNOSTIC_ORDER}') AS hard FROM p)"""
+_REF = rf"regexp_matches(question, '{_ANSWER_REFERENCE}')"
+_FLAGS = rf"""{_ASKED}, f AS (SELECT *, {_REF} AS refers, {_REF} OR regexp_matches(question, '{_FOLLOW_UP}') AS follow_up,
+ regexp_matches(question, '{_COMPARISON}') OR regexp_matches(question, '{_MULTI_CONSTRAINT}') OR regexp_matches(question, '{_DIAGNOSTIC_ORDER}') AS hard FROM p)"""
 _REWRITTEN = rf"""{_FLAGS}, g AS (SELECT *, CASE WHEN prior_user IS NOT NULL AND follow_up THEN 'Previous user question: ' || prior_user || chr(10) || CASE WHEN refers AND prior_answer IS NOT NULL THEN 'Previous assistant answer: ' || prior_answer || chr(10) ELSE '' END
   || 'Current follow-up: ' || question ELSE question END AS made,
  CASE WHEN hard THEN CASE turn % 4 WHEN 0 THEN substr(question, 9, 200) WHEN 1 THEN '["x"]' WHEN 2 THEN '- ' || substr(question, 1, 50) ELSE NULL END END AS offered FROM f),
@@ -340,7 +349,7 @@ def _unique(items: str) -> str:
     return f"list_filter({items}, lambda x, i: trim(x) <> '' AND list_position(list_transform({items}, lambda y: lower(trim(y))), lower(trim(x))) = i)"
 
 
-_STOP = ", ".join(f"'{w}'" for w in Q.STOP_WORDS)
+_STOP = ", ".join(f"'{w}'" for w in _STOP_WORDS)
 _EDGE = r"^[.:;；：()（）\[\]【】]+|[.:;；：()（）\[\]【】]+$"
 _KEYWORDS = rf"""k0 AS (SELECT conv_id, turn, norm AS question, list_filter(list_transform(regexp_split_to_array(regexp_replace(norm, '[?？,，]', ' ', 'g'), '\s+'), lambda t: regexp_replace(t, '{_EDGE}', '', 'g')),
   lambda t: length(t) >= 2 AND lower(t) NOT IN ({_STOP})) AS ts FROM u), k AS (SELECT conv_id, turn, question, {_unique('ts')} AS ks FROM k0)"""
@@ -353,7 +362,7 @@ def question_keywords(spark, sf_dir):
 
 def _weak(text: str) -> str:
     made = text
-    for term in Q.WEAK_TERMS:
+    for term in _WEAK_TERMS:
         made = f"replace({made}, '{term}', ' ')"
     return rf"coalesce(nullif(trim(regexp_replace({made}, '\s+', ' ', 'g')), ''), {text})"
 
