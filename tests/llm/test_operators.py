@@ -390,3 +390,16 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 300), (7, 7)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100}
+
+
+@pytest.mark.parametrize("length, replaced", [(50, []), (55, [42]), (62, [44, 53]), (200, [i * 37 % 200 for i in range(0, 100, 5)])])
+def test_chaining_links_of_like_surroundings(spark, length, replaced):
+    """Segments that are equal while the words around them are only alike: nearly all pairs are linked, and none too many."""
+    rows = []
+    for k in range(20):
+        passage = _own(f"p{k}_", length)
+        other = [f"x{k}_{i}" if i in replaced else w for i, w in enumerate(passage)]
+        rows += [_own(f"a{k}_", 60) + passage + _own(f"b{k}_", 60), _own(f"c{k}_", 60) + other + _own(f"d{k}_", 60)]
+    groups, _ = _groups(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string"))
+    assert sum(groups[2 * k] == groups[2 * k + 1] == 2 * k for k in range(20)) >= 18
+    assert all(groups[i] in (i, i - i % 2) for i in groups)
