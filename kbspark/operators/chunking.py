@@ -148,7 +148,10 @@ def build_chunks(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLA
     A table gives its parts under the size and then its rows, which all stay; other texts are split by size, and parts that are a
     title or contents alone, garbled, or held by an earlier part of their source (by doc_id and place) go. chunk_index counts
     all parts of a document, also those that go. Null and blank texts have none; null content types are text.
+    Of docs without these columns each is a text, and a source of its own.
     """
+    missing = {"source_path": F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), "page": F.lit(None).cast("long"), "content_type": F.lit("text")}
+    docs = docs.withColumns({c: v for c, v in missing.items() if c not in docs.columns})
     docs = docs.withColumns({"content_type": F.coalesce("content_type", F.lit("text")), "text": F.coalesce("text", F.lit(""))})
     table = F.col("content_type") == "table"
     other = docs.where(~table)
