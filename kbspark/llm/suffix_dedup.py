@@ -3,7 +3,7 @@
 Every window of `length` bytes picks an anchor: its k-gram of least hash. Equal windows pick equal anchors, so all
 places of a repeated string meet at one anchor, and only text around shared anchors is sorted. There, suffixes that
 are smaller than their successors are sorted directly, the others are induced by scans over the buckets, and adjacent
-common prefixes tell the windows that occur twice.
+common prefixes tell the windows that occur twice. Hashes only save comparisons: bytes decide.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ class _Hasher:
 
 def anchored(data: np.ndarray, length: int, chunk: int = 1 << 21) -> tuple[np.ndarray, ...]:
     """(anchor, key, start, size) of the segments of a text: runs of windows that pick one anchor, with all bytes of
-    those windows; key stands for the segment's bytes and the anchor's place in it. Each window is in one segment."""
+    those windows; key is a 64-bit XXH3 of the segment's bytes, seeded with the anchor's place in it. Each window is in one segment."""
     out, width = [], length - GRAM + 1
     for at in range(0, len(data) - length + 1, chunk):
         part = data[at : at + chunk + length - 1]
@@ -67,8 +68,9 @@ def anchored(data: np.ndarray, length: int, chunk: int = 1 << 21) -> tuple[np.nd
         pick = (np.minimum(last[:n], first[width - 1 : width - 1 + n]) & np.uint64(0xFFFFFF)).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
         end = np.concatenate([start[1:], [n]]) + length - 1
-        place = (pick[start] - start).astype(np.uint64)
-        key = hasher.of(start, end) ^ ((end - start).astype(np.uint64) << np.uint64(20)) * np.uint64(BASE) ^ place * np.uint64(0xD6E8FEB86659FD93)
+        raw = memoryview(part)
+        spots = zip(start.tolist(), end.tolist(), (pick[start] - start).tolist())
+        key = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], place) for a, b, place in spots), np.uint64, len(start))
         out.append((grams[pick[start]], key, start + at, end - start))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
 
@@ -117,11 +119,39 @@ def _items(length: int, most: int = 1_000_000):
     return run
 
 
-def _sort_direct(at: np.ndarray, words, left: np.ndarray, same: np.ndarray, length: int) -> np.ndarray:
+def _prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int, block: int = 1 << 22) -> np.ndarray:
+    """Common prefix, up to `length` bytes, of the texts from each a and from its b.
+
+    Pairs with one distance lie on one diagonal; where they are close to each other there, their bytes are compared once
+    for all of them, and a prefix ends at the next unequal byte.
+    """
+    out = np.zeros(len(a), np.int64)
+    if not len(a):
+        return out
+    by = np.lexsort((a, b - a))
+    a, far = a[by], (b - a)[by]
+    first = np.flatnonzero(np.concatenate([[True], (far[1:] != far[:-1]) | (np.diff(a) > length)]))
+    ends = np.append(first[1:], len(a))
+    sizes = a[ends - 1] - a[first] + length
+    done, total = 0, np.cumsum(sizes)
+    while done < len(first):
+        upto = max(done + 1, int(np.searchsorted(total, total[done] - sizes[done] + block, "right")))
+        size, begin, pairs = sizes[done:upto], first[done:upto], slice(first[done], ends[upto - 1])
+        shift = np.cumsum(size) - size - a[begin]
+        at = np.arange(int(size.sum())) - np.repeat(shift, size)
+        unequal = np.flatnonzero(text[at] != text[at + np.repeat(far[begin], size)])
+        at = a[pairs] + np.repeat(shift, ends[done:upto] - begin)
+        stop = np.append(unequal, len(text) * 2 + int(size.sum()))[np.searchsorted(unequal, at)]
+        out[by[pairs]] = np.minimum(stop - at, length)
+        done = upto
+    return out
+
+
+def _sort_direct(at: np.ndarray, words, left: np.ndarray, same: np.ndarray | None, length: int) -> np.ndarray:
     """Places `at` ordered by the text that begins there, up to `length` bytes or the segment's end.
 
     Groups of ties are sorted by eight more bytes each round. `same` is a hash of the next `length` bytes: a group in
-    which it is one and the same needs no more rounds. left: bytes until the segment's end.
+    which it is one and the same needs no more rounds (None: all rounds are made). left: bytes until the segment's end.
     """
     order = at[np.argsort(words(at, 0), kind="stable")]
     key = words(order, 0)
@@ -133,8 +163,10 @@ def _sort_direct(at: np.ndarray, words, left: np.ndarray, same: np.ndarray, leng
         new = np.concatenate([[True], group[1:] != group[:-1]])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(group)))
-        alike = (same[here] == np.repeat(same[here[first]], size)) & (left[here] >= length)
-        done = np.logical_and.reduceat(alike, first) | (size < 2)
+        done = size < 2
+        if same is not None:
+            alike = (same[here] == np.repeat(same[here[first]], size)) & (left[here] >= length)
+            done |= np.logical_and.reduceat(alike, first)
         keep = ~np.repeat(done, size)
         slots, group, here = slots[keep], group[keep], here[keep]
         if not len(slots) or depth >= length:
@@ -147,13 +179,15 @@ def _sort_direct(at: np.ndarray, words, left: np.ndarray, same: np.ndarray, leng
         depth += 8
 
 
-def suffix_array(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suffix_array(segments: list[bytes], length: int, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, repeated, starts): the window starts of the segments in suffix order up to `length` bytes; whether the
     common prefix with a neighbour has `length` bytes; where each segment starts in the joined buffer.
 
     Segments are joined with a separator below all bytes (bytes are below 0xFF, as in UTF-8). Suffixes are in two
     classes: S, smaller than the next suffix, and L. S suffixes are sorted directly. Then buckets of first bytes are
-    scanned in order: a suffix found there puts the L suffix before it at the end of its bucket's L part.
+    scanned in order: a suffix found there puts the L suffix before it at the end of its bucket's L part. Common prefixes
+    are computed where hashes are equal, as others fall short for certain. If one of these falls short as well, hashes
+    of different strings are equal and may have ended a sort too early: all is sorted again without them.
     """
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
     text = np.zeros(int(sizes.sum()) + len(segments) + 8, np.uint8)
@@ -187,7 +221,7 @@ def suffix_array(segments: list[bytes], length: int) -> tuple[np.ndarray, np.nda
     hasher = _Hasher(text[:n])
     whole = np.minimum(np.arange(n) + length, n)
     same = hasher.of(np.arange(n), whole)
-    order = _sort_direct(np.flatnonzero(direct & used & (left > 0)), words, left, same, length)
+    order = _sort_direct(np.flatnonzero(direct & used & (left > 0)), words, left, same if hashed else None, length)
     induced = used & ~direct
     heads = np.searchsorted(text[order], np.arange(258, dtype=np.int16))
     waiting: list[list[np.ndarray]] = [[] for _ in range(257)]
@@ -217,6 +251,10 @@ def suffix_array(segments: list[bytes], length: int) -> tuple[np.ndarray, np.nda
     found = np.concatenate(out) if out else np.zeros(0, np.int64)
     found = found[window[found]]
     equal = same[found[1:]] == same[found[:-1]]
+    near = np.flatnonzero(equal)
+    equal[near] = _prefixes(text, found[near], found[near + 1], length) >= length
+    if hashed and not equal[near].all():
+        return suffix_array(segments, length, hashed=False)
     edge = np.zeros(min(1, len(found)), bool)
     return found, np.concatenate([edge, equal]) | np.concatenate([equal, edge]), starts
 
@@ -275,20 +313,81 @@ def _cut_out(batches):
         )
 
 
-def _windows(length: int):
-    """Hashes of all windows of the segments at crowded anchors."""
+PIECES = "anchor long, key long, at long, lo long, hi long, sub long, subkey long, data binary"
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _halves(length: int):
+    """Each segment in two: windows that begin at most `mid` bytes before the anchor, and the others up to `hi`.
+
+    All windows of a half that begin lo to hi bytes before the anchor hold the bytes from lo before it to length - hi
+    behind that place: `sub` stands for these, so equal windows meet again. subkey stands for the half's bytes.
+    """
 
     def run(batches):
         for batch in batches:
-            for anchor, key, data in zip(*(c.to_pylist() for c in batch.columns)):
-                h = _Hasher(np.frombuffer(data, np.uint8)).all(length).view(np.int64)
+            out = []
+            for anchor, key, at, lo, hi, data in zip(*(c.to_pylist() for c in batch.columns)):
+                grams = _Hasher(np.frombuffer(data, np.uint8)).all(GRAM) & np.uint64(0xFFFFFFFFFF000000)
+                spare = len(data) - length  # the anchor is the first least gram among those that all windows hold
+                place = spare + int(np.argmin(grams[spare : length - GRAM + 1]))
+                mid = (lo + hi) // 2
+                for a, b in ((lo, mid), (mid + 1, hi)):
+                    least, most = max(a, place - spare), min(b, place)
+                    if least > most:
+                        continue
+                    start, end = place - most, place - least + length
+                    sub = xxhash.xxh3_64_intdigest(data[place - a : place - b + length], (a << 32) + b)
+                    subkey = xxhash.xxh3_64_intdigest(data[start:end], most)
+                    out.append((anchor, key, at + start, a, b, _signed(sub), _signed(subkey), data[start:end]))
+            for i in range(0, len(out), 5000):
+                columns = list(zip(*out[i : i + 5000]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), anchor)), pa.array(np.full(len(h), key)), pa.array(np.arange(len(h))), pa.array(h)], ["anchor", "key", "at", "hash"]
+                    [pa.array(c, pa.int64()) for c in columns[:-1]] + [pa.array(columns[-1], pa.binary())], ["anchor", "key", "at", "lo", "hi", "sub", "subkey", "data"]
                 )
 
     return run
 
 
+def _crowded(data: DataFrame, length: int, crowd: int, block_mb: float) -> DataFrame:
+    """(anchor, key, runs) of segments at anchors with more than `crowd` distinct ones, which are split by the bytes
+    around the anchor, in halves of halves, until no more than `crowd` distinct pieces share them; these are sorted.
+
+    A piece of one window is that window's bytes, so the halves end after as many rounds as the logarithm of `length`.
+    """
+    level = data.dropDuplicates(["anchor", "key"]).select(
+        "anchor", "key", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("lo"), F.lit(length - GRAM).cast("long").alias("hi"), "data"
+    )
+    out = []
+    while level is not None:
+        pieces = common.materialize(level.mapInArrow(_halves(length), PIECES), "pieces")
+        each = pieces.groupBy("sub", "subkey").agg(F.count("*").alias("n"), F.max(F.octet_length("data")).cast("long").alias("size"))
+        each = common.materialize(each, "each")
+        subs = common.materialize(each.groupBy("sub").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")), "subs")
+        sortable = subs.where((F.col("kinds") > 1) & (F.col("kinds") <= crowd))
+        rest = subs.where(F.col("kinds") > crowd)
+        runs = each.where("n > 1").select("sub", "subkey", F.array(F.lit(0).cast("long"), F.col("size")).alias("runs"))
+        total = sortable.agg(F.sum("bytes")).first()[0]
+        if total:
+            blocks = common.parts_for(data.sparkSession, total, block_mb * 1e6, 12)
+            chosen = pieces.join(sortable.select("sub"), "sub", "left_semi").groupBy("sub", "subkey").agg(F.first("data").alias("data"))
+            found = chosen.repartition(blocks, "sub").sortWithinPartitions("sub").mapInArrow(_repeats(length), "anchor long, key long, runs array<long>")
+            runs = runs.union(found.toDF("sub", "subkey", "runs"))
+        runs = pieces.drop("data").join(runs, ["sub", "subkey"])
+        out.append(runs.select("anchor", "key", F.transform("runs", lambda r: r + F.col("at")).alias("runs")))
+        more = rest.limit(1).count() > 0
+        level = pieces.where("lo < hi").join(rest.select("sub"), "sub", "left_semi").select("anchor", "key", "at", "lo", "hi", "data") if more else None
+        if more and level.limit(1).count() == 0:
+            raise RuntimeError("pieces of one window have different bytes")  # two cores with one 64-bit hash
+    covered = out[0]
+    for runs in out[1:]:
+        covered = covered.union(runs)
+    return covered
+
+
 def _remove(batches):
     for batch in batches:
         sizes, removed, spans, digests, cuts = [], [], [], [], []
@@ -314,14 +413,14 @@ def _remove(batches):
         )
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 20_000, block_mb: float = 6.0) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 2_000, block_mb: float = 6.0) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row of docs (doc_id, text).
 
     spans lists start and end of the maximal byte runs covered by strings of `length` bytes that also start anywhere
     else, in this or any other document. Null and empty texts have no bytes; repeated rows repeat each other whole.
     A segment with an equal elsewhere is covered whole without sorting; of each distinct segment at an anchor with
-    several, one copy is cut out and sorted. At an anchor with more than `crowd` distinct segments the windows' hashes
-    are counted by Spark instead (exact as well, and dealt by window), so no task holds an unbounded anchor.
+    several, one copy is cut out and sorted. An anchor with more than `crowd` distinct segments is split by the bytes
+    around it, so no task holds an unbounded anchor. Texts are told apart by 128 bits of hash, segments of an anchor by 64.
     """
     spark = docs.sparkSession
     named = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
@@ -342,9 +441,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 20_000, bloc
         if crowded > crowd:
             data = common.materialize(data, "cut")
             busy = shared.where(F.col("kinds") > crowd).select("anchor")
-            windows = data.join(busy, "anchor", "left_semi").dropDuplicates(["anchor", "key"]).mapInArrow(_windows(length), "anchor long, key long, at long, hash long")
-            twice = windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-            hits = windows.join(twice, "hash", "left_semi").select("anchor", "key", F.array(F.col("at"), F.col("at") + length).alias("runs"))
+            hits = _crowded(data.join(busy, "anchor", "left_semi"), length, crowd, block_mb)
             data = data.join(busy, "anchor", "left_anti")
         blocks = common.parts_for(spark, total, block_mb * 1e6, 12)
         sorted_ = data.repartition(blocks, "anchor").sortWithinPartitions("anchor").mapInArrow(_repeats(length), "anchor long, key long, runs array<long>")

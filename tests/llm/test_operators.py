@@ -92,6 +92,42 @@ def test_suffix_dedup(docs, none, crowd):
     assert suffix_dedup.repeated_spans(none).count() == 0
 
 
+def test_suffix_dedup_splits_an_anchor_with_many_segments(spark):
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core = letters(450)
+    # One passage for all, behind and before texts that some share; pieces of it that are too short alone; an odd letter.
+    heads, tails = [letters(k) for k in (0, 5, 200, 380, 700)], [letters(k) for k in (0, 7, 190, 390, 600)]
+    texts = [rng.choice(heads) + core[: rng.choice((100, 380, 450))] + rng.choice(tails) for _ in range(60)]
+    texts += [letters(300) + core[:k] + "!" + core[k + 1 :] + letters(300) for k in (3, 200, 224, 225, 226, 399, 400, 449)]
+    raw = [t.encode() for t in texts]
+    want = {i: (int(g.sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~g])).hexdigest()) for i, (t, g) in enumerate(zip(raw, _covered(raw, 400)))}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.repeated_spans(table, crowd=3).collect()
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want and sum(n > 0 for n, _ in want.values()) > 20
+
+
+@pytest.mark.parametrize("crowd", [2_000, 1])
+def test_suffix_dedup_tells_strings_of_equal_sums_apart(spark, crowd):
+    # The Thue-Morse string and its complement have one polynomial hash modulo 2^64.
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits), "x" * 3]
+    raw = [t.encode() for t in texts]
+    want = [int(g.sum()) for g in _covered(raw, 1500)]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=1500, crowd=crowd)
+    assert [r.n_removed for r in got.orderBy("doc_id").collect()] == want
+    places, repeated, _ = suffix_dedup.suffix_array([texts[0].encode()[:1024], texts[1].encode()[:1024], texts[0].encode()[:1024]], 1024)
+    assert len(places) == 3 and repeated.sum() == 2
+
+
+def test_common_prefixes():
+    rng = np.random.default_rng(3)
+    data = np.concatenate([rng.integers(0, 2, 500), np.zeros(200, int), rng.integers(0, 2, 500)]).astype(np.uint8)
+    a, b = rng.integers(0, 1100, 3000), rng.integers(0, 1100, 3000)
+    want = [next((k for k in range(100) if data[x + k] != data[y + k]), 100) for x, y in zip(a, b)]
+    assert suffix_dedup._prefixes(data, a, b, 100, block=700).tolist() == want
+
+
 def test_suffix_array_order():
     parts = [bytes(random.choice(b"ab") for _ in range(random.randint(12, 60))) for _ in range(200)] + [b"aaaa" * 10]
     places, repeated, starts = suffix_dedup.suffix_array(parts, 12)
