@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
 from itertools import accumulate
 
@@ -21,16 +22,14 @@ KINDS = (
 )
 ORDER = [k for k, *_ in KINDS] + ["reused"]
 #: What can be another copy of a candidate: runs of its alphabet and their pieces between these signs, trimmed of signs at
-#: both ends, that long and with a digit and a letter in them. Shorter values, and those of letters alone, are ordinary words
-#: too often to be looked up without a pattern around them.
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
-PIECE = re.compile(r"[A-Za-z0-9+_-]{8,}")
-SIGNS, LEAST = "+/_.=-", 8
+#: both ends, of the least length that a base value has.
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+PIECE = re.compile(r"[A-Za-z0-9+_-]{6,}")
+SIGNS, LEAST = "+/_.=-", 6
+#: Bits of the map of candidates (4 MB, whatever the data): a run is looked up only if its bit is set.
+MARKS = 1 << 25
 
-#: Texts in which a span of either sort can start, as a Java pattern; others need no scan.
-MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|[0-9a-f]{24}|AKIA[A-Z0-9]{16}|(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{8}"""
-
-_SPAN = "struct<kind:string,start:long,end:long,hash:string>"
+_SPAN = "struct<kind:string,start:long,end:long,hash:string,wordlike:boolean>"
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -41,43 +40,86 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda s: (s[1], ORDER.index(s[0])))
 
 
-def _digest(value: str) -> str:
+def _bare(value: str) -> str:
     """Values that differ in signs at their ends alone, such as a full stop, are one."""
-    return hashlib.sha256((value.strip(SIGNS) or value).encode()).hexdigest()[:32]
+    return value.strip(SIGNS) or value
+
+
+def _digest(value: str) -> str:
+    return hashlib.sha256(_bare(value).encode()).hexdigest()[:32]
 
 
-def runs(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, value) of the runs that can be bare copies of a candidate, and of their pieces, without repeats."""
+def _mark(value: str) -> int:
+    return zlib.crc32(value.encode()) % MARKS
+
+
+def runs(text: str, marks: bytes | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, value) of the runs that can be bare copies of a candidate, and of their pieces, without repeats.
+
+    With marks, a map of bits, only those whose bit is set.
+    """
     found = []
     for m in TOKEN.finditer(text):
         at, whole = m.start(), m[0]
-        for a, b in dict.fromkeys([m.span(), *((at + p.start(), at + p.end()) for p in PIECE.finditer(whole))]):
+        spots = (m.span(),) if whole.isalnum() else dict.fromkeys([m.span(), *((at + p.start(), at + p.end()) for p in PIECE.finditer(whole))])
+        for a, b in spots:
             value = text[a:b]
             a += len(value) - len(value.lstrip(SIGNS))
             value = value.strip(SIGNS)
-            mixed = any("0" <= c <= "9" for c in value) and any(c.isalpha() for c in value)
-            if len(value) >= LEAST and mixed and (a, a + len(value), value) not in found[-1:]:
+            if len(value) < LEAST or (a, a + len(value), value) in found[-1:]:
+                continue
+            if marks is None or marks[(bit := _mark(value)) >> 3] >> (bit & 7) & 1:
                 found.append((a, a + len(value), value))
     return found
 
 
-def _scan(batches):
-    """For each document its base spans, and the other token-like runs that could be copies of a candidate."""
-    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.string())])
+def _marked(batches):
+    """The bits of the base values of a partition, each once."""
+    bits = set()
     for batch in batches:
-        spans, others = [], []
-        for text in batch.column(1).to_pylist():
-            text = text or ""
-            base = base_spans(text)
-            spans.append([{"kind": k, "start": a, "end": b, "hash": _digest(v)} for k, a, b, v in base])
-            # The base spans overlap a run if one that starts before its end reaches beyond its start.
-            starts, reach = [a for _, a, _, _ in base], list(accumulate((b for _, _, b, _ in base), max))
-            free = ((a, b, v) for a, b, v in runs(text) if not (i := bisect_left(starts, b)) or reach[i - 1] <= a)
-            others.append([{"kind": "reused", "start": a, "end": b, "hash": _digest(v)} for a, b, v in free])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(range(len(spans)), pa.int64()), pa.array(spans, pa.list_(span)), pa.array(others, pa.list_(span))],
-            ["doc_id", "owner", "n", "base", "others"],
-        )
+        for text in batch.column(0).to_pylist():
+            bits.update(_mark(v) for *_, value in base_spans(text or "") if len(v := _bare(value)) >= LEAST)
+    bits = list(bits)
+    for i in range(0, len(bits), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(bits[i : i + 100_000], pa.int64())], ["bit"])
+
+
+def marks(docs: DataFrame) -> bytes:
+    """The map of bits of all candidates of docs (text): of fixed size, as it may let through runs that are none."""
+    bits = docs.select("text").mapInArrow(_marked, "bit long")
+    pages = bits.groupBy(F.shiftright("bit", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767).cast("long"))).alias("map"))
+    out = bytearray(MARKS // 8)
+    for r in pages.collect():  # at most MARKS / 32768 rows of 4096 bytes
+        out[r["page"] * 4096 : (r["page"] + 1) * 4096] = r["map"]
+    return bytes(out)
+
+
+def _scan(marks: bytes):
+    """For each document its base spans, and the other runs that could be copies of a candidate."""
+    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.string()), ("wordlike", pa.bool_())])
+
+    def row(kind: str, a: int, b: int, value: str) -> dict:
+        value = _bare(value)
+        wordlike = len(value) < 8 or value.isalpha() or not any(c.isalpha() for c in value)
+        return {"kind": kind, "start": a, "end": b, "hash": _digest(value), "wordlike": wordlike}
+
+    def run(batches):
+        for batch in batches:
+            spans, others = [], []
+            for text in batch.column(1).to_pylist():
+                text = text or ""
+                base = base_spans(text)
+                spans.append([row(*s) for s in base])
+                # The base spans overlap a run if one that starts before its end reaches beyond its start.
+                starts, reach = [a for _, a, _, _ in base], list(accumulate((b for _, _, b, _ in base), max))
+                free = ((a, b, v) for a, b, v in runs(text, marks) if not (i := bisect_left(starts, b)) or reach[i - 1] <= a)
+                others.append([row("reused", *s) for s in free])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(range(len(spans)), pa.int64()), pa.array(spans, pa.list_(span)), pa.array(others, pa.list_(span))],
+                ["doc_id", "owner", "n", "base", "others"],
+            )
+
+    return run
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -92,34 +134,41 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return repos.join(owners, "hash")
 
 
-def find_secrets(docs: DataFrame, example_owners: int = 3) -> DataFrame:
+def find_secrets(docs: DataFrame, example_owners: int = 3, example_repositories: int = 100) -> DataFrame:
     """(row_id, doc_id, base, spans) for every row of docs (doc_id, source, text).
 
     base and spans are arrays of (kind, start, end, hash, repositories, owners, verdict). Of each candidate's hash the
     distinct repositories (documents) and owners (sources; a null one is an owner of its own) are counted over the
-    corpus. A candidate with `example_owners` or more owners is a widely copied "example", any other "live": specific
-    to few owners. The method adds, as kind "reused", runs elsewhere, or pieces of runs between `.`, `/` and `=`, that equal
-    a live candidate's value of 8 characters or more with a digit and a letter, without a pattern of their own around
-    them (signs at the ends don't count); base spans always stay. Null and empty texts have no span, and repeated rows are
-    kept apart. Only spans and hashes leave the scan, never texts.
+    corpus, where a pattern of `KINDS` finds it. A candidate with `example_owners` or more owners is a widely copied
+    "example", any other "live": specific to few owners. A value that could be a word (under 8 characters, or without a
+    digit or a letter) is an example also if all its copies, bare ones too, have so many owners or stand in
+    `example_repositories` or more documents: so frequency tells words and credentials apart. The method adds, as kind
+    "reused", all runs elsewhere, or pieces of runs between `.`, `/` and `=`, that equal a live candidate's value of 6
+    characters or more without a pattern of their own around them (signs at the ends don't count); base spans always
+    stay. Null and empty texts have no span, and repeated rows are kept apart. Only spans and hashes leave the scan,
+    never texts: of the runs, those whose bit is set in the map of candidates, which are then joined by hash.
     """
     ids = docs.select("doc_id", "text", F.col("source").alias("owner"))
     schema = ids.select("doc_id", "owner").schema
     scanned = docs.sparkSession.createDataFrame([], schema).withColumn("n", F.lit(0).cast("long"))
     scanned = scanned.withColumn("base", F.lit(None).cast(f"array<{_SPAN}>")).withColumn("others", F.lit(None).cast(f"array<{_SPAN}>"))
-    scanned = ids.mapInArrow(_scan, scanned.schema)
+    scanned = ids.mapInArrow(_scan(marks(docs)), scanned.schema)
     scanned = scanned.withColumn("row_id", F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id(), "n")).drop("n")
     scanned = common.materialize(scanned, "scan")
 
     def spread(column: str) -> DataFrame:
         return scanned.select("row_id", "doc_id", F.coalesce("owner", F.lit("\0")).alias("owner"), F.explode(column).alias("s")).select("row_id", "doc_id", "owner", "s.*")
 
-    base = spread("base")
+    base, others = spread("base"), spread("others")
     owned = ownership(base.select("hash", "doc_id", "owner"))
-    verdict = F.when(F.col("owners") >= example_owners, "example").otherwise("live")
-    owned = common.materialize(owned.withColumn("verdict", verdict), "owned")
+    words = base.unionByName(others).where("wordlike").select("hash", "doc_id", "owner")
+    held = ownership(words).select("hash", F.col("repositories").alias("held_by"), F.col("owners").alias("held_in"))
+    owned = owned.join(held, "hash", "left")
+    common_word = (F.col("held_in") >= example_owners) | (F.col("held_by") >= example_repositories)
+    verdict = F.when((F.col("owners") >= example_owners) | F.coalesce(common_word, F.lit(False)), "example").otherwise("live")
+    owned = common.materialize(owned.select("hash", "repositories", "owners", verdict.alias("verdict")), "owned")
     known = base.join(owned, "hash")
-    added = spread("others").join(owned.where("verdict = 'live'"), "hash")
+    added = others.join(owned.where("verdict = 'live'"), "hash")
     spans = known.withColumn("is_base", F.lit(True)).unionByName(added.withColumn("is_base", F.lit(False)))
     place = F.array_position(F.array(*[F.lit(k) for k in ORDER]), F.col("kind"))
     item = F.struct("start", place.alias("place"), "end", "kind", "hash", "repositories", "owners", "verdict", "is_base")
@@ -137,39 +186,44 @@ def listed(spans) -> F.Column:
 def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """docs with every live span replaced by `mark` (and n_chars counted anew where there is such a column).
 
-    Overlapping spans are replaced as one. Widely copied examples stay, as do documents without a live span. Only texts
-    in which a span can start are scanned and shuffled; they are found again by a digest of the row, so equal rows are
-    treated alike, and no copy of the texts is written. Null texts stay null; extra columns of any name stay as they are.
+    Overlapping spans are replaced as one. Widely copied examples stay, as do documents without a live span. Texts are
+    found again by 128 bits of hash of the row, so equal rows are treated alike, and no copy of the texts is written; the
+    places to cut are a written table, which Spark broadcasts only if its size is below the session's bound. Null texts
+    stay null; extra columns of any name stay as they are.
     """
     row, cuts = (next(n for k in range(len(docs.columns) + 1) if (n := f"{c}{k}") not in docs.columns) for c in ("row", "cuts"))
-    maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
-    tagged = docs.where(maybe).withColumn(row, F.sha2(F.to_json(F.struct("doc_id", "source", "text")), 256))
+    parts = [p for c in ("doc_id", "source", "text") for p in (F.col(c).isNull(), F.col(c))]
+    tagged = docs.withColumn(row, F.concat_ws(":", F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)))
     spans = find_secrets(tagged.select(F.col(row).alias("doc_id"), "source", "text"))
     live = F.filter("spans", lambda s: s["verdict"] == "live")
     live = F.transform(live, lambda s: F.struct(s["start"], s["end"]))
     hits = spans.select(F.col("doc_id").alias(row), live.alias(cuts)).where(F.size(cuts) > 0).dropDuplicates([row])
+    hits = common.materialize(hits, "cuts")
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.names.index("text")
-            texts = []
-            for text, places in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            names = batch.schema.names[:-1]
+            texts, found = batch.column(names.index("text")).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            sizes = batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
+            for i, places in enumerate(found):
+                if not places:
+                    continue
                 out, upto = [], 0
-                for cut in places or []:
+                for cut in places:
                     a, b = cut["start"], cut["end"]
                     if a >= upto:
-                        out += [text[upto:a], mark]
+                        out += [texts[i][upto:a], mark]
                     upto = max(upto, b)
-                texts.append(text if text is None else "".join(out) + text[upto:])
+                texts[i] = "".join(out) + texts[i][upto:]
+                if sizes:
+                    sizes[i] = len(texts[i])
             columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
-
-    joined = tagged.join(hits, row, "left").drop(row)
-    done = joined.where(F.col(cuts).isNotNull()).mapInArrow(run, docs.schema).select(docs.columns)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.where(~maybe).union(joined.where(F.col(cuts).isNull()).select(docs.columns)).union(done.select(docs.columns))
+            columns[names.index("text")] = pa.array(texts, pa.string())
+            if sizes is not None:
+                columns[names.index("n_chars")] = pa.array(sizes, batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return tagged.join(hits, row, "left").drop(row).select(*docs.columns, cuts).mapInArrow(run, docs.schema)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

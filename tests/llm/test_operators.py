@@ -378,6 +378,54 @@ def test_secrets_short_values_and_pieces(spark):
     assert all(value not in redacted[i] for i in range(6)) and all(redacted[i] == texts[i] for i in (6, 7, 8))
 
 
+def test_secrets_of_letters_and_of_six_characters(spark):
+    live = ["hunterpass", "Ab3xY7", "481516"]
+    rows = [(f"password = {v}", "one") for v in live] + [(f"the bare {v} here", "two") for v in live]
+    rows += [("secret = information", "one"), ("token: garden", "one"), ("secret: abc---", "one"), ("abc and hunterpasses", "two")]
+    rows += [(f"much information {i}", str(i)) for i in range(5)] + [("a garden", "one")] * 120
+    table = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in secrets.find_secrets(table).collect()}
+    for i, v in enumerate(live):
+        (s,) = found[3 + i].spans
+        assert (s.kind, rows[3 + i][0][s.start : s.end], s.verdict) == ("reused", v, "live")
+    assert [found[i].base[0].verdict for i in (6, 7)] == ["example"] * 2 and not any(found[i].spans for i in range(9, len(rows)))
+    redacted = {r.doc_id: r.text for r in secrets.redact(table).collect()}
+    assert all(v not in " ".join(redacted[i] for i in range(6)) for v in live) and redacted[6] == rows[6][0] and redacted[9] == rows[9][0]
+
+
+def test_secrets_against_brute_force(spark):
+    rng = random.Random(11)
+    values = ["".join(rng.choice("abcDEF01_-") for _ in range(rng.randint(4, 12))) for _ in range(40)]
+    rows = []
+    for i in range(200):
+        parts = [rng.choice(["password = {}", "token:{}", "{}", "see {}.", "/x/{}/y", "w{}w"]).format(rng.choice(values)) for _ in range(4)]
+        rows.append((i, "é " + " words ".join(parts), rng.choice(["a", "b", "c", "d", None])))
+    pattern = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    ends = "+/_.=-"
+    base = {i: [(m.start(), m.end(), m[2].strip(ends) or m[2]) for m in pattern.finditer(t) if len(m[2]) >= 6] for i, t, _ in rows}
+    bare = {}
+    for i, t, _ in rows:
+        places = {m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", t)} | {m.span() for m in re.finditer(r"[A-Za-z0-9+_-]+", t)}
+        trimmed = {(b - len(t[a:b].lstrip(ends)), a + len(t[a:b].rstrip(ends))) for a, b in places}
+        bare[i] = sorted((a, b, t[a:b]) for a, b in trimmed if b - a >= 6 and all(b <= x or a >= y for x, y, _ in base[i]))
+    owner = {i: s for i, _, s in rows}
+    patterned, everywhere, holders = {}, {}, {}
+    for i in base:
+        for *_, v in base[i]:
+            patterned.setdefault(v, set()).add(owner[i])
+        for *_, v in base[i] + bare[i]:
+            everywhere.setdefault(v, set()).add(owner[i])
+            holders.setdefault(v, set()).add(i)
+    wordlike = lambda v: len(v) < 8 or v.isalpha() or not any(c.isalpha() for c in v)
+    live = {v for v, o in patterned.items() if len(o) < 3 and not (wordlike(v) and (len(everywhere[v]) >= 3 or len(holders[v]) >= 100))}
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for r in found:
+        assert [(s.start, s.end) for s in r.base] == [(a, b) for a, b, _ in base[r.doc_id]]
+        want = sorted((a, b) for a, b, v in bare[r.doc_id] if v in live)
+        assert sorted((s.start, s.end) for s in r.spans if s.kind == "reused") == want
+    assert len(found) == 200 and live and set(patterned) - live
+
+
 def _linked(rows, least=0.9):
     """Brute force: (vec_id, n_links, component_id, kept) of all rows, lengths apart."""
     good = [(i, np.array(v) / max(map(abs, v))) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)]
