@@ -358,13 +358,15 @@ def _crowded(data: DataFrame, length: int, crowd: int, block_mb: float) -> DataF
 
     A piece of one window is that window's bytes, so the halves end after as many rounds as the logarithm of `length`.
     """
-    level = data.dropDuplicates(["anchor", "key"]).select(
+    level = data.select(
         "anchor", "key", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("lo"), F.lit(length - GRAM).cast("long").alias("hi"), "data"
     )
     out = []
     while level is not None:
         pieces = common.materialize(level.mapInArrow(_halves(length), PIECES), "pieces")
-        each = pieces.groupBy("sub", "subkey").agg(F.count("*").alias("n"), F.max(F.octet_length("data")).cast("long").alias("size"))
+        # A segment can have been cut out twice; bytes take no part in telling.
+        places = pieces.select("anchor", "key", "at", "sub", "subkey", F.octet_length("data").cast("long").alias("size")).distinct()
+        each = places.groupBy("sub", "subkey").agg(F.count("*").alias("n"), F.max("size").alias("size"))
         each = common.materialize(each, "each")
         subs = common.materialize(each.groupBy("sub").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")), "subs")
         sortable = subs.where((F.col("kinds") > 1) & (F.col("kinds") <= crowd))
@@ -376,7 +378,7 @@ def _crowded(data: DataFrame, length: int, crowd: int, block_mb: float) -> DataF
             chosen = pieces.join(sortable.select("sub"), "sub", "left_semi").groupBy("sub", "subkey").agg(F.first("data").alias("data"))
             found = chosen.repartition(blocks, "sub").sortWithinPartitions("sub").mapInArrow(_repeats(length), "anchor long, key long, runs array<long>")
             runs = runs.union(found.toDF("sub", "subkey", "runs"))
-        runs = pieces.drop("data").join(runs, ["sub", "subkey"])
+        runs = places.drop("size").join(runs, ["sub", "subkey"])
         out.append(runs.select("anchor", "key", F.transform("runs", lambda r: r + F.col("at")).alias("runs")))
         more = rest.limit(1).count() > 0
         level = pieces.where("lo < hi").join(rest.select("sub"), "sub", "left_semi").select("anchor", "key", "at", "lo", "hi", "data") if more else None
@@ -413,14 +415,14 @@ def _remove(batches):
         )
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 2_000, block_mb: float = 6.0) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 20_000, block_mb: float = 6.0) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row of docs (doc_id, text).
 
     spans lists start and end of the maximal byte runs covered by strings of `length` bytes that also start anywhere
     else, in this or any other document. Null and empty texts have no bytes; repeated rows repeat each other whole.
     A segment with an equal elsewhere is covered whole without sorting; of each distinct segment at an anchor with
-    several, one copy is cut out and sorted. An anchor with more than `crowd` distinct segments is split by the bytes
-    around it, so no task holds an unbounded anchor. Texts are told apart by 128 bits of hash, segments of an anchor by 64.
+    several, one copy is cut out and sorted. An anchor with more than `crowd` distinct segments (some 12 MB, or 6 seconds of
+    one task) is split by the bytes around it, so no task holds an unbounded anchor. Texts are told apart by 128 bits of hash, segments of an anchor by 64.
     """
     spark = docs.sparkSession
     named = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
