@@ -21,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a new local one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a new local one in local mode only, as
+    executors on other machines don't see it: on a cluster that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     local = f"file://{tempfile.mkdtemp(prefix='kbspark-')}"
     spark.conf.set("spark.checkpoint.dir", local)
     return local

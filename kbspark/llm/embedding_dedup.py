@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Numbers that an assignment holds at once, so that its memory doesn't grow with the cells.
+SCORES = 2_000_000
+
+
 def _unit(vectors) -> np.ndarray:
     x = np.stack(vectors).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -54,8 +58,11 @@ _PLACED = "home string, cells array<string>"
 
 def _assign(fitted: dict[int, np.ndarray], margins: dict[int, float]):
     """The cell of each vector, and all cells that it goes to: its own and those whose boundary with it is in reach. Each
-    length of vectors has cells of its own; one without fitted cells is one cell."""
-    gaps = {d: np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-12)) for d, c in fitted.items()}
+    length of vectors has cells of its own; one without fitted cells is one cell.
+
+    Two centres are at most 2 apart, so a cell that is in reach has a cosine at most twice the margin below the own one;
+    only for such cells is the distance of the centres made, vector by vector. Nothing is held for all pairs of cells.
+    """
 
     def run(batches):
         for batch in batches:
@@ -68,15 +75,24 @@ def _assign(fitted: dict[int, np.ndarray], margins: dict[int, float]):
                     for i in rows:
                         home[i], cells[i] = f"{d}", [f"{d}"]
                     continue
-                for j in range(0, len(rows), 1000):
-                    part = rows[j : j + 1000]
+                step = max(1, min(1000, SCORES // len(fitted[d])))
+                for j in range(0, len(rows), step):
+                    part = rows[j : j + step]
                     vectors = np.asarray(batch.column(at).take(pa.array(part)).flatten(), np.float64).reshape(-1, d)
                     s = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) @ fitted[d].T
                     own = s.argmax(1)
-                    near = (s[np.arange(len(s)), own][:, None] - s) / gaps[d][own] <= margins[d]
-                    near[np.arange(len(s)), own] = True
-                    for i, h, reach in zip(part, own, near):
-                        home[i], cells[i] = f"{d}-{h}", [f"{d}-{c}" for c in np.flatnonzero(reach)]
+                    below = s[np.arange(len(s)), own][:, None] - s
+                    row, cell = np.nonzero(below <= 2 * margins[d] + 1e-9)
+                    reach = cell == own[row]
+                    for a in range(0, len(row), max(1, SCORES // d)):
+                        at_once = slice(a, a + max(1, SCORES // d))
+                        r, c = row[at_once], cell[at_once]
+                        gap = np.linalg.norm(fitted[d][own[r]] - fitted[d][c], axis=1)
+                        reach[at_once] |= below[r, c] <= margins[d] * gap
+                    row, cell = row[reach], cell[reach]
+                    cuts = np.searchsorted(row, np.arange(len(s) + 1))
+                    for i, h, a, b in zip(part, own, cuts, cuts[1:]):
+                        home[i], cells[i] = f"{d}-{h}", [f"{d}-{c}" for c in cell[a:b]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.string()), pa.array(cells, pa.list_(pa.string()))], [*batch.schema.names, "home", "cells"])
 
     return run
