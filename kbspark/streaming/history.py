@@ -31,4 +31,6 @@ def revision_stream(spark: SparkSession, path: str, home: str | None = None) ->
 
 def _shared(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return named.rstrip("/") if named else f"file://{tempfile.mkdtemp(prefix='kbspark-')}"
