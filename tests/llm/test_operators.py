@@ -68,6 +68,56 @@ def test_quality(spark, docs, none):
     assert quality.judge(none, labels).count() == 0
 
 
+def test_quality_ratio_and_threshold(spark, tmp_path):
+    """The ratio and the fitted threshold against brute force, through the query."""
+    rng, vocabulary = random.Random(11), [f"g{i}" for i in range(300)]
+    rows, marks = [], []
+    for i in range(700):
+        bad = i % 3 == 0
+        words = [(f"b{rng.randrange(300)}" if bad and rng.random() < 0.3 else rng.choice(vocabulary)) for _ in range(rng.randint(45, 120))]
+        rows.append((i, " ".join(words), "s"))
+        if i % 5:
+            marks.append((i, 0 if bad else 1, int(i % 11 == 0)))
+    rows += [(None, rows[1][1], "s"), (700, None, "s"), (3, rows[3][1], "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    held = {r.doc_id for r in labels.where(quality.is_held(F.col("doc_id"))).collect()}
+    texts = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "k long, text string")
+    grams = {r.k: r.b for r in texts.select("k", quality.ngram_buckets(common.words(F.col("text"))).alias("b")).collect()}
+    kinds = {i: (q, x) for i, q, x in marks}
+    trusted = {i for i, (q, x) in kinds.items() if q and not x and i not in held}
+    raw, target = Counter(), Counter()
+    for k, (i, *_) in enumerate(rows):
+        raw.update(grams[k])
+        target.update(grams[k] if i in trusted else [])
+    size = 1 << quality.BITS
+    n, m = sum(raw.values()) + size, sum(target.values()) + size
+    llr = {k: sum(math.log((target[b] + 1) / m) - math.log((raw[b] + 1) / n) for b in g) / len(g) if g else 0.0 for k, g in grams.items()}
+    passes = {k: not quality_failed(rows[k][1]) for k in llr}
+    good = sorted(llr[i] for i in held if passes[i] and kinds[i] == (1, 0))
+    bad = sorted(llr[i] for i in held if passes[i] and kinds[i][0] == 0)
+    assert len(good) >= quality.FEWEST and len(bad) >= quality.FEWEST
+    points = sorted(good + bad)
+    cuts = [points[0]] + [(a + b) / 2 for a, b in zip(points, points[1:])]
+    cost = lambda c: quality.LOST * sum(x < c for x in good) / len(good) + sum(x >= c for x in bad) / len(bad)
+    want = min(cuts, key=lambda c: (round(cost(c), 12), c))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = quality.fit(docs, labels.where("quality = 1 AND toxic = 0").where(~quality.is_held(F.col("doc_id"))))
+    assert math.isclose(quality.fit_threshold(docs, labels, common.materialize(model, "llr")).first().threshold, want, rel_tol=1e-9)
+    got = quality.op1_quality(spark, str(tmp_path)).collect()
+    key = lambda i, x, b, k: (i is None, i or 0, round(x, 9), b, k)
+    assert sorted(key(r.doc_id, r.llr, r.base_failed, r.kept) for r in got) == sorted(key(rows[k][0], llr[k], not passes[k], passes[k] and llr[k] >= want) for k in llr)
+    assert quality.fit_threshold(docs, labels.limit(0), common.materialize(model, "llr")).first().threshold == quality.THRESHOLD
+
+
+def quality_failed(text) -> bool:
+    w = WORD.findall(text or "")
+    three = Counter(zip(w, w[1:], w[2:]))
+    again = {k for i in range(len(w) - 2) if three[tuple(w[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+    return len(w) < 50 or 100 * len(again) > 50 * len(w)
+
+
 def _covered(texts: list[bytes], length: int) -> list[np.ndarray]:
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
