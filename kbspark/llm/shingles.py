@@ -74,9 +74,7 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, n, shingles) of the texts that have words; equal texts of a partition once."""
-
+def _sets(width: int):
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -92,16 +90,22 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
                 kinds = [r[1] for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(list(map(len, kinds)), pa.int32()), pa.array(kinds, pa.list_(pa.int64()))], ["node", "n", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node long, n int, shingles array<long>")
+    return run
+
 
+def sets(docs: DataFrame, width: int) -> DataFrame:
+    """(node, n, shingles) of the texts that have words; equal texts of a partition once."""
+    return docs.select("text").mapInArrow(_sets(width), "node long, n int, shingles array<long>")
 
-def prefixes(made: DataFrame, least: float, known: np.ndarray, seen: np.ndarray) -> DataFrame:
-    """(shingle, node, n, pos): the n - ceil(least * n) + 1 rarest shingles of each set (node, n, shingles), with their
+
+def prefixes(docs: DataFrame, width: int, least: float, known: np.ndarray, seen: np.ndarray) -> DataFrame:
+    """(shingle, node, n, pos): the n - ceil(least * n) + 1 rarest shingles of the set of each text of docs, with their
     places in the order of rarity. Two sets of that similarity share one of them, in any one order of all shingles.
-    `known` is sorted, `seen` its counts."""
+    `known` is sorted, `seen` its counts. Sets are made and cut in one worker, and only what is left of them leaves it."""
+    made = _sets(width)
 
     def run(batches):
-        for batch in batches:
+        for batch in made(batches):
             node, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             out, times = [], []
             for s in batch.column(2):
@@ -118,7 +122,7 @@ def prefixes(made: DataFrame, least: float, known: np.ndarray, seen: np.ndarray)
                 part = slice(i, i + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(flat[part]), pa.array(of[part]), pa.array(n[part]), pa.array(pos[part])], ["shingle", "node", "n", "pos"])
 
-    return made.mapInArrow(run, "shingle long, node long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "shingle long, node long, n int, pos int")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:

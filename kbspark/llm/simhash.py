@@ -109,8 +109,8 @@ def _compare(distance: int, block: int = 2048):
         small = np.repeat(size <= 64, size)
         at = np.flatnonzero(homes & small)
         n, first = np.repeat(size, size)[at], np.repeat(starts, size)[at]
-        for i in range(0, len(at), 50_000):
-            part = slice(i, i + 50_000)
+        for i in range(0, len(at), 8_000):
+            part = slice(i, i + 8_000)
             left = np.repeat(at[part], n[part])
             right = np.arange(len(left)) - np.repeat(np.cumsum(n[part]) - n[part], n[part]) + np.repeat(first[part], n[part])
             ok = (left != right) & (np.bitwise_count(fps[left] ^ fps[right]) <= distance)
@@ -202,7 +202,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
     every = max(1, marked.count() // sample)
     drawn = shingles.sets(texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0), width).select(F.explode("shingles").alias("shingle"))
     drawn = drawn.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(200_000).toPandas().sort_values("shingle")
-    held = shingles.prefixes(shingles.sets(texts, width), least, drawn["shingle"].to_numpy(np.int64), drawn["count"].to_numpy(np.int64))
+    held = shingles.prefixes(texts, width, least, drawn["shingle"].to_numpy(np.int64), drawn["count"].to_numpy(np.int64))
     shared = held.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     held = common.materialize(held.join(shared.select("shingle", "low"), "shingle").distinct(), "held")
     fits = lambda a, b: (F.col(a) >= F.lit(least - 1e-9) * F.col(b)) & (F.col(b) >= F.lit(least - 1e-9) * F.col(a))
