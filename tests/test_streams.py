@@ -165,3 +165,17 @@ def test_sync_follows_changes_as_one_snapshot_does(spark, tmp_path):
     assert tuples(sync.sync_table(spark, home, schema)) == before
     spark.createDataFrame([("k5", "broken", 1, 0)], "source_key string, file_hash string, size int, bucket int").write.partitionBy("bucket").parquet(f"{home}/data/version=3")
     assert tuples(sync.sync_table(spark, home, schema)) == before
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    """Only in local mode a folder of this machine may stand in for spark.checkpoint.dir."""
+    from types import SimpleNamespace
+
+    import pytest
+    from kbspark.streaming import history
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    session = lambda master: SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getConf=lambda: unset))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        history._shared(session("spark://somewhere:7077"))
+    assert history._shared(session("local[4]")).startswith("file://")
