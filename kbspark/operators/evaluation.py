@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,8 +21,14 @@ def per_question_metrics(hits: DataFrame, expected: DataFrame, k: int = 5) -> Da
 
 
 def percentile_nearest_rank(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    cut = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(p * 100)}") for p in shares]
-    return df.groupBy(*by).agg(F.count("*").alias("n"), *cut)
+    """(by, n, p50, p95, ...): rows of each group and its nearest-rank percentiles; nulls count in n only, and a group of nulls has null
+    percentiles. Rows are counted by value before anything is sorted, and a group's values are sorted with spilling, not held."""
+    counted = df.groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_rows"))
+    known = F.when(F.col("_value").isNotNull(), F.col("_rows")).otherwise(0)
+    group = Window.partitionBy(*by)
+    placed = counted.withColumns({"_total": F.sum(known).over(group), "_upto": F.sum(known).over(group.orderBy(F.asc_nulls_first("_value")).rowsBetween(Window.unboundedPreceding, 0))})
+    cut = [F.min(F.when(F.col("_upto") >= F.lit(p) * F.col("_total") - F.lit(1e-9), F.col("_value"))).alias(f"p{round(p * 100)}") for p in shares]
+    return placed.groupBy(*by).agg(F.sum("_rows").alias("n"), *cut)
 
 
 def exact_mean(value, digits: int = 4):

@@ -379,3 +379,20 @@ def test_dense_search_against_all_pairs(spark):
         best = sorted(range(1500), key=lambda j: (-s[j], j))[:7]
         assert [c for _, c, _ in sorted(got[i])] == best
     assert 5000 not in got
+
+
+def test_percentiles_by_nearest_rank(spark):
+    import math
+    import random
+
+    from kbspark.operators import evaluation
+
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, *range(40)]) if g else None) for g in (0, 1, 1, 1, 2, 2, 3, None) for _ in range(rng.randint(1, 60))]
+    got = evaluation.percentile_nearest_rank(spark.createDataFrame(rows, "g int, v int"), ["g"], "v").collect()
+    assert {r.g for r in got} == {g for g, _ in rows}
+    for r in got:
+        values = sorted(v for g, v in rows if g == r.g and v is not None)
+        want = [values[max(1, math.ceil(p * len(values) - 1e-9)) - 1] if values else None for p in (0.5, 0.95, 0.99)]
+        assert (r.n, [r.p50, r.p95, r.p99]) == (sum(g == r.g for g, _ in rows), want)
+    assert evaluation.percentile_nearest_rank(spark.createDataFrame([], "g int, v int"), ["g"], "v").count() == 0
