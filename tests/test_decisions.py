@@ -363,6 +363,26 @@ def test_index_reads_the_asked_buckets_and_takes_appends(spark, tmp_path):
     assert got() == want
 
 
+def test_search_legs_shuffle_no_tokens(spark):
+    import math
+    import re
+
+    texts = ["a b a", "", None, "B_c  b\tc", "É é x1", "zz", "a b a", *[" ".join(f"w{(i * j) % 23}" for j in range(i % 11)) for i in range(1200)]]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    queries = spark.createDataFrame([(0, "A b"), (1, "é w3 w5 w5"), (2, None), (3, "none at all"), (4, "w0")], "query_id long, text string")
+    split = [[w for w in re.split(r"[\W_]+", (t or "").lower()) if w] for t in texts]
+    mean, want = sum(map(len, split)) / len(split), []
+    for q, asked in enumerate([{"a", "b"}, {"é", "w3", "w5"}, set(), {"none", "at", "all"}, {"w0"}]):
+        idf = {w: math.log(1 + (len(split) - n + 0.5) / (n + 0.5)) for w in asked if (n := sum(w in s for s in split))}
+        scores = [(i, round(sum(v * s.count(w) * 2.2 / (s.count(w) + 1.2 * (0.25 + 0.75 * len(s) / mean)) for w, v in idf.items()), 6)) for i, s in enumerate(split) if set(s) & asked]
+        want += [(q, i, s, r + 1) for r, (i, s) in enumerate(sorted(scores, key=lambda x: (-x[1], x[0]))[:20])]
+    got = retrieval.bm25_topk(queries, chunks)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 40
+    for made in (retrieval.hash_embed(chunks, "chunk_id"), retrieval.hash_embed_small(chunks, "chunk_id")):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert "chunk_id" not in " ".join(re.findall(r"Exchange hashpartitioning\((.*?)\)", got._jdf.queryExecution().executedPlan().toString()))
+
+
 def test_dense_search_against_all_pairs(spark):
     import numpy as np
 
