@@ -383,6 +383,15 @@ def test_search_legs_shuffle_no_tokens(spark):
     assert "chunk_id" not in " ".join(re.findall(r"Exchange hashpartitioning\((.*?)\)", got._jdf.queryExecution().executedPlan().toString()))
 
 
+def test_containing_against_all_pairs_without_shuffle(spark):
+    long = "one two three four five six seven eight nine"
+    texts = [f"x{long}y z", long, f"{long} {long}", long.replace("six", "sex"), "one  two", None, "", "one two three four", *[f"{i} {long}" for i in range(1100)]]
+    items = [long, long[1:-1], "two", "", None, "four five", "one two three four five six seven nine", "a b c d e f g h"]
+    found = evaluation.containing(spark.createDataFrame(list(enumerate(items)), "query_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((q, c) for q, a in enumerate(items) for c, t in enumerate(texts) if a is not None and t is not None and a in t)
+    assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dense_search_against_all_pairs(spark):
     import numpy as np
 
