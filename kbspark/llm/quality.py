@@ -17,11 +17,10 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 #: Documents whose mean log ratio an n-gram (nats) is below the threshold are rejected. It is fitted on labels held out of the
 #: target; this one serves where these have fewer than FEWEST documents of a class.
 THRESHOLD = -0.14
-#: One label in HELD is held out of the target, and of each class the MOST of least hash are used; a trusted document lost weighs as
-#: much as LOST others kept.
-HELD, MOST, FEWEST, LOST = 5, 4000, 20, 10
-#: Labelled documents that make the target, at most: a bounded sample of the labels; the corpus is counted whole.
-TRUSTED = 20_000
+#: One label in HELD is held out of the target; a trusted document lost weighs as much as LOST others kept.
+HELD, FEWEST, LOST = 5, 20, 10
+#: Ratios are sorted in ranges of 1 / RANGES, so that no task sorts them all; they lie within some 30 of zero.
+RANGES = 1024
 
 
 def _let(value: Column, body) -> Column:
@@ -92,13 +91,11 @@ def ngram_buckets(words: Column) -> Column:
 def fit(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row: the log ratio of target and corpus for each bucket, as an array of 2^BITS numbers.
 
-    docs has doc_id and text, trusted the doc_ids of the target, of which the TRUSTED of least hash are used: so many
-    ids at most are broadcast, and no text is shuffled. Each n-gram of every document is counted, combined by bucket
-    before the shuffle. Both multinomials are smoothed with one count a bucket. With no trusted document all
+    docs has doc_id and text, trusted the doc_ids of the target, all of which are used. Each n-gram of every document is counted,
+    combined by bucket before the shuffle. Texts are shuffled to meet the ids where Spark doesn't find these small enough to send around. Both multinomials are smoothed with one count a bucket. With no trusted document all
     ratios are those of two equal models: zero.
     """
-    chosen = trusted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
-    marked = docs.join(F.broadcast(chosen.withColumn("_target", F.lit(1))), "doc_id", "left")
+    marked = docs.join(trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("_target", F.lit(1)), "doc_id", "left")
     grams = marked.select(F.explode(ngram_buckets(common.words(F.col("text")))).alias("bucket"), F.coalesce("_target", F.lit(0)).alias("t"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     full = docs.sparkSession.range(1 << BITS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
@@ -129,23 +126,29 @@ def fit_threshold(docs: DataFrame, labels: DataFrame, model: DataFrame) -> DataF
     ratio, that loses the fewest trusted documents and keeps the fewest of quality 0, as weighed by LOST (ties: the least
     cut), and both shares. THRESHOLD and nulls where a class has fewer than FEWEST documents.
 
-    Only documents that pass the base rule count, a doc_id once with its least ratio. At most MOST ids of a class are broadcast
-    and at most as many ratios sorted, whatever the data.
+    Only documents that pass the base rule count, a doc_id once with its least ratio. All held-out labels count; documents that may
+    have one are judged before they meet the labels, so that no text is shuffled. Ratios are sorted in ranges, and what lies
+    below a range is summed over ranges, whose number is bounded.
     """
     known = labels.where(is_held(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min(F.when(F.col("quality") == 1, F.when(F.coalesce("toxic", F.lit(0)) == 0, 1)).when(F.col("quality") == 0, 0)).alias("_good")
+    ).where("_good is not null")
+    asked = with_llr(base_counts(docs.select("doc_id", "text").where(is_held(F.col("doc_id")))), model)
+    # The base rule is asked inside the aggregate: as a filter Spark would move it below and count every document once more.
+    least = asked.groupBy("doc_id").agg(F.min(F.when(~base_failed(), F.col("llr"))).alias("llr")).where("llr is not null")
+    at = least.join(known, "doc_id").groupBy("llr").agg(F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad")).withColumn("_range", F.floor(F.col("llr") * RANGES))
+    ranges = at.groupBy("_range").agg(F.sum("good").alias("_g"), F.sum("bad").alias("_b"), F.max("llr").alias("_last"))
+    order, every = Window.orderBy("_range"), Window.partitionBy()  # a row a range
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        "_range", F.lag("_last").over(order).alias("_last"), F.coalesce(F.sum("_g").over(earlier), F.lit(0)).alias("_g"), F.coalesce(F.sum("_b").over(earlier), F.lit(0)).alias("_b"),
+        F.sum("_g").over(every).alias("n_good"), F.sum("_b").over(every).alias("n_bad"),
     )
-    chosen = [known.where(F.col("_good") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST) for g in (0, 1)]
-    asked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-    # The base rule is asked inside the aggregate: as a filter Spark would move it below the join and count every document.
-    judged = with_llr(base_counts(asked), model).groupBy("doc_id", "_good").agg(F.min(F.when(~base_failed(), F.col("llr"))).alias("llr"))
-    at = judged.where("llr is not null").groupBy("llr").agg(F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad"))
-    before = Window.orderBy("llr")  # at most 2 * MOST rows
-    below, every = before.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    cuts = at.select(
-        F.coalesce((F.lag("llr").over(before) + F.col("llr")) / 2, "llr").alias("threshold"),
-        F.coalesce(F.sum("good").over(below), F.lit(0)).alias("lost"), (F.sum("bad").over(every) - F.coalesce(F.sum("bad").over(below), F.lit(0))).alias("passed"),
-        F.sum("good").over(every).alias("n_good"), F.sum("bad").over(every).alias("n_bad"),
+    before = Window.partitionBy("_range").orderBy("llr")
+    below = before.rowsBetween(Window.unboundedPreceding, -1)
+    cuts = at.join(ranges, "_range").select(
+        F.coalesce((F.coalesce(F.lag("llr").over(before), "_last") + F.col("llr")) / 2, "llr").alias("threshold"),
+        (F.col("_g") + F.coalesce(F.sum("good").over(below), F.lit(0))).alias("lost"), (F.col("n_bad") - F.col("_b") - F.coalesce(F.sum("bad").over(below), F.lit(0))).alias("passed"), "n_good", "n_bad",
     )
     cuts = cuts.where((F.col("n_good") >= FEWEST) & (F.col("n_bad") >= FEWEST)).withColumns({"lost": F.col("lost") / F.col("n_good"), "passed": F.col("passed") / F.col("n_bad")})
     best = cuts.agg(F.min(F.struct((LOST * F.col("lost") + F.col("passed")).alias("cost"), "threshold", "lost", "passed")).alias("b"))

@@ -111,6 +111,20 @@ def test_quality_ratio_and_threshold(spark, tmp_path):
     assert quality.fit_threshold(docs, labels.limit(0), common.materialize(model, "llr")).first().threshold == quality.THRESHOLD
 
 
+def test_quality_counts_all_labels(spark):
+    """More trusted documents than 20,000 all make the target, and more held-out ones than 4,000 of a class the threshold."""
+    many = spark.range(20_100).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    assert set(quality.fit(many, many.select("doc_id")).first().ratios) == {0.0}
+    ids = spark.range(45_000).select(F.col("id").alias("doc_id")).where(quality.is_held(F.col("doc_id"))).orderBy("doc_id").limit(8200).toPandas().doc_id.tolist()
+    said = {kind: " ".join(f"{kind}{i}" for i in range(60)) for kind in "gb"}
+    labels = spark.createDataFrame([(i, n % 2, 0) for n, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    texts = [(i, said["g" if n % 2 or n < 14 else "b"]) for n, i in enumerate(ids)] + [(-1, said["g"])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = common.materialize(quality.fit(docs, docs.where("doc_id = -1")), "llr")
+    best = quality.fit_threshold(docs, labels, model).first()
+    assert (best.lost, best.passed) == (0.0, 7 / 4100)
+
+
 def quality_failed(text) -> bool:
     w = WORD.findall(text or "")
     three = Counter(zip(w, w[1:], w[2:]))
