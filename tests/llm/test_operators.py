@@ -551,3 +551,27 @@ def test_chaining_links_of_like_surroundings(spark, length, replaced):
     groups, _ = _groups(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string"))
     assert sum(groups[2 * k] == groups[2 * k + 1] == 2 * k for k in range(20)) >= 18
     assert all(groups[i] in (i, i - i % 2) for i in groups)
+
+
+def test_passages_of_short_equal_runs(spark):
+    """Planted pairs whose equal runs are short: every 12th or 8th of 120 words replaced, or a random tenth of 60."""
+    import random
+
+    from kbspark.llm import chaining
+
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, kinds = [], ("12th", "8th", "tenth")
+    for i in range(90):
+        own = words(60 if i % 3 == 2 else 120)
+        lost = lambda j: rng.random() < 0.1 if i % 3 == 2 else j % (12, 8)[i % 3] == 0
+        other = [words(1)[0] if lost(j + 1) else w for j, w in enumerate(own)]
+        rows += [(2 * i + k, " ".join(words(60) + part + words(60))) for k, part in enumerate((own, other))]
+    classes, found = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    group = {r.doc_id: r.group_id for r in classes.collect()}
+    linked = {kind: sum(group[2 * i + 1] == 2 * i for i in range(90) if kinds[i % 3] == kind) for kind in kinds}
+    assert all(g // 2 == d // 2 for d, g in group.items())
+    assert linked["12th"] == 30 and linked["8th"] >= 27 and linked["tenth"] >= 26, linked
+    listed = [tuple(r) for r in found.collect()]
+    assert len(listed) == len(set(listed))
+    assert all(r[6] >= 0.8 and min(r[2] - r[1], r[5] - r[4]) >= 50 for r in listed)
