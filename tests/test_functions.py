@@ -194,3 +194,16 @@ def test_snapshot_revision_tells_rows_but_not_their_order(spark):
 def test_join_wrapped_lines(spark):
     values = ["one\ntwo\n\nthree\n\n\nfour\nfive", "", None, "alone"]
     assert column(spark, values, T.join_wrapped_lines) == ["one two\n\nthree\n\nfour five", "", None, "alone"]
+
+
+def test_ngram_candidates_shuffle_no_row_for_each_gram(spark):
+    """Runs of any length, characters beyond 16 bits and more texts than a pack, against plain sets; nothing explodes."""
+    from kbspark.operators import evaluation
+
+    items, chunks = [(1, "ab\U0001f600cdé"), (2, "xyzxyz"), (3, None), (4, "ab")], [(i, ["ab\U0001f600c", "zxyzx", None, "a", "b\U0001f600cd" * 3][i % 5]) for i in range(1500)]
+    for n in (1, 3, 4, 5):
+        made = evaluation.ngram_candidates(spark.createDataFrame(items, "item_id int, expected string"), spark.createDataFrame(chunks, "doc_id int, text string"), 0.2, n)
+        assert "Generate" not in made._jdf.queryExecution().toString()
+        runs = lambda t: {t[i : i + n] for i in range(len(t or "") - n + 1)}  # noqa: B023, E731
+        want = {(i, d): len(runs(e) & runs(t)) / len(runs(e)) for i, e in items if runs(e) for d, t in chunks if len(runs(e) & runs(t)) >= 0.2 * len(runs(e))}
+        assert {(r.item_id, r.doc_id): r.recall for r in made.collect()} == want
