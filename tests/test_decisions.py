@@ -139,6 +139,21 @@ def test_labels_recall_is_that_of_grams(spark):
     assert dict(got) == {i: pytest.approx(brute(*p)) for i, p in enumerate(pairs)}
 
 
+def test_labels_make_grams_once_for_each_text(spark):
+    """What labels score in Python is what `recall` says, and the plan has no search for each gram."""
+    import random
+
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("ab\U0001f600") for _ in range(r.randrange(n)))
+    questions, chunks = [(i, text(9), text(9), text(12), "a.md", None, None) for i in range(40)], [(f"c{i}", i, 0, "a.md", None, None, text(30)) for i in range(1)]
+    made = labelling.label_questions(spark.createDataFrame(questions, QA), spark.createDataFrame(chunks, CHUNK))
+    assert "_grams" not in made._jdf.queryExecution().analyzed().toString()
+    e, g, t = F.col("e"), F.col("g"), F.lit(chunks[0][6])
+    for c, at in (("question", 1), ("answer", 2), ("evidence", 3)):
+        said = spark.createDataFrame([(q[0], q[at]) for q in questions], "i int, e string").withColumn("g", labelling.wanted_grams(e)).withColumn("r", labelling.recall(e, g, t))
+        assert rows(made, "question_id", f"{c}_score") == rows(said, "i", "r")
+
+
 def test_containing_texts(spark):
     item = "one two three four five six seven eight nine"
     items = spark.createDataFrame([(1, item), (2, "short one"), (3, item + " ten"), (4, None)], "query_id int, text string")
