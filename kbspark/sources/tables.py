@@ -8,9 +8,10 @@ import io
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import pages as P
 from ..functions.text import collapse
@@ -24,18 +25,24 @@ _ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
 _ROWS = ArrayType(ArrayType(StringType()))
 
 
-def delimited_rows(delimiter: str = ","):
-    """A function of a text column: the rows of a delimited text as arrays of trimmed cells, without rows that are empty."""
+#: Texts whose cells a worker holds at once.
+AT_ONCE = 128
 
-    @F.pandas_udf(_ROWS)
-    def parse(texts: pd.Series) -> pd.Series:
-        def rows(text):
-            cells = ([c.strip() for c in row] for row in csv.reader(io.StringIO(text or "", newline=""), delimiter=delimiter))
-            return [row for row in cells if any(row)]
 
-        return texts.map(rows)
+def _parsed(at: int, delimiter: str):
+    """Batches with a column more: the rows of the delimited text in column `at` as arrays of trimmed cells, without rows that are
+    empty, AT_ONCE texts at a time."""
 
-    return parse
+    def rows(text):
+        cells = ([c.strip() for c in row] for row in csv.reader(io.StringIO(text or "", newline=""), delimiter=delimiter))
+        return [row for row in cells if any(row)]
+
+    def run(batches):
+        for few in (batch.slice(i, AT_ONCE) for batch in batches for i in range(0, batch.num_rows, AT_ONCE)):
+            made = pa.array([rows(text) for text in few.column(at).to_pylist()], pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([*few.columns, made], [*few.schema.names, "_rows"])
+
+    return run
 
 
 def delimited_table(files: DataFrame, delimiter: str = ",") -> DataFrame:
@@ -46,7 +53,7 @@ def delimited_table(files: DataFrame, delimiter: str = ",") -> DataFrame:
     """
     title = F.regexp_replace(F.regexp_extract("path", r"([^/]*)/*$", 1), r"(?<=.)\.[^.]+$", "")
     none = F.array().cast("array<string>")
-    made = files.withColumns({"title": title, "_rows": delimited_rows(delimiter)("text")})
+    made = files.mapInArrow(_parsed(files.columns.index("text"), delimiter), StructType([*files.schema, StructField("_rows", _ROWS)])).withColumn("title", title)
     made = made.withColumns({"headers": F.coalesce(F.get("_rows", F.lit(0)), none), "rows": F.slice("_rows", 2, F.greatest(F.size("_rows"), F.lit(1)))}).drop("_rows")
     return made.withColumn("markdown", P.markdown_table(F.col("title"), F.col("headers"), F.col("rows")))
 

@@ -245,6 +245,17 @@ def test_html_tables_golden(spark):
     assert tables.fill_grid([[("a", 3, 1), ("b", 1, 1)], [], [("c", 1, 2)]]) == [["a", "b"], ["a"], ["a", "c", "c"]] and tables.fill_grid([]) == []
 
 
+def test_delimited_texts_are_parsed_a_few_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"path": [f"/{i}" for i in range(1000)], "text": [f"a,b\n{i},\n" if i % 3 else None for i in range(1000)]})
+    made = list(tables._parsed(1, ",")([batch]))
+    assert max(b.num_rows for b in made) <= tables.AT_ONCE < 1000
+    got = pa.Table.from_batches(made).to_pydict()
+    assert got["path"] == [f"/{i}" for i in range(1000)]
+    assert got["_rows"] == [[["a", "b"], [str(i), ""]] if i % 3 else [] for i in range(1000)]
+
+
 def test_delimited_tables(spark):
     got = tables.delimited_table(spark.createDataFrame([("/x/my.file.csv", '\n , \n a,"b, ""c"""\n1\n2,3,4\n'), ("/x/empty", None)], "path string, text string"))
     assert rows(got, "title", "headers", "rows", "markdown") == [
