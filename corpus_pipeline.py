@@ -15,8 +15,9 @@ def _whole(docs: DataFrame, *columns) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio. Null texts have no words and go."""
-    judged = quality.judge(_whole(docs, "doc_id", "text"), common.table(spark, sf_dir, "labels"))
-    return judged.where("kept").select("_doc.*")
+    labels = common.table(spark, sf_dir, "labels")
+    scored = quality.score(_whole(docs, "doc_id", "text"), labels).drop("text")  # _doc has it
+    return quality.decide(common.materialize(scored, "scored"), labels).where("kept").select("_doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

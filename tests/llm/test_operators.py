@@ -575,3 +575,37 @@ def test_passages_of_short_equal_runs(spark):
     listed = [tuple(r) for r in found.collect()]
     assert len(listed) == len(set(listed))
     assert all(r[6] >= 0.8 and min(r[2] - r[1], r[5] - r[4]) >= 50 for r in listed)
+
+
+@pytest.mark.parametrize("places", [(1 << 24) - 1, 63, (1 << 62) - 1])
+def test_repeated_words_whatever_hashes_share(spark, monkeypatch, places):
+    """Texts longer than places are sorted by whole hash; with few upper bits left all windows share them."""
+    monkeypatch.setattr(quality, "PLACES", places)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefghij") for _ in range(n))) for i, n in enumerate([0, 1, 2, 3, 4, 12, 40, 41, 42, 43, 300])]
+    rows += [(99, " ".join(f"w{i}" for i in range(60))), (100, "x y z x y z"), (101, "a * b\n*#\n\n a $ \U0001f600"), (102, None)]
+    got = {r.doc_id: r for r in quality.base_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        w = (text or "").split()
+        windows = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
+        again = {k for j, x in enumerate(windows) if windows.count(x) > 1 for k in range(j, j + 3)}
+        assert (got[i].n_repeat_words, got[i].word_chars, got[i].n_symbols) == (len(again), sum(map(len, w)), sum(c in quality.SYMBOLS for c in text or ""))
+
+
+@pytest.mark.parametrize("bits", [24, 6])
+def test_fit_shuffles_texts_that_may_be_trusted_alone(spark, monkeypatch, bits):
+    """The map has the bits of all trusted ids, also where all ids share 64 bits, and the ratios are those of plain counts."""
+    monkeypatch.setattr(quality, "MAP", bits)
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} x") for i in range(300)] + [(None, "null id"), (3, "again"), (4, None)], "doc_id long, text string")
+    trusted = spark.createDataFrame([(i,) for i in (3, 3, 8, 250, 999, None)], "doc_id int")
+    n = sum(bin(x & (2**64 - 1)).count("1") for x in quality.id_map(trusted.where("doc_id is not null")).first()["map"])
+    assert 1 <= n <= 4 and (bits == 6 or n == 4)
+    grams = docs.select("doc_id", quality.ngram_buckets(common.words(F.col("text"))).alias("b")).collect()
+    raw, target = Counter(), Counter()
+    for r in grams:
+        raw.update(r.b or [])
+        target.update(r.b if r.doc_id in (3, 8, 250) else [])
+    size = 1 << quality.BITS
+    want = lambda b: math.log((target[b] + 1) / (sum(target.values()) + size)) - math.log((raw[b] + 1) / (sum(raw.values()) + size))
+    got = quality.fit(docs, trusted).first().ratios
+    assert all(math.isclose(got[b], want(b), rel_tol=1e-9) for b in range(0, size, 97)) and all(math.isclose(got[b], want(b), rel_tol=1e-9) for b in raw)
