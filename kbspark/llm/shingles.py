@@ -74,7 +74,23 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _sets(width: int):
+#: Bits of the map of the nodes whose sets are asked for (4 MB, whatever the data).
+MARKS = 25
+
+
+def marked_nodes(nodes: DataFrame) -> np.ndarray:
+    """The map of bits of the nodes (node): of fixed size, so other nodes may have theirs set too."""
+    slot = F.col("node").bitwiseAND(F.lit((1 << MARKS) - 1))
+    pages = nodes.groupBy(F.shiftright(slot, 15).alias("page")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767).cast("long"))).alias("map"))
+    out = np.zeros(max(1 << MARKS, 1 << 15) >> 3, np.uint8)
+    for r in pages.toLocalIterator():
+        out[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["map"], np.uint8)
+    return out
+
+
+def _sets(width: int, asked: np.ndarray | None = None):
+    """Sets of the texts of a partition, each once; with asked, a map of bits, only those whose node has its bit."""
+
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -83,7 +99,8 @@ def _sets(width: int):
                 for text in batch.column(0).slice(i, 500).cast(pa.large_binary()).to_pylist():
                     kinds = np.unique(shingle_hashes(text or b"", width))
                     node = xxhash.xxh3_64_intdigest(kinds.tobytes())
-                    if len(kinds) and node not in seen:
+                    slot = node & ((1 << MARKS) - 1)
+                    if len(kinds) and node not in seen and (asked is None or asked[slot >> 3] >> (slot & 7) & 1):
                         seen.add(node)
                         rows.append((node, kinds.view(np.int64)))
                 node = np.array([r[0] for r in rows], np.uint64).view(np.int64)
@@ -93,9 +110,9 @@ def _sets(width: int):
     return run
 
 
-def sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, n, shingles) of the texts that have words; equal texts of a partition once."""
-    return docs.select("text").mapInArrow(_sets(width), "node long, n int, shingles array<long>")
+def sets(docs: DataFrame, width: int, asked: np.ndarray | None = None) -> DataFrame:
+    """(node, n, shingles) of the texts that have words (with asked, a map of bits: and a bit in it); equal texts of a partition once."""
+    return docs.select("text").mapInArrow(_sets(width, asked), "node long, n int, shingles array<long>")
 
 
 def prefixes(docs: DataFrame, width: int, least: float, known: np.ndarray, seen: np.ndarray) -> DataFrame:
@@ -128,9 +145,9 @@ def prefixes(docs: DataFrame, width: int, least: float, known: np.ndarray, seen:
 def verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (src, dst) of nodes of docs (text) whose similarity is `least` at least, by their whole sets.
 
-    Only sets of the pairs' nodes are shuffled, where Spark finds the table of these nodes small enough to broadcast."""
-    used = common.materialize(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "used")
-    made = sets(docs, width).join(used, "node", "left_semi").dropDuplicates(["node"])
+    Only sets whose node has its bit in the map of the pairs' nodes leave the worker that makes them."""
+    used = common.materialize(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct(), "used")
+    made = sets(docs, width, marked_nodes(used)).join(used, "node", "left_semi").dropDuplicates(["node"])
     a, b = (made.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}")) for c in ("src", "dst"))
     both = pairs.join(a, "src").join(b, "dst").withColumn("common", F.size(F.array_intersect("s_src", "s_dst")))
     return both.where(F.col("common") / (F.col("n_src") + F.col("n_dst") - F.col("common")) >= least).select("src", "dst")

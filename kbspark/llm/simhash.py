@@ -182,10 +182,10 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
     Documents are linked if the Jaccard similarity of their sets of `width`-word shingles is `least` or more; component_id
     is the least doc_id that can be reached over links. Equal sets, so also all texts without words, are one node.
 
-    Fingerprints within `distance` bits propose pairs, which are verified by the whole sets. A pair at the bound may
+    Fingerprints within `distance` bits propose a pair a node at most, which are verified by the whole sets. A pair at the bound may
     differ in a fifth of the bits, further than anchors reach, so the rest has an exact way: two sets of that similarity
-    share a shingle among the rarest fifth of each, and there all nodes are compared with the least, and then, where
-    components still differ, with the greatest and at last with each other, unless the places of
+    share a shingle among the rarest fifth of each. There each node is compared with one, the least that it meets anywhere, and then, where
+    components still differ, all nodes with the least at their shingle, with the greatest and at last with each other, unless the places of
     that shingle leave too little to share, or the parities of the sets differ in too many bits. The order of rarity puts the shingles that are frequent in a sample of
     `sample` texts last, which spares pairs and changes no result. Null doc_ids keep their row; other columns are not read.
     """
@@ -197,6 +197,8 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
     ends = [of_fp.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in ("src", "dst")]
     proposed = near.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
     proposed = proposed.union(nodes.join(of_fp, "fp").where("node <> first").select("first", "node"))
+    # Of each node the pair with the least: what that leaves out meets at shingles, below.
+    proposed = proposed.groupBy(F.greatest("src", "dst").alias("dst")).agg(F.min(F.least("src", "dst")).alias("src")).select("src", "dst")
 
     texts = docs.select("text")
     every = max(1, marked.count() // sample)
@@ -207,17 +209,17 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
     held = common.materialize(held.join(shared.select("shingle", "low"), "shingle").distinct(), "held")
     fits = lambda a, b: (F.col(a) >= F.lit(least - 1e-9) * F.col(b)) & (F.col(b) >= F.lit(least - 1e-9) * F.col(a))
     size = nodes.select(F.col("node").alias("low"), F.col("n").alias("n_low"))
-    first = held.where("node > low").select("low", "node", "n").distinct().join(size, "low").where(fits("n", "n_low")).select("low", "node")
+    first = held.where("node > low").select("low", "node", "n").join(size, "low").where(fits("n", "n_low")).groupBy("node").agg(F.min("low").alias("low")).select("low", "node")
     pairs = proposed.union(first).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src < dst").distinct()
     pairs = common.materialize(pairs, "pairs")
     found = common.materialize(shingles.verified(pairs, texts, width, least), "links")
 
-    # Where components still differ: all nodes with the greatest at their shingle, then all with each other.
-    for step in ("greatest", "all"):
+    # Where components still differ: all nodes with the least at their shingle, with the greatest, then all with each other.
+    for step in ("least", "greatest", "all"):
         parts = common.connected_components(found)
         placed = held.select("shingle", "node", "n", "pos").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         placed = common.materialize(placed, "placed")
-        mixed = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("node").alias("hub")).where("a < b").select("shingle", "hub")
+        mixed = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"), (F.min("node") if step == "least" else F.max("node")).alias("hub")).where("a < b").select("shingle", "hub")
         left = placed.join(mixed, "shingle").join(nodes.select("node", *shingles.PARITIES), "node")
         right = left if step == "all" else left.where("node = hub")
         right = right.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("part"), F.col("pos").alias("at"), *[F.col(p).alias(f"other_{p}") for p in shingles.PARITIES])
@@ -225,10 +227,12 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
         most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
         enough = most * (1 + least) + F.lit(1e-6) >= F.lit(least) * (F.col("n") + F.col("m"))
         enough &= shingles.may_reach(least, F.col("n"), F.col("m"), shingles.PARITIES, [f"other_{p}" for p in shingles.PARITIES])
-        apart = (F.col("node") < F.col("other")) & (F.col("component") != F.col("part"))
+        apart = (F.col("node") < F.col("other") if step == "all" else F.col("node") != F.col("other")) & (F.col("component") != F.col("part"))
         rest = left.join(right.hint("merge"), "shingle").where(apart & fits("n", "m") & enough)
-        rest = rest.select(F.col("node").alias("src"), F.col("other").alias("dst")).distinct().join(pairs, ["src", "dst"], "left_anti")
+        rest = rest.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct().join(pairs, ["src", "dst"], "left_anti")
         rest = common.materialize(rest, "rest")
+        if rest.isEmpty():
+            continue
         found = found.union(common.materialize(shingles.verified(rest, texts, width, least), "more"))
         pairs = pairs.union(rest)
     parts = common.connected_components(found).withColumnRenamed("component", "root")

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from kbspark.llm import shingles
+from kbspark.llm import shingles, simhash
 from pyspark.sql import functions as F
 
 
@@ -93,3 +93,25 @@ def test_parities_leave_no_similar_pair_out(spark):
     table = spark.createDataFrame(rows, "similar boolean, n int, m int, " + ", ".join(f"{c} long" for c in ours + others))
     got = table.groupBy("similar").agg(F.min(shingles.may_reach(0.8, F.col("n"), F.col("m"), ours, others).cast("int")).alias("least")).collect()
     assert {r.similar: r.least for r in got} == {True: 1, False: 0}
+
+
+def test_pairs_of_a_group_of_near_copies_are_few(spark, monkeypatch):
+    """A group of near copies proposes a few pairs a member, and sets that nobody asks for stay in their worker."""
+    rng, checked, made = random.Random(11), [], []
+    base = [f"w{i}" for i in range(300)]
+
+    def text(i):
+        words = list(base)
+        for at in rng.sample(range(300), 2):
+            words[at] = f"{words[at]}x{rng.randrange(3)}"
+        return " ".join(words)
+
+    verified, sets = shingles.verified, shingles.sets
+    monkeypatch.setattr(shingles, "verified", lambda pairs, *a: checked.append(pairs.count()) or verified(pairs, *a))
+    monkeypatch.setattr(shingles, "sets", lambda docs, width, *asked: made.append(sets(docs, width, *asked).count() if asked else 0) or sets(docs, width, *asked))
+    n = 200
+    rows = [(i, text(i)) for i in range(n)] + [(1000 + i, " ".join(f"v{i}_{j}" for j in range(80))) for i in range(50)]
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got if r.doc_id < 1000} == {0} and all(r.doc_id == r.component_id for r in got if r.doc_id >= 1000)
+    assert made and max(made) <= n + 5, made  # of the other 50 texts next to none
+    assert sum(checked) <= 6 * n, checked
