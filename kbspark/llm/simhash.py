@@ -189,9 +189,14 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
     that shingle leave too little to share, or the parities of the sets differ in too many bits. The order of rarity puts the shingles that are frequent in a sample of
     `sample` texts last, which spares pairs and changes no result. Null doc_ids keep their row; other columns are not read.
     """
-    marked = common.materialize(shingles.marks(docs, width), "marked")
-    nodes = marked.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), *[F.min(p).alias(p) for p in shingles.PARITIES])
-    nodes = common.materialize(nodes, "nodes")
+    texts = docs.select("text")
+    every = max(1, docs.count() // sample)
+    drawn = shingles.sets(texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0), width).select(F.explode("shingles").alias("shingle"))
+    drawn = drawn.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(200_000).toPandas().sort_values("shingle")
+    marked = common.materialize(shingles.marks(docs, width, least, drawn["shingle"].to_numpy(np.int64), drawn["count"].to_numpy(np.int64)), "marked")
+    # Equal sets have equal values; of their texts that of least hash stands for the node.
+    alike = [F.min(c).alias(c) for c in ("n", "fp", *shingles.PARITIES, "wide", "t")]
+    nodes = common.materialize(marked.where("n > 0").groupBy("node").agg(*alike), "nodes")
     of_fp = common.materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fps")
     near = links(of_fp, distance)
     ends = [of_fp.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in ("src", "dst")]
@@ -200,19 +205,16 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
     # Of each node the pair with the least: what that leaves out meets at shingles, below.
     proposed = proposed.groupBy(F.greatest("src", "dst").alias("dst")).agg(F.min(F.least("src", "dst")).alias("src")).select("src", "dst")
 
-    texts = docs.select("text")
-    every = max(1, marked.count() // sample)
-    drawn = shingles.sets(texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0), width).select(F.explode("shingles").alias("shingle"))
-    drawn = drawn.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(200_000).toPandas().sort_values("shingle")
-    held = shingles.prefixes(texts, width, least, drawn["shingle"].to_numpy(np.int64), drawn["count"].to_numpy(np.int64))
+    held = marked.where("rare IS NOT NULL").select("node", "n", F.posexplode("rare").alias("pos", "shingle")).select("shingle", "node", "n", "pos")
     shared = held.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     held = common.materialize(held.join(shared.select("shingle", "low"), "shingle").distinct(), "held")
+    common.release(docs.sparkSession)
     fits = lambda a, b: (F.col(a) >= F.lit(least - 1e-9) * F.col(b)) & (F.col(b) >= F.lit(least - 1e-9) * F.col(a))
     size = nodes.select(F.col("node").alias("low"), F.col("n").alias("n_low"))
     first = held.where("node > low").select("low", "node", "n").join(size, "low").where(fits("n", "n_low")).groupBy("node").agg(F.min("low").alias("low")).select("low", "node")
     pairs = proposed.union(first).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src < dst").distinct()
     pairs = common.materialize(pairs, "pairs")
-    found = common.materialize(shingles.verified(pairs, texts, width, least), "links")
+    found = common.materialize(shingles.verified(pairs, nodes, texts, width, least), "links")
 
     # Where components still differ: all nodes with the least at their shingle, with the greatest, then all with each other.
     for step in ("least", "greatest", "all"):
@@ -233,8 +235,9 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
         rest = common.materialize(rest, "rest")
         if rest.isEmpty():
             continue
-        found = found.union(common.materialize(shingles.verified(rest, texts, width, least), "more"))
+        found = found.union(common.materialize(shingles.verified(rest, nodes, texts, width, least), "more"))
         pairs = pairs.union(rest)
+        common.release(docs.sparkSession)
     parts = common.connected_components(found).withColumnRenamed("component", "root")
     ids = marked.groupBy("node").agg(F.min("doc_id").alias("least")).join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = common.materialize(ids, "ids")

@@ -115,3 +115,35 @@ def test_pairs_of_a_group_of_near_copies_are_few(spark, monkeypatch):
     assert {r.component_id for r in got if r.doc_id < 1000} == {0} and all(r.doc_id == r.component_id for r in got if r.doc_id >= 1000)
     assert made and max(made) <= n + 5, made  # of the other 50 texts next to none
     assert sum(checked) <= 6 * n, checked
+
+
+def test_wide_parities_leave_no_similar_pair_out(spark):
+    """Of sets on both sides of a bound of their lists' length too; of unlike long sets next to none is left open."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for size in (60, 1040, 1100, 2000, 4050):
+        for share in (0.3, 0.6, 0.8, 0.85, 0.95, 1.0):
+            for _ in range(4):
+                common, a, b = (rng.integers(0, 1 << 63, int(n)).astype(np.uint64) for n in (size * share, size * (1 - share), size * (1 - share)))
+                x, y = np.union1d(common, a), np.union1d(common, b[: len(b) // 2])
+                both = len(np.intersect1d(x, y))
+                similar = both >= 0.8 * (len(x) + len(y) - both)
+                rows.append((similar, share, len(x), len(y), *(shingles.parities(s, shingles.wide_longs(len(s))).view(np.int64).tolist() for s in (x, y))))
+    assert any(len(r[4]) != len(r[5]) for r in rows if r[0])
+    table = spark.createDataFrame(rows, "similar boolean, share double, n int, m int, x array<long>, y array<long>")
+    got = table.withColumn("open", shingles.may_reach_wide(0.8, F.col("n"), F.col("m"), F.col("x"), F.col("y"))).collect()
+    assert all(r.open for r in got if r.similar) and not any(r.open for r in got if r.share <= 0.6)
+
+
+def test_few_sets_are_made_of_long_texts_that_share_a_part(spark, monkeypatch):
+    """Long texts with the same beginning and 2,000 words of their own are told apart before their sets are made."""
+    rng, made = random.Random(12), []
+    part = [f"w{rng.randrange(10**9)}" for _ in range(1200)]
+    rows = [(i, " ".join(part + [f"v{rng.randrange(10**9)}" for _ in range(2000)])) for i in range(30)]
+    rows += [(100 + i, r[1] + " end") for i, r in enumerate(rows[:3])]
+    sets = shingles.sets
+    monkeypatch.setattr(shingles, "sets", lambda docs, width, *asked: made.append(sets(docs, width, *asked).count() if asked else 0) or sets(docs, width, *asked))
+    # The sample of texts, which tells what is frequent, is left empty, so that the common part counts as rare.
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), sample=1)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i % 100 for i, _ in rows}
+    assert max(made) <= 8, made
