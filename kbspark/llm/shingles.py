@@ -113,14 +113,14 @@ def marks(docs: DataFrame, width: int, least: float, known: np.ndarray, seen: np
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-#: Bits of the map of the texts whose sets are asked for (4 MB, whatever the data).
+#: Bits of a map of hashes, of texts whose sets are asked for or of shingles (4 MB, whatever the data).
 MARKS = 25
 
 
-def marked_texts(texts: DataFrame) -> np.ndarray:
-    """The map of bits of the hashes of texts (t): of fixed size, so other texts may have theirs set too."""
-    slot = F.col("t").bitwiseAND(F.lit((1 << MARKS) - 1))
-    pages = texts.groupBy(F.shiftright(slot, 15).alias("page")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767).cast("long"))).alias("map"))
+def marked_hashes(hashes: DataFrame) -> np.ndarray:
+    """The map of bits of hashes (of one column): of fixed size, so others may have theirs set too."""
+    slot = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << MARKS) - 1))
+    pages = hashes.groupBy(F.shiftright(slot, 15).alias("page")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767).cast("long"))).alias("map"))
     out = np.zeros(max(1 << MARKS, 1 << 15) >> 3, np.uint8)
     for r in pages.toLocalIterator():
         out[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["map"], np.uint8)
@@ -157,6 +157,30 @@ def sets(docs: DataFrame, width: int, asked: np.ndarray | None = None) -> DataFr
     return docs.select("text").mapInArrow(_sets(width, asked), "node long, n int, shingles array<long>")
 
 
+def met_shingles(marked: DataFrame) -> DataFrame:
+    """(shingle, node, n, pos) of the rarest shingles of marked sets, with their places in the order of rarity: all that two
+    sets hold, and those others whose bit in a map is set by such a one.
+
+    Most are of one set alone; they are counted by themselves and don't leave the worker with their set."""
+    lists = marked.where("rare IS NOT NULL").select("node", "n", "rare")
+    again = lists.select(F.explode("rare").alias("shingle")).groupBy("shingle").count().where("count > 1").select("shingle")
+    met = marked_hashes(again)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                node, n, rare = batch.slice(i, 1000).columns
+                times, flat = rare.value_lengths().to_numpy(zero_copy_only=False), rare.flatten().to_numpy()
+                slot = flat & ((1 << MARKS) - 1)
+                keep = np.flatnonzero(met[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                pos = np.arange(len(flat)) - np.repeat(np.cumsum(times) - times, times)
+                of = np.repeat(np.arange(len(node)), times)[keep]
+                columns = [flat[keep], node.to_numpy()[of], n.to_numpy()[of], pos[keep].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["shingle", "node", "n", "pos"])
+
+    return lists.mapInArrow(run, "shingle long, node long, n int, pos int")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (src, dst) of nodes (node, n, wide, t: the hash of one of its texts) of docs (text) whose similarity is `least`
     at least, by their whole sets.
@@ -170,7 +194,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, le
     pairs = common.materialize(open_.select("src", "dst"), "open")
     used = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
     used = common.materialize(used.join(nodes.select("node", "t"), "node"), "used")
-    made = sets(docs, width, marked_texts(used)).join(used, "node", "left_semi").dropDuplicates(["node"])
+    made = sets(docs, width, marked_hashes(used.select("t"))).join(used, "node", "left_semi").dropDuplicates(["node"])
     a, b = (made.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}")) for c in ("src", "dst"))
     both = pairs.join(a, "src").join(b, "dst").withColumn("common", F.size(F.array_intersect("s_src", "s_dst")))
     return both.where(F.col("common") / (F.col("n_src") + F.col("n_dst") - F.col("common")) >= least).select("src", "dst")

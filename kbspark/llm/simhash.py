@@ -205,7 +205,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
     # Of each node the pair with the least: what that leaves out meets at shingles, below.
     proposed = proposed.groupBy(F.greatest("src", "dst").alias("dst")).agg(F.min(F.least("src", "dst")).alias("src")).select("src", "dst")
 
-    held = marked.where("rare IS NOT NULL").select("node", "n", F.posexplode("rare").alias("pos", "shingle")).select("shingle", "node", "n", "pos")
+    held = shingles.met_shingles(marked)
     shared = held.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     held = common.materialize(held.join(shared.select("shingle", "low"), "shingle").distinct(), "held")
     common.release(docs.sparkSession)

@@ -147,3 +147,10 @@ def test_few_sets_are_made_of_long_texts_that_share_a_part(spark, monkeypatch):
     got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), sample=1)
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: i % 100 for i, _ in rows}
     assert max(made) <= 8, made
+
+
+def test_shingles_of_one_set_stay_in_their_worker(spark):
+    """What two sets hold comes with all its places; of the other shingles next to none."""
+    rows = [(i, 3, [i * 1000 + 1, 7, i * 1000 + 2]) for i in range(1, 40)] + [(50, 2, [60_001, 60_002]), (50, 2, None)]
+    got = shingles.met_shingles(spark.createDataFrame(rows, "node long, n int, rare array<long>").repartition(3)).collect()
+    assert sorted(tuple(r) for r in got) == [(7, i, 3, 1) for i in range(1, 40)]
