@@ -179,3 +179,16 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         history._shared(session("spark://somewhere:7077"))
     assert history._shared(session("local[4]")).startswith("file://")
+
+
+def test_new_memories_ask_for_no_timers():
+    """A memory without state has no timer to look for, and rows come and go without a pandas frame for each key."""
+    from types import SimpleNamespace
+
+    asked = []
+    handle = SimpleNamespace(getValueState=lambda *_: SimpleNamespace(get=lambda: None, update=asked.append, clear=lambda: None), registerTimer=asked.append, listTimers=lambda: asked.append("timers") or iter([]))
+    state = stateful.MemoryState()
+    state.init(handle)
+    rows = iter([SimpleNamespace(value="a", at=1_000_000, ends=5_000_000), SimpleNamespace(value="b", at=2_000_000, ends=6_000_000)])
+    got = list(state.handleInputRows((1, "fact", "k"), rows, SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    assert [tuple(r) for r in got] == [(1, "fact", "k", "b", "active", 2_000_000, 6_000_000)] and asked == [("b", 2_000_000, 6_000_000), 6000]
