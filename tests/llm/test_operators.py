@@ -609,3 +609,17 @@ def test_fit_shuffles_texts_that_may_be_trusted_alone(spark, monkeypatch, bits):
     want = lambda b: math.log((target[b] + 1) / (sum(target.values()) + size)) - math.log((raw[b] + 1) / (sum(raw.values()) + size))
     got = quality.fit(docs, trusted).first().ratios
     assert all(math.isclose(got[b], want(b), rel_tol=1e-9) for b in range(0, size, 97)) and all(math.isclose(got[b], want(b), rel_tol=1e-9) for b in raw)
+
+
+def test_chaining_compares_few_of_the_texts_that_share_a_run_of_one_word(spark, monkeypatch):
+    """24 times one word is no passage, and 60 times is: nodes that share the first alone are not paired, and tables go when they are read."""
+    made, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, what: made.append((what, write(df, what))) or made[-1][1])
+    run = lambda i, j: [f"own{i}x{j}"] * 30
+    rows = [run(i, 0) + ["and"] * (60 if i in (7, 50) else 24) + run(i, 1) + ["the"] * 14 + run(i, 2) for i in range(120)]
+    groups, found = _groups(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string"))
+    assert groups == {i: i for i in range(120)} | {50: 7}
+    compared = sum(table.count() for what, table in made if what == "pairs")
+    assert 1 <= compared <= 500  # 7,140 pairs meet
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        next(table for what, table in made if what == "placed").collect()
