@@ -623,3 +623,34 @@ def test_chaining_compares_few_of_the_texts_that_share_a_run_of_one_word(spark,
     assert 1 <= compared <= 500  # 7,140 pairs meet
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
         next(table for what, table in made if what == "placed").collect()
+
+
+def test_chaining_lists_passages_inside_a_group(spark):
+    """Texts of one group that share a second passage, of which others hold 45 words, also as an equal segment: it is listed too."""
+    rows, pairs = [], []
+    for k in range(8):
+        joint, second = _own(f"p{k}_", 58), _own(f"q{k}_", 58)
+        first = len(rows)
+        for i in range(14):
+            rows.append(_own(f"d{k}_{i}_", 60) + second[i : i + 45] + _own(f"e{k}_{i}_", 60))
+        for i in range(2):
+            part = [f"x{k}" if i and j == 29 else w for j, w in enumerate(second)]
+            rows.append(_own(f"a{k}_{i}_", 60) + joint + _own(f"b{k}_{i}_", 90) + part + _own(f"c{k}_{i}_", 60))
+        pairs.append((first + 14, first + 15))
+    groups, found = _groups(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string"))
+    assert groups == {i: i for i in range(len(rows))} | {b: a for a, b in pairs}
+    listed = {(min(r["u"], r["v"]), max(r["u"], r["v"])) for r in found if (r["start"], r["end"], r["other_start"], r["other_end"]) == (208, 266, 208, 266)}
+    assert listed == set(pairs)
+
+
+def test_chaining_links_copies_of_a_line_by_the_words_around(spark):
+    """44 words that many texts share are no passage; two texts that go on with one other word and 8 equal ones hold one."""
+    rows = []
+    for k in range(20):
+        line, more = _own(f"l{k}_", 44), _own(f"m{k}_", 8)
+        for i in range(6):
+            after = _own(f"n{k}_{i}_", 1) + (more if i > 3 else _own(f"o{k}_{i}_", 8))
+            rows.append(_own(f"a{k}_{i}_", 60) + line + after + _own(f"b{k}_{i}_", 60))
+    groups, found = _groups(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string"))
+    assert groups == {i: i - (i % 6 == 5) for i in range(len(rows))}
+    assert {(r["start"], r["end"], r["other_start"], r["other_end"]) for r in found} == {(60, 113, 60, 113)}
